@@ -35,7 +35,7 @@ MAX_LABELLED = 20_000
 #: Stems and words in the lexicon, at most, those with the largest weights; a stem's lengths.
 MAX_STEMS = 4096
 STEM_LENGTHS = (4, 5, 6, 7)
-MIN_TOXIC_DOCS = 4
+MIN_TOXIC_DOCS = 5
 MIN_WEIGHT = 3.0
 #: Characters of a text that one step of the automaton reads.
 PIECE = 1 << 20
@@ -174,15 +174,25 @@ def weigh(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: i
     return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:MAX_STEMS])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 100) -> np.ndarray:
+    """Weights, the constant first, of a ridge-penalised logistic regression. Newton steps
+    are halved until they lower the loss, so classes that part cleanly don't throw them off."""
     x = np.hstack([np.ones((len(x), 1)), x])
+    penalty = np.array([1e-6] + [ridge] * (x.shape[1] - 1))
+    loss = lambda w: np.logaddexp(0, x @ w).sum() - y @ (x @ w) + 0.5 * (penalty * w) @ w
     w = np.zeros(x.shape[1])
-    penalty = np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
+    now = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
-        w += step
-        if np.abs(step).max() < 1e-8:
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        scale = 1.0
+        while scale > 1e-6 and not loss(w + scale * step) < now:
+            scale /= 2
+        if scale <= 1e-6:
+            break
+        w = w + scale * step
+        now = loss(w)
+        if np.abs(scale * step).max() < 1e-8:
             break
     return w
 
