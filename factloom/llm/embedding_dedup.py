@@ -142,7 +142,7 @@ def op6(spark, sf_dir: str) -> DataFrame:
 OP6_SQL = f"""
 WITH RECURSIVE e AS (
   SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
-), g AS (
+), g AS MATERIALIZED (
   SELECT * FROM e WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
      AND len(list_filter(v, lambda x: x <> 0)) > 0
 ), l AS (
