@@ -16,6 +16,7 @@ characters take an equivalent path through one regular expression.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -27,12 +28,15 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Words whose encodings a worker keeps: two generations of this many.
-CACHE_WORDS = 300_000
+#: Words whose encodings a worker keeps: two generations of this many. A word is kept from
+#: the second time on that it is met; SEEN marks, by hash, tell which have been met.
+CACHE_WORDS = 250_000
+SEEN = 1 << 22
 #: Token pairs whose borders a worker remembers.
 MEMO_PAIRS = 500_000
-#: Characters of a text, or of several, that are encoded at once.
+#: Characters of one text, and of several, that are encoded at once.
 PIECE = 1 << 20
+GROUP = 1 << 22
 
 #: Characters for which lower() and the classes below do what the library does: ASCII
 #: without odd controls, Latin-1 letters, common dashes, quotes and the euro sign.
@@ -123,6 +127,7 @@ class Encoder:
         self.v = vocabulary
         self.young: dict[str, tuple[str, str, int]] = {}
         self.old: dict[str, tuple[str, str, int]] = {}
+        self.seen, self.marks = bytearray(SEEN), 0
 
     def encode_trie(self, words: list[str]) -> dict[str, list[str]]:
         """The tokens of distinct, non-empty words of base symbols."""
@@ -167,14 +172,14 @@ class Encoder:
             stack.extend((depth + 1, c, n) for c, n in below.items())
         return out
 
-    def learn(self, words: set[str]) -> None:
-        """Adds to the cache word -> (ids, tokens, number of ids), both joined by
-        spaces. Words are texts, or byte symbols after a NUL."""
-        young, old = self.young, self.old
+    def learn(self, words: set[str]) -> dict[str, tuple[str, str, int]]:
+        """word -> (ids, tokens, number of ids), both joined by spaces. Words
+        are texts, or byte symbols after a NUL."""
+        young, old, seen, out = self.young, self.old, self.seen, {}
         todo = []
         for w in words:
             if (known := old.get(w)) is not None:
-                young[w] = known
+                young[w] = out[w] = known
             else:
                 todo.append(w)
         symbols = {w: w[1:] if w[0] == "\0" else w if w.isascii() else "".join([BYTES[b] for b in w.encode("utf-8")]) for w in todo}
@@ -182,7 +187,14 @@ class Encoder:
         ids = self.v.ids
         for w, s in symbols.items():
             t = tokens[s]
-            young[w] = (" ".join([str(ids[x]) for x in t]), " ".join(t), len(t))
+            out[w] = found = (" ".join([str(ids[x]) for x in t]), " ".join(t), len(t))
+            at = hash(w) % SEEN
+            if seen[at]:
+                young[w] = found
+            else:
+                seen[at] = 1
+                self.marks += 1
+        return out
 
     def encoded(self, texts: list[str | None]) -> Iterator[list[list[tuple[str, str, int]]]]:
         """For each text its parts, as cache entries. Texts go through the trie
@@ -192,12 +204,21 @@ class Encoder:
         for text in texts:
             group.append(list(self.parts(text or "")))
             size += len(text or "")
-            if size >= PIECE:
+            if size >= GROUP:
                 yield from self._group(group)
                 group, size = [], 0
         yield from self._group(group)
 
     def _group(self, group: list[list]) -> list[list]:
+        collecting = gc.isenabled()
+        gc.disable()  # no cycles are made here, and many small objects would set off passes over the whole cache
+        try:
+            return self._looked_up(group)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _looked_up(self, group: list[list]) -> list[list]:
         get = self.young.get
         out, missing = [], set()
         for parts in group:
@@ -207,13 +228,14 @@ class Encoder:
                     missing.update([w for w, x in zip(p, f, strict=True) if x is None])
             out.append(found)
         if missing:
-            self.learn(missing)
-            get = self.young.get
-            out = [[list(map(get, p)) if None in f else f for p, f in zip(parts, found, strict=True)] for parts, found in zip(group, out, strict=True)]
+            new = self.learn(missing)
+            out = [[[x or new[w] for w, x in zip(p, f, strict=True)] if None in f else f for p, f in zip(parts, found, strict=True)] for parts, found in zip(group, out, strict=True)]
         self.age()
         return out
 
     def age(self) -> None:
+        if self.marks > SEEN // 2:
+            self.seen, self.marks = bytearray(SEEN), 0
         if len(self.v._keeps) > MEMO_PAIRS:
             self.v._keeps.clear()
         if len(self.young) > CACHE_WORDS:
