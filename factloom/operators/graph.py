@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Session
+from ..shared import ensure_checkpoint_dir
 
 #: Edges up to which a closure is walked in the driver; a larger graph takes distributed rounds.
 DRIVER_EDGES = 1_000_000
@@ -25,6 +26,7 @@ def reachable(edges: DataFrame, seed: str, limit: int = DRIVER_EDGES) -> DataFra
         while todo:
             todo = [c for p in todo for c in below.get(p, ()) if c not in seen and not seen.add(c)]
         return spark.createDataFrame([(x,) for x in seen], "fqn string")
+    ensure_checkpoint_dir(spark)
     seen = spark.createDataFrame([(seed,)], "fqn string")
     frontier = seen
     while not frontier.isEmpty():
@@ -82,3 +84,20 @@ def merge_reactor(sections: DataFrame) -> DataFrame:
     """Of artifacts (coordinate, depth, section, path) listed by several modules the shallowest, then the first."""
     best = sections.groupBy("coordinate").agg(F.min(F.struct("depth", "section", "path")).alias("b"))
     return best.select("coordinate", "b.depth", "b.section", "b.path")
+
+
+def first_visit(edges: DataFrame, root: str, max_depth: int = 64) -> DataFrame:
+    """(node, depth, path) of a breadth-first walk down (parent, child, position) edges from
+    ``root``: a node counts where it is met first, by depth and then by the parent's path and position."""
+    spark = edges.sparkSession
+    ensure_checkpoint_dir(spark)
+    seen = spark.createDataFrame([(root, 0, root)], "node string, depth int, path string")
+    level = seen
+    for depth in range(1, max_depth):
+        step = edges.join(level, edges["parent"] == level["node"]).select(F.col("child").alias("node"), F.struct("path", "position").alias("o"))
+        best = step.groupBy("node").agg(F.min("o").alias("o")).select("node", F.lit(depth).alias("depth"), F.concat("o.path", F.lit(" > "), "node").alias("path"))
+        level = best.join(seen.select("node"), "node", "left_anti").checkpoint()
+        if level.isEmpty():
+            break
+        seen = seen.union(level)
+    return seen

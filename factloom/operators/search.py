@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import begins, classify, contains, equals, page_bounds
+from ..functions.text import LOWER, UPPER, ascii_fold, begins, classify, contains, equals, page_bounds
 from ..session import Session
 
 
@@ -111,3 +111,27 @@ def open_symbol(s: Session, arg: str) -> DataFrame:
         return s.with_jar(hits.select("symbol", "descriptor", F.lit(100).alias("score"), F.lit("exact_method").alias("match_reason"), "shard_id"))
     hits = find_method(s, arg)
     return hits.select(F.concat("class_fqn", F.lit("#"), "name").alias("symbol"), "descriptor", "score", "match_reason", "shard_id", "source_jar")
+
+
+def suggest(names: DataFrame, typed: str, limit: int = 3, most: int = 4) -> DataFrame:
+    """Names (name) closest to what was typed, by edit distance."""
+    d = F.levenshtein(F.col("name"), F.lit(typed))
+    return names.select("name", d.alias("distance")).where(F.col("distance") <= most).distinct().orderBy("distance", "name").limit(limit)
+
+
+def ngrams(values: DataFrame, column: str, n: int = 3) -> DataFrame:
+    """(gram, value): the search index of a column, one row per distinct folded n-gram of a distinct value."""
+    folded = ascii_fold(F.col(column))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(folded) - n + 1), lambda i: F.substring(folded, i, F.lit(n))))
+    return values.select(column).distinct().where(F.length(folded) >= n).select(F.explode(grams).alias("gram"), F.col(column).alias("value"))
+
+
+def find_by_ngrams(index: DataFrame, text: str, n: int = 3) -> DataFrame:
+    """Values of an index that hold ``text``: those with all of its n-grams, then checked. A text
+    shorter than n can't use the index."""
+    folded = text.translate(str.maketrans(UPPER, LOWER))
+    if len(folded) < n:
+        raise ValueError(f"the text has less than {n} characters")
+    grams = sorted({folded[i : i + n] for i in range(len(folded) - n + 1)})
+    hits = index.where(F.col("gram").isin(grams)).groupBy("value").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") == len(grams))
+    return hits.where(contains(F.col("value"), text)).select("value")

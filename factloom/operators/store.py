@@ -80,3 +80,20 @@ def listing(s) -> tuple[DataFrame, DataFrame]:
 
 def sections(s) -> DataFrame:
     return s["events"].select(F.concat(F.lit("g:"), "event_type").alias("coordinate"), F.expr("cast(user_id % 5 as int)").alias("depth"), F.col("user_id").alias("section"), F.col("event_id").cast("string").alias("path"))
+
+
+def exportable(manifest: DataFrame, version: str) -> DataFrame:
+    """What a registry takes: shards (id, version, checksum, actual) of the current version whose file is as recorded, others with the reason they are left out."""
+    reason = F.when(F.col("version") != version, "old version").when(~F.col("checksum").eqNullSafe(F.col("actual")), "checksum mismatch")
+    return manifest.select("id", F.coalesce(reason, F.lit("export")).alias("action"))
+
+
+def aged(entries: DataFrame, now, days: int) -> DataFrame:
+    """Entries last used more than ``days`` days before ``now``."""
+    return entries.where(F.col("used") < F.lit(now) - F.expr(f"interval {int(days)} days")).select("entry", "used")
+
+
+def coordinates(lines: DataFrame) -> DataFrame:
+    """group:artifact:version lines (value): comments and blank lines left out, others marked valid or not, each once."""
+    text = F.trim(F.split("value", "#").getItem(0))
+    return lines.select(text.alias("coordinate")).where("coordinate <> ''").distinct().select("coordinate", F.col("coordinate").rlike("^[^:\\s]+:[^:\\s]+:[^:\\s]+$").alias("valid"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from ..operators import detail, graph, provenance, search, store
@@ -162,6 +164,12 @@ QUERIES = {
     "shard_reuse": (lambda s: store.missing(s["supplier"].select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("size")), s["supplier"].where("s_suppkey % 4 <> 1").select(F.col("s_suppkey").alias("id"), F.expr("s_nationkey + case when s_suppkey % 9 = 0 then 1 else 0 end").alias("size"))), _with("SELECT s_suppkey AS id, s_nationkey AS size FROM supplier WHERE s_suppkey % 4 = 1 OR s_suppkey % 9 = 0")),
     "session_delta": (lambda s: store.delta(s["classes"], s["shards"].where("s_suppkey % 5 = 2").select("shard_id"), s["classes"].where("shard_id = 's000000002'")).groupBy("shard_id").agg(F.count(F.lit(1)).alias("classes")), _with("SELECT shard_id, count(*) AS classes FROM classes WHERE shard_id NOT IN (SELECT shard_id FROM shards WHERE s_suppkey % 5 = 2) OR shard_id = 's000000002' GROUP BY 1")),
     "registry_prefetch": (lambda s: store.prefetch_plan(s["lineitem"].select(F.col("l_suppkey").alias("id")), s["supplier"].where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("id")), s["supplier"].where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("id"))), _with("SELECT DISTINCT l_suppkey AS id, CASE WHEN l_suppkey % 3 = 0 THEN 'local' WHEN l_suppkey % 2 = 0 THEN 'download' ELSE 'extract' END AS action FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier)")),
+    "registry_export": (lambda s: store.exportable(s["part"].select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("version"), F.col("p_size").alias("checksum"), F.expr("case when p_partkey % 5 = 0 then null else p_size + p_partkey % 2 end").alias("actual")), "Brand#2"), _with("SELECT p_partkey AS id, CASE WHEN p_brand <> 'Brand#2' THEN 'old version' WHEN p_partkey % 5 = 0 OR p_partkey % 2 = 1 THEN 'checksum mismatch' ELSE 'export' END AS action FROM part")),
+    "cache_gc_aged": (lambda s: store.aged(store.cached(s), datetime.datetime(2001, 8, 1), 365), _with("SELECT o_orderkey AS entry, o_orderdate AS used FROM orders WHERE o_orderdate < TIMESTAMP '2001-08-01' - INTERVAL 365 DAY")),
+    "coordinates": (lambda s: store.coordinates(s["shards"].select(F.expr("concat(coalesce(coordinate, ' # none'), case when s_suppkey % 2 = 0 then ' # note' else '' end, case when s_suppkey % 9 = 4 then ':x:y' else '' end)").alias("value"))), _with("SELECT DISTINCT coordinate, len(string_split(coordinate, ':')) = 3 AS valid FROM (SELECT trim(string_split(concat(coalesce(coordinate, ' # none'), CASE WHEN s_suppkey % 2 = 0 THEN ' # note' ELSE '' END, CASE WHEN s_suppkey % 9 = 4 THEN ':x:y' ELSE '' END), '#')[1]) AS coordinate FROM shards) WHERE coordinate <> ''")),
+    "suggest": (lambda s: search.suggest(s.classes.select(F.col("simple_name").alias("name")), "P15x", limit=20, most=2), _with(f"SELECT DISTINCT {SIMPLE} AS name, levenshtein({SIMPLE}, 'P15x')::INTEGER AS distance FROM classes WHERE levenshtein({SIMPLE}, 'P15x') <= 2 ORDER BY distance, name LIMIT 20")),
+    "ngram_index": (lambda s: search.find_by_ngrams(search.ngrams(s.classes, "fqn"), "Red_Wid"), _with(f"SELECT DISTINCT fqn AS value FROM classes WHERE {_has('fqn', 'red_wid')}")),
+    "first_visit": (lambda s: graph.first_visit(s["part_names"].where("p_partkey > 1").selectExpr("cast(floor(p_partkey / 2) as string) parent", "cast(p_partkey as string) child", "p_partkey position").union(s["part_names"].where("p_partkey % 9 = 0 and p_partkey > 9").selectExpr("cast(floor(p_partkey / 9) as string)", "cast(p_partkey as string)", "-1l")), "1"), f"WITH RECURSIVE {sql_facts()}, e AS (SELECT cast(floor(p_partkey / 2) as bigint) AS parent, p_partkey AS child FROM part WHERE p_partkey > 1 UNION ALL SELECT cast(floor(p_partkey / 9) as bigint), p_partkey FROM part WHERE p_partkey % 9 = 0 AND p_partkey > 9), w(node, depth, path) AS (SELECT 1::BIGINT, 0, '1' UNION ALL SELECT e.child, w.depth + 1, concat(w.path, ' > ', e.child::VARCHAR) FROM e JOIN w ON e.parent = w.node), k AS (SELECT *, min(depth) OVER (PARTITION BY node) AS d FROM w) SELECT node::VARCHAR AS node, depth, min(path) AS path FROM k WHERE depth = d GROUP BY 1, 2"),
     "string_page": (lambda s: paged(s["strings"].select("value", "class_fqn", "shard_id").distinct(), ["value", "class_fqn", "shard_id"], 2, 50), _with("SELECT DISTINCT value, class_fqn, shard_id FROM strings ORDER BY value, class_fqn, shard_id LIMIT 50 OFFSET 50")),
 }
 
