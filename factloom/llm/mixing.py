@@ -36,7 +36,7 @@ CELL = 1 << 15
 #: Slots whose ranks one window row covers.
 CHUNK = 1 << 14
 #: Rows that share a bucket of the random order, about.
-BUCKET_ROWS = 8192
+BUCKET_ROWS = 2048
 
 
 def sized(docs: DataFrame) -> DataFrame:
