@@ -20,23 +20,23 @@ import gc
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 #: Words whose encodings a worker keeps: two generations of this many. A word is kept from
 #: the second time on that it is met; SEEN marks, by hash, tell which have been met.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 SEEN = 1 << 22
 #: Token pairs whose borders a worker remembers.
-MEMO_PAIRS = 500_000
+MEMO_PAIRS = 150_000
 #: Characters of one text, and of several, that are encoded at once.
 PIECE = 1 << 20
-GROUP = 1 << 22
+GROUP = 1 << 21
 
 #: Characters for which lower() and the classes below do what the library does: ASCII
 #: without odd controls, Latin-1 letters, common dashes, quotes and the euro sign.
@@ -196,7 +196,7 @@ class Encoder:
                 self.marks += 1
         return out
 
-    def encoded(self, texts: list[str | None]) -> Iterator[list[list[tuple[str, str, int]]]]:
+    def encoded(self, texts: Iterable[str | None]) -> Iterator[list[list[tuple[str, str, int]]]]:
         """For each text its parts, as cache entries. Texts go through the trie
         together, as many as make a piece."""
         group: list[list] = []
@@ -263,7 +263,7 @@ class Encoder:
                 yield self.words(part[at:end])
                 at = end
 
-    def digest(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
+    def digest(self, texts: Iterable[str | None]) -> list[tuple[int, str, str]]:
         """(n_tokens, ids_sha256, decoded_sha256) of each text."""
         out = []
         for parts in self.encoded(texts):
@@ -312,6 +312,7 @@ def tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
                 ids = [e.encode(t.as_py()) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([e.decode(x) for x in ids])], names=["id", "ids", "decoded"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(each, f"id {kind}, ids array<int>, decoded string")
 
@@ -323,9 +324,10 @@ def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for b in batches:
-            n, ids, decoded = zip(*e.digest([t.as_py() for t in b.column(1)]), strict=True) if b.num_rows else ((), (), ())
+            n, ids, decoded = zip(*e.digest(t.as_py() for t in b.column(1)), strict=True) if b.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(each, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

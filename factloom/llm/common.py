@@ -32,6 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of whole texts that go to Python at once, unless the session sets another number.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches from Spark's default of 10,000 rows, which suits numbers:
+    so many whole texts take tens of megabytes several times over, in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Scratch:
     """Intermediate tables written to the shared folder.
 

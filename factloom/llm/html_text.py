@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 #: Fixed values of HTML: elements without content, with raw content, inline elements, and what a start tag closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -230,6 +230,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             texts = [main_text(t.as_py()) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[id_col, url_col, "text", "n_chars"])
 
+    small_batches(pages.sparkSession)
     kind = pages.schema[id_col].dataType.simpleString()
     return pages.select(id_col, url_col, F.col(html_col)).mapInArrow(each, f"`{id_col}` {kind}, `{url_col}` string, text string, n_chars long")
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, small_batches, table
 
 #: Labelled rows that learning uses, at most: those with the smallest hashes of their ids.
 MAX_LABELLED = 20_000
@@ -37,6 +37,8 @@ MAX_STEMS = 4096
 STEM_LENGTHS = (4, 5, 6, 7)
 MIN_TOXIC_DOCS = 5
 MIN_WEIGHT = 3.0
+#: Terms that a task counts before it hands its counts on.
+MAX_TERMS = 100_000
 #: Characters of a text that one step of the automaton reads.
 PIECE = 1 << 20
 FOLDS, HELD_OUT = 5, 0
@@ -209,6 +211,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     the lexicon is empty and every score is 0.5 or the base rate.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     some = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(MAX_LABELLED)
     # bounded by MAX_LABELLED rows of two numbers
@@ -216,14 +219,23 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        docs_seen = Counter()
+        seen = [0, 0]
+
+        def flush() -> pd.DataFrame:
+            terms = [*found[0], *(t for t in found[1] if t not in found[0])]
+            out = pd.DataFrame({"term": ["", *terms], "toxic": [seen[1], *(found[1].get(t, 0) for t in terms)], "clean": [seen[0], *(found[0].get(t, 0) for t in terms)]})
+            found[0].clear()
+            found[1].clear()
+            seen[:] = [0, 0]
+            return out
+
         for b in batches:
             for text, y in zip(b["text"], b["toxic"], strict=True):
                 found[int(y > 0)].update(terms_of(text))
-                docs_seen[int(y > 0)] += 1
-        marks = [(t, k, found[0].get(t, 0)) for t, k in found[1].items()]
-        rest = [(t, 0, k) for t, k in found[0].items() if t not in found[1]]
-        yield pd.DataFrame([*marks, *rest, ("", docs_seen[1], docs_seen[0])], columns=["term", "toxic", "clean"])
+                seen[int(y > 0)] += 1
+                if len(found[0]) + len(found[1]) >= MAX_TERMS:
+                    yield flush()
+        yield flush()
 
     counted = sample.mapInPandas(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (F.col("clean") + 0.5))
@@ -258,6 +270,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             values = [shared.value.score(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.float64())], names=["id", "score"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(each, f"id {kind}, score double")
 

@@ -26,7 +26,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, small_batches, table
 
 LENGTH = 2048
 PER_SHARD = 8192
@@ -74,6 +74,7 @@ def materialise(docs: DataFrame, ids: Column, scratch: Scratch, id_col: str = "d
     a second run that deals them otherwise fails.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = scratch.folder("shards")
     stride = length * width
     rows = docs.select(F.col(id_col).alias("id"), ids.alias("ids"))

@@ -27,14 +27,14 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, small_batches, table
 
 #: Bytes of a payload in a chunk row; bytes of a file after which a writer begins the next.
 CHUNK = 1 << 18
 FILE_BYTES = 1 << 30
 #: Payloads of at least so many bytes are stored once.
 MIN_REVISIT = 0
-#: Rows that the writer's and reader's batches hold, so a batch is bounded by chunks.
+#: Fixed values of the format: a date for all records, and the profile of a record that stands for an equal payload.
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -103,6 +103,7 @@ class Writer:
 
 def write(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT) -> DataFrame:
     """Writes an archive record per row into the shared folder; returns the list of files (path, records, bytes)."""
+    small_batches(pages.sparkSession)
     folder = scratch.folder("archive")
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     keyed = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("sha", F.sha1("payload"))
