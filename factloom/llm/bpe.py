@@ -33,7 +33,7 @@ from .common import small_batches, table
 CACHE_WORDS = 100_000
 SEEN = 1 << 22
 #: Token pairs whose borders a worker remembers.
-MEMO_PAIRS = 150_000
+MEMO_PAIRS = 300_000
 #: Characters of one text, and of several, that are encoded at once.
 PIECE = 1 << 20
 GROUP = 1 << 21
@@ -138,8 +138,7 @@ class Encoder:
                 node = node.setdefault(c, {})
             node.setdefault(w[-1] + END, w)
         out: dict[str, list[str]] = {}
-        endings, keeps, kept = self.v.endings, self.v.keeps, self.v._keeps
-        known = kept.get
+        endings, keeps, known = self.v.endings, self.v.keeps, self.v._keeps.get
         prefix: list[str] = []  # base symbols of the path
         last: list[str] = []  # the last token of each prefix of the path
         stack = [(0, c, n) for c, n in root.items()]
@@ -155,7 +154,11 @@ class Encoder:
                 ending = ending[1].get(prefix[depth - k])
                 k += 1
             for k, token in reversed(found):  # the longest ending first
-                if k > depth or (known((last[depth - k], token)) if (last[depth - k], token) in kept else keeps(last[depth - k], token)):
+                if k > depth:
+                    break
+                pair = (last[depth - k], token)
+                ok = known(pair)
+                if keeps(*pair) if ok is None else ok:
                     break
             else:
                 raise ValueError(f"no token ends {''.join(prefix) + symbol!r}")
