@@ -5,7 +5,8 @@ Names in braces are tables; a fact may use facts before it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import SparkSession
 
 from ..session import Session
 
@@ -73,10 +74,20 @@ def sql_facts(*names: str) -> str:
     return ", ".join(f"{n} AS ({sql.format(**here)})" for n, sql in FACTS.items() if not names or n in names)
 
 
+#: Facts that searches share; a session keeps them in memory, or on disk where they don't fit.
+HOT = ("part_names", "classes", "class_interfaces", "methods", "annotations", "strings", "spi", "config", "shards")
+_SESSIONS: dict[tuple[str, str], Session] = {}
+
+
 def load(spark: SparkSession, sf_dir: str) -> Session:
-    """The facts of one data directory; only what a query uses is read."""
-    made = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE}
-    for name, sql in FACTS.items():
-        used = {t: df for t, df in made.items() if f"{{{t}}}" in sql}
-        made[name] = spark.sql(sql, **used)
-    return Session(made)
+    """The session of one data directory, built once for each application; only what queries use is read."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SESSIONS:
+        made = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE}
+        for name, sql in FACTS.items():
+            used = {t: df for t, df in made.items() if f"{{{t}}}" in sql}
+            made[name] = spark.sql(sql, **used)
+            if name in HOT:
+                made[name] = made[name].persist(StorageLevel.MEMORY_AND_DISK)
+        _SESSIONS[key] = Session(made)
+    return _SESSIONS[key]
