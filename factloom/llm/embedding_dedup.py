@@ -10,7 +10,9 @@ block as matrix products in double precision, and return counts and spanning
 edges, never pairs.
 
 Equal vectors of a label are merged first with their number, so a group of
-exact copies costs one row.
+exact copies costs one row. A cell that the bounds leave large is cut into blocks:
+each pair of blocks, or block with itself, is a task, so no task holds more than
+two blocks however many vectors lie close together.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ COSINE = 0.98
 SAMPLE = 4096
 CELL_VECTORS = 4096
 MAX_PIVOTS = 256
+#: Vectors of a block, about, where a cell is cut into blocks.
+BLOCK_VECTORS = 16_384
 #: Room for rounding in the bounds, in distance.
 SLACK = 1e-6
 
@@ -63,26 +67,50 @@ def cells(vectors: np.ndarray, pivots: np.ndarray, reach: float) -> tuple[np.nda
     return row, cell, cell == home[row]
 
 
-def join_cell(vectors: np.ndarray, home: np.ndarray, count: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Per vector the number of others that it links with (for those at home), and a class label."""
+def join_cell(vectors: np.ndarray, home: np.ndarray, count: np.ndarray, least: float, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Per vector the number of others that it links with (for those at home), and a class label.
+    Those at home are compared with all, or, of two blocks (not ``whole``), with those not at home."""
     links = np.zeros(len(vectors), np.int64)
     labels = np.arange(len(vectors))
     at_home = np.flatnonzero(home)
-    step = max(1, (1 << 22) // max(1, len(vectors)))
+    others = np.arange(len(vectors)) if whole else np.flatnonzero(~home)
+    step = max(1, (1 << 22) // max(1, len(others)))
     for at in range(0, len(at_home), step):
         rows = at_home[at : at + step]
-        near = vectors[rows] @ vectors.T >= least
-        near[np.arange(len(rows)), rows] = True
-        links[rows] = near @ count - 1
+        near = vectors[rows] @ vectors[others].T >= least
+        if whole:
+            near[np.arange(len(rows)), rows] = True
+        links[rows] = near @ count[others] - whole
         for r, hit in zip(rows, near, strict=True):
-            if hit.sum() > 1:
-                names = np.unique(labels[np.flatnonzero(hit)])
+            if hit.sum() > whole:
+                names = np.unique(labels[np.append(others[hit], r)])
                 if len(names) > 1:
                     labels[np.isin(labels, names)] = names[0]
     return links, labels
 
 
-def near_classes(vectors: DataFrame, least: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def in_blocks(dealt: DataFrame, block: int, scratch: Scratch) -> DataFrame:
+    """``dealt`` with the two blocks that a row is joined in: -1 twice where the cell has at most ``block`` rows.
+
+    A cell of more has n blocks; a row of block b meets block c as a home row in (b, c) and as another row in (c, b).
+    The join with the numbers of rows is on cells, of which few are large, so adaptive execution may send them to every task.
+    """
+    cell = ["label", "dim", "cell"]
+    large = dealt.groupBy(*cell).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > block)
+    large = scratch.write(large.select(*cell, F.ceil(F.col("rows") / block).cast("int").alias("blocks")), "large")
+    if large.isEmpty():  # spares the shuffle that the join takes
+        return dealt.withColumns({"i": F.lit(-1), "j": F.lit(-1)})
+    own = F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    pair = lambda i, j, home: F.struct(i.alias("i"), j.alias("j"), home.alias("home"))
+    as_home = F.when(F.col("home"), F.transform(every, lambda j: pair(own, j, F.lit(True)))).otherwise(F.array(pair(own, own, F.lit(False))))
+    as_other = F.transform(F.filter(every, lambda i: i != own), lambda i: pair(i, own, F.lit(False)))
+    alone = F.array(pair(F.lit(-1), F.lit(-1), F.col("home")))
+    places = F.when(F.col("blocks").isNull(), alone).otherwise(F.concat(as_home, as_other))
+    return dealt.join(large, cell, "left").withColumn("p", F.explode(places)).select(*cell, "gid", "n", "v", "p.i", "p.j", "p.home")
+
+
+def near_classes(vectors: DataFrame, least: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", block: int = BLOCK_VECTORS) -> DataFrame:
     """(id, n_links, component_id, kept) of every row.
 
     Rows without a label or with a vector that is null, empty, zero or holds nulls or
@@ -120,11 +148,11 @@ def near_classes(vectors: DataFrame, least: float = COSINE, id_col: str = "vec_i
     def join(b: pd.DataFrame) -> pd.DataFrame:
         x = unit(np.array(b["v"].tolist(), float))
         home, gid = b["home"].to_numpy(bool), b["gid"].to_numpy()
-        links, labels = join_cell(x, home, b["n"].to_numpy(), least)
+        links, labels = join_cell(x, home, b["n"].to_numpy(), least, bool((b["i"] == b["j"]).all()))
         return pd.DataFrame({"gid": gid, "links": np.where(home, links, 0), "root": gid[labels]})
 
     dealt = reps.mapInPandas(deal, f"label {kind}, dim int, cell int, gid long, n long, home boolean, v array<double>")
-    joined = scratch.write(dealt.groupBy("label", "dim", "cell").applyInPandas(join, "gid long, links long, root long"), "joined")
+    joined = scratch.write(in_blocks(dealt, block, scratch).groupBy("label", "dim", "cell", "i", "j").applyInPandas(join, "gid long, links long, root long"), "joined")
     classes = connected_components(joined.select(F.col("gid").alias("u"), F.col("root").alias("v")), scratch)
     links = joined.groupBy("gid").agg(F.sum("links").alias("links"))
     rooted = scratch.write(reps.join(links, "gid").join(classes, reps["gid"] == classes["node"], "left").select("gid", "label", "v", "rep", "links", F.coalesce("root", "gid").alias("root")), "rooted")

@@ -219,6 +219,8 @@ def test_embeddings_match_sql(spark):
     have = same(got, embedding_dedup.OP6_SQL, embeddings=table)
     assert sum(r[1] is False for r in have) > 100
     assert embedding_dedup.near_classes(df.limit(0)).count() == 0
+    blocks = embedding_dedup.near_classes(df, block=40).withColumnRenamed("id", "vec_id")
+    assert cells(blocks.collect()) == cells(got.collect())
 
 
 def test_cells_lose_no_pair():
