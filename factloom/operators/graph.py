@@ -86,6 +86,14 @@ def merge_reactor(sections: DataFrame) -> DataFrame:
     return best.select("coordinate", "b.depth", "b.section", "b.path")
 
 
+def trails(resolved: DataFrame) -> DataFrame:
+    """(coordinate, parent, depth, path, direct) of artifacts whose ``trail`` lists coordinates from the root to
+    the artifact; the root alone is left out."""
+    t, depth = F.col("trail"), F.size("trail") - 1
+    below = resolved.where(depth > 0)
+    return below.select(F.element_at(t, -1).alias("coordinate"), F.element_at(t, -2).alias("parent"), depth.alias("depth"), F.array_join(t, " > ").alias("path"), (depth == 1).alias("direct"))
+
+
 def first_visit(edges: DataFrame, root: str, max_depth: int = 64) -> DataFrame:
     """(node, depth, path) of a breadth-first walk down (parent, child, position) edges from
     ``root``: a node counts where it is met first, by depth and then by the parent's path and position."""

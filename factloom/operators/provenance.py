@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import binary_names, classify, package_name, simple_name, split_coordinate, utf8_cut
 from ..session import Session
+from ..sources.java_slice import slice_methods
 
 MAX_FILE_BYTES, MAX_FILES, CUT_BYTES = 2 << 20, 2000, 240
 #: A Java import keeps these words before its name.
@@ -106,4 +110,23 @@ def source_owner(s: Session, fqn: str, pinned: str | None = None) -> DataFrame:
     return best.where("owners > 0").select("c.fqn", "c.shard_id", "c.source_jar", "owners")
 
 
-__all__ = ["class_origins", "package_origins", "artifact_origins", "why_dependency", "precise", "source_lines", "source_usages", "search_source", "source_owner", "package_name", "simple_name", "split_coordinate"]
+def get_source(s: Session, sources: DataFrame, fqn: str, method: str | None = None, pinned: str | None = None) -> DataFrame:
+    """The source of a class from the shard that ``source_owner`` chooses: (fqn, shard_id, source_jar, owners, entry, text),
+    with ``method`` a row for each of its overloads. ``sources`` are (shard_id, entry, text); nested classes are read
+    in the file of their outer class. A class without source has null entry and text."""
+    outer = F.regexp_replace(F.substring_index("fqn", "$", 1), r"\.", "/")
+    owner = source_owner(s, fqn, pinned).withColumn("__outer", outer)
+    files = sources.select("shard_id", "entry", "text", F.regexp_replace("entry", r"\.[a-z]+$", "").alias("__outer"))
+    found = owner.join(files, ["shard_id", "__outer"], "left").select("fqn", "shard_id", "source_jar", "owners", "entry", "text")
+    if method is None:
+        return found
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = [slice_methods(t, name, method) if t else [] for t, name in zip(b["text"], b["fqn"], strict=True)]
+            yield b.assign(text=texts).explode("text").dropna(subset=["text"])
+
+    return found.mapInPandas(cut, found.schema)
+
+
+__all__ = ["get_source", "class_origins", "package_origins", "artifact_origins", "why_dependency", "precise", "source_lines", "source_usages", "search_source", "source_owner", "package_name", "simple_name", "split_coordinate"]

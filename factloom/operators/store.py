@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def fingerprint_of(ids: Column) -> Column:
+    return F.substring(F.sha2(F.array_join(F.array_sort(ids), "\n"), 256), 1, 16)
+
 
 def fingerprint(shards: DataFrame) -> DataFrame:
     """The first 16 hex digits of the SHA-256 of the sorted ids, one a line. Ids are one row per archive of one classpath."""
-    ids = F.array_sort(F.collect_set("shard_id"))
-    return shards.agg(ids.alias("ids")).select(F.substring(F.sha2(F.array_join("ids", "\n"), 256), 1, 16).alias("fingerprint"), F.size("ids").cast("long").alias("shards"))
+    return shards.agg(F.collect_set("shard_id").alias("ids")).select(fingerprint_of(F.col("ids")).alias("fingerprint"), F.size("ids").cast("long").alias("shards"))
 
 
 def missing(wanted: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -93,6 +95,15 @@ def aged(entries: DataFrame, now, days: int) -> DataFrame:
     return entries.where(F.col("used") < F.lit(now) - F.expr(f"interval {int(days)} days")).select("entry", "used")
 
 
+def collect(entries: DataFrame, version: str, now, days: int, budget: int) -> DataFrame:
+    """(entry, reason) of what a collection removes, or would: entries of another version (status), then the aged,
+    then of the rest the least recently used beyond ``budget`` bytes."""
+    reason = F.when(F.col("status") != version, "version").when(F.col("used") < F.lit(now) - F.expr(f"interval {int(days)} days"), "aged")
+    judged = entries.withColumn("reason", reason)
+    over = gc_lru(judged.where("reason is null"), budget).select("entry", F.lit("budget").alias("reason"))
+    return judged.where("reason is not null").select("entry", "reason").union(over)
+
+
 def coordinates(lines: DataFrame) -> DataFrame:
     """group:artifact:version lines (value): comments and blank lines left out, others marked valid or not, each once."""
     text = F.trim(F.split("value", "#").getItem(0))

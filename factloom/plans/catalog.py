@@ -6,7 +6,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from ..operators import detail, graph, provenance, search, store
+from ..operators import detail, graph, indexing, provenance, search, store
 from ..operators.search import paged
 from .facts import load, sql_facts
 
@@ -92,6 +92,10 @@ _ANNO_SEED = "(SELECT fqn FROM part_names WHERE p_partkey = 4)"
 _CLASS = "(SELECT fqn FROM part_names WHERE p_partkey = 15)"
 _COND = "concat(type, '=', coalesce(ref_value, ''))"
 _LINES = "SELECT path, i AS line, t[i] AS text FROM (SELECT path, string_split(text, chr(10)) AS t FROM files), unnest(range(1, len(t) + 1)) u(i)"
+_OWNER = f"""SELECT c.fqn, c.shard_id, coalesce(m.coordinate, m.filename) AS source_jar, (SELECT count(DISTINCT shard_id) FROM classes WHERE fqn = {_CLASS}) AS owners
+ FROM classes c JOIN shards m ON m.shard_id = c.shard_id WHERE c.fqn = {_CLASS} ORDER BY m.coordinate IS NULL, c.shard_id LIMIT 1"""
+_SOURCE = f"SELECT o.*, x.entry, {{}} AS text FROM ({_OWNER}) o LEFT JOIN sources x ON x.shard_id = o.shard_id AND x.entry = concat(replace(o.fqn, '.', '/'), '.java')"
+_PRINT = "substr(sha256(string_agg(DISTINCT shard_id, chr(10) ORDER BY shard_id)), 1, 16)"
 HIGH, BROAD = ["License", "token ="], ["http", "the "]
 
 
@@ -148,8 +152,13 @@ QUERIES = {
     "source_usages": (lambda s: provenance.source_usages(_lines(s), HIGH, BROAD), _with(f"""SELECT path, line::INTEGER AS line, term, CASE WHEN term IN ('License', 'token =') THEN 0 ELSE 1 END AS phase, CASE WHEN strlen(text) <= 240 THEN text ELSE array_to_string(list_transform(list_filter(range(1, length(text) + 1), lambda i: strlen(text[1:i]) <= 240), lambda i: text[i]), '') END AS text FROM (
  SELECT *, CASE WHEN contains(text, 'License') THEN 'License' WHEN contains(text, 'token =') THEN 'token =' WHEN contains(text, 'http') THEN 'http' WHEN contains(text, 'the ') THEN 'the ' END AS term FROM ({_LINES})) WHERE term IS NOT NULL""")),
     "search_source": (lambda s: provenance.search_source(_lines(s), "License"), _with(f"SELECT path, line::INTEGER AS line, text FROM ({_LINES}) WHERE contains(text, 'License')")),
-    "source_owner": (lambda s: provenance.source_owner(s, _name(s, 15)), _with(f"""SELECT c.fqn, c.shard_id, coalesce(m.coordinate, m.filename) AS source_jar, (SELECT count(DISTINCT shard_id) FROM classes WHERE fqn = {_CLASS}) AS owners
- FROM classes c JOIN shards m ON m.shard_id = c.shard_id WHERE c.fqn = {_CLASS} ORDER BY m.coordinate IS NULL, c.shard_id LIMIT 1""")),
+    "source_owner": (lambda s: provenance.source_owner(s, _name(s, 15)), _with(_OWNER)),
+    "get_source": (lambda s: provenance.get_source(s, s["sources"], _name(s, 15)), _with(_SOURCE.format("x.text"))),
+    "get_source_method": (lambda s: provenance.get_source(s, s["sources"], _name(s, 15), "get"), _with(_SOURCE.format("concat('int get() { return ', length(o.fqn), '; }')"))),
+    "status": (lambda s: indexing.status(s["shards"], s["classes"], s["shards"].where("s_suppkey % 3 <> 1")), _with(f"SELECT count(DISTINCT shard_id) AS shards, count(DISTINCT CASE WHEN coordinate <> '' THEN shard_id END) AS with_coordinate, (SELECT count(*) FROM classes) AS classes, {_PRINT} AS fingerprint, count(DISTINCT CASE WHEN s_suppkey % 3 <> 1 THEN shard_id END) AS wanted, count(DISTINCT CASE WHEN s_suppkey % 3 <> 1 THEN shard_id END) AS indexed, {_PRINT} = (SELECT {_PRINT} FROM shards WHERE s_suppkey % 3 <> 1) AS current FROM shards")),
+    "session_plan": (lambda s: indexing.plan_session(s["shards"].where("s_suppkey % 10 <> 1"), s["shards"].where("s_suppkey % 10 <> 2")), _with("SELECT *, CASE WHEN added + removed = 0 THEN 'reuse' WHEN before > 0 AND added + removed <= 0.25 * greatest(before, after) THEN 'delta' ELSE 'rebuild' END AS action FROM (SELECT count_if(s_suppkey % 10 <> 1) AS before, count_if(s_suppkey % 10 <> 2) AS after, count_if(s_suppkey % 10 = 1) AS added, count_if(s_suppkey % 10 = 2) AS removed FROM shards)")),
+    "dependency_trails": (lambda s: graph.trails(s["artifacts"].select(F.split("path", " > ").alias("trail"))), _with("SELECT coordinate, parent, 2::INTEGER AS depth, path, false AS direct FROM artifacts")),
+    "cache_gc": (lambda s: store.collect(store.cached(s), "O", datetime.datetime(2001, 8, 1), 365, 100_000_000), _with("SELECT o_orderkey AS entry, CASE WHEN o_orderstatus <> 'O' THEN 'version' ELSE 'aged' END AS reason FROM orders WHERE o_orderstatus <> 'O' OR o_orderdate < TIMESTAMP '2001-08-01' - INTERVAL 365 DAY UNION ALL SELECT entry, 'budget' FROM (SELECT o_orderkey AS entry, sum(cast(floor(o_totalprice) as bigint)) OVER (ORDER BY o_orderdate DESC, o_orderkey DESC ROWS UNBOUNDED PRECEDING) AS k FROM orders WHERE o_orderstatus = 'O' AND o_orderdate >= TIMESTAMP '2001-08-01' - INTERVAL 365 DAY) WHERE k > 100000000")),
     "class_conflicts": (lambda s: graph.class_conflicts(s), _with("SELECT a.shard_id AS jar_a, b.shard_id AS jar_b, count(*) AS shared_classes FROM classes a JOIN classes b ON a.fqn = b.fqn AND a.shard_id < b.shard_id GROUP BY 1, 2")),
     "orphan_methods": (lambda s: s.methods.where("not owner_resolved").groupBy("shard_id").agg(F.count(F.lit(1)).alias("orphans")), _with("SELECT m.shard_id, count(*) AS orphans FROM methods m LEFT JOIN classes c ON c.shard_id = m.shard_id AND c.fqn = m.class_fqn WHERE c.fqn IS NULL GROUP BY 1")),
     "dependency_tree": (lambda s: graph.tree_paths(s["nodes"]), f"WITH RECURSIVE {sql_facts()}, t(coordinate, depth, path) AS (SELECT coordinate, 0, coordinate FROM nodes WHERE parent IS NULL UNION ALL SELECT n.coordinate, t.depth + 1, concat(t.path, ' > ', n.coordinate) FROM nodes n JOIN t ON n.parent = t.coordinate) SELECT coordinate, depth, path, depth = 1 AS direct FROM t"),

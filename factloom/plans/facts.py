@@ -64,6 +64,8 @@ FACTS = {
     "artifacts": """SELECT s.coordinate, concat('com.n', cast(p.s_nationkey as string)) AS group_id, replace(p.s_name, '#', '-') AS artifact, cast(2 as int) AS depth,
         concat(r_name, ' > nation:', n_name, ' > ', s.coordinate) AS path, concat('nation:', n_name) AS parent
         FROM {shards} s JOIN {supplier} p ON p.s_suppkey = s.s_suppkey JOIN {nation} ON n_nationkey = p.s_nationkey JOIN {region} ON r_regionkey = n_regionkey WHERE s.coordinate IS NOT NULL""",
+    "sources": """SELECT shard_id, concat(replace(fqn, '.', '/'), '.java') AS entry,
+        concat('class ', split_part(fqn, '.', 4), ' {{ int get() {{ return ', cast(length(fqn) as string), '; }} }}') AS text FROM {classes}""",
     "files": "SELECT concat(source, '/', cast(doc_id as string)) AS path, text FROM {documents}",
 }
 

@@ -30,6 +30,9 @@ IMPORTS = "META-INF/spring/org.springframework.boot.autoconfigure.AutoConfigurat
 FACTORIES = "META-INF/spring.factories"
 METADATA = ("META-INF/spring-configuration-metadata.json", "META-INF/additional-spring-configuration-metadata.json")
 SERVICES = "META-INF/services/"
+SOURCE_SUFFIXES = (".java", ".kt", ".scala", ".groovy")
+#: Bytes of a source file that is read, at most.
+MAX_SOURCE_BYTES = 5 << 20
 
 
 def properties(text: str) -> dict[str, str]:
@@ -142,10 +145,18 @@ def archive_rows(content: bytes) -> Iterator[tuple[str, dict]]:
     yield "shards", {"coordinate": coordinate}
 
 
-def read_archives(spark: SparkSession, *paths: str) -> DataFrame:
-    """One tagged row (shard_id, filename, size_bytes, relation, row as JSON) per fact of the archives under ``paths``."""
+def archive_files(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, length, content, shard_id) of the archives in files, folders and globs; a shard's id is the digest of its content."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jar").option("recursiveFileLookup", "true").load(list(paths))
-    hashed = files.select("path", "length", "content", F.sha2("content", 256).alias("shard_id"))
+    return files.select("path", "length", "content", F.sha2("content", 256).alias("shard_id"))
+
+
+def read_archives(spark: SparkSession, *paths: str, known: DataFrame | None = None) -> DataFrame:
+    """One tagged row (shard_id, filename, size_bytes, relation, row as JSON) per fact of the archives under ``paths``
+    but for those of ``known`` shards (shard_id)."""
+    hashed = archive_files(spark, *paths)
+    if known is not None:
+        hashed = hashed.join(known, "shard_id", "left_anti")
     # equal contents: the first path's is read; only digests are shuffled for that
     first = hashed.groupBy("shard_id").agg(F.min("path").alias("path"))
     unique = hashed.join(first, ["shard_id", "path"], "left_semi")
@@ -164,6 +175,33 @@ def read_archives(spark: SparkSession, *paths: str) -> DataFrame:
     return unique.select("shard_id", "path", "length", "content").mapInPandas(each, "shard_id string, filename string, size_bytes long, relation string, row string")
 
 
+def read_sources(spark: SparkSession, *paths: str) -> DataFrame:
+    """(filename, entry, text) of the source files in source archives; entries that are too large, binary or not UTF-8 have a note and no text."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, content in zip(b["path"], b["content"], strict=True):
+                try:
+                    z = zipfile.ZipFile(io.BytesIO(content))
+                except zipfile.BadZipFile:
+                    continue
+                for i in sorted(z.infolist(), key=lambda i: i.filename):
+                    if i.filename.endswith(SOURCE_SUFFIXES):
+                        text = note = None
+                        if i.file_size > MAX_SOURCE_BYTES:
+                            note = "too large"
+                        else:
+                            data = z.read(i)
+                            try:
+                                text = None if b"\0" in data else data.decode()
+                                note = None if text is not None else "binary"
+                            except UnicodeDecodeError:
+                                note = "not UTF-8"
+                        yield pd.DataFrame({"filename": [path.rsplit("/", 1)[-1]], "entry": [i.filename], "text": [text], "note": [note]})
+
+    return archive_files(spark, *paths).select("path", "content").mapInPandas(each, "filename string, entry string, text string, note string")
+
+
 def session_of(facts: DataFrame) -> Session:
     """The relations of tagged rows, as ``read_archives`` gives them or as they were written."""
     made = {}

@@ -156,6 +156,50 @@ def test_delta_is_a_rebuild(spark, facts):
     assert sorted(map(str, made.collect())) == sorted(map(str, want.collect()))
 
 
+def test_indexing_reuses_what_it_knows(spark, jars, tmp_path):
+    from factloom.operators import indexing
+
+    path = str(tmp_path / "facts")
+    first = indexing.index(spark, f"{jars}/api.jar, {jars}/impl.jar,,{jars}/api.jar", path)
+    assert (first.total, first.new, first.reused, first.missing) == (2, 2, 0, [])
+    every = indexing.index_many(spark, {"all": str(jars), "none": str(tmp_path / "nowhere"), "blank": " , "}, path)
+    assert (every["all"].total, every["all"].new, every["all"].reused, every["all"].missing) == (5, 2, 2, ["broken.jar"])
+    assert every["none"].error and every["blank"].error and "new" in indexing.report_dict(every["all"])
+    again = indexing.index(spark, str(jars), path)
+    assert (again.total, again.new, again.reused, again.missing) == (5, 0, 4, ["broken.jar"])
+    facts = spark.read.parquet(path)
+    assert facts.count() == facts.distinct().count() + (facts.where("relation = 'strings'").count() - facts.where("relation = 'strings'").distinct().count())
+    shards = facts.where("relation = 'shards'").select("shard_id")
+    name = indexing.build_session(spark, facts, shards.limit(2), str(tmp_path / "sessions"))
+    assert name == indexing.build_session(spark, facts, shards.limit(2), str(tmp_path / "sessions")) and len(name) == 16
+    assert spark.read.parquet(str(tmp_path / "sessions" / name)).select("shard_id").distinct().count() == 2
+    plan = lambda old, new, n=0: indexing.plan_session(*(spark.createDataFrame([(str(i),) for i in x], "shard_id string") for x in (old, new)), n).first()["action"]
+    assert [plan(range(8), range(8)), plan(range(8), range(9)), plan(range(8), range(9), 8), plan(range(8), range(4)), plan([], range(3)), plan([], [])] == ["reuse", "delta", "rebuild", "rebuild", "rebuild", "reuse"]
+
+
+def test_sources_are_read_and_cut(spark, jars, facts, tmp_path):
+    from factloom.operators import provenance
+
+    with zipfile.ZipFile(tmp_path / "impl-sources.jar", "w") as z:
+        z.writestr("demo/impl/Direct.java", IMPL)
+        z.writestr("demo/impl/Nul.java", "a\0b")
+        z.writestr("demo/impl/Latin.kt", b"\xe9")
+        z.writestr("readme.txt", "x")
+    read = archives.read_sources(spark, str(tmp_path))
+    assert {(r.entry, r.note) for r in read.collect()} == {("demo/impl/Direct.java", None), ("demo/impl/Nul.java", "binary"), ("demo/impl/Latin.kt", "not UTF-8")}
+    s = archives.session_of(facts)
+    s.tables["artifacts"] = spark.createDataFrame([], "coordinate string")
+    shard = s["shards"].where("filename = 'impl.jar'").first()["shard_id"]
+    from pyspark.sql import functions as F
+
+    sources = read.withColumn("shard_id", F.lit(shard))
+    assert provenance.get_source(s, sources, "demo.impl.Direct").first()["text"] == IMPL
+    assert [r.text for r in provenance.get_source(s, sources, "demo.impl.Direct", "value").collect()] == java_slice.slice_methods(IMPL, "demo.impl.Direct", "value")
+    assert provenance.get_source(s, sources, "demo.impl.Direct$Level").first()["text"] == IMPL
+    assert provenance.get_source(s, sources, "demo.deep.Indirect").first()["text"] is None and provenance.get_source(s, sources, "demo.deep.Indirect", "x").count() == 0
+    assert provenance.get_source(s, sources, "no.Such").count() == 0
+
+
 def test_stream_adds_a_shard_once(spark, facts, tmp_path):
     from factloom.streaming.ingest import arrivals, watch_facts
 
