@@ -18,7 +18,7 @@ star algorithm.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -234,8 +234,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return prints.join(named, "fp").select("id", "fp", "component")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of near copies.
+def keep_one(docs: DataFrame, classes: Callable[[DataFrame], DataFrame] = near_classes) -> DataFrame:
+    """``docs`` with one row of each group of near copies, which ``classes`` names
+    for (doc_id, text) in columns id and component.
 
     The row with the group's smallest doc_id stays, null ids last, then the one
     with the smallest hash of its text; rows that repeat an id with the same
@@ -247,8 +248,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
         F.coalesce(F.xxhash64("text"), F.lit(0)).alias("hash"),
     )
     scratch = Scratch(docs.sparkSession, "simhash-keep")
-    classes = near_classes(docs.select(key.alias("doc_id"), "text"))
-    first = scratch.write(classes.where("id = component").select("id.*").distinct(), "first")
+    named = classes(docs.select(key.alias("doc_id"), "text"))
+    first = scratch.write(named.where("id = component").select("id.*").distinct(), "first")
     keyed = docs.select("*", key.alias("__key"))
     on = [F.col(f"__key.{c}") == first[c] for c in ("none", "id", "hash")]
     return keyed.join(first, on, "left_semi").dropDuplicates(["__key"]).drop("__key")
