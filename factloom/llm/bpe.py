@@ -338,5 +338,28 @@ def digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(each, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def packed(docs: DataFrame, width: int = 2, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
+    """(id, ids binary: little-endian unsigned ids of ``width`` bytes) of every row's whole text; a null or blank text has no ids."""
+    path = path or default_path()
+    kind_of_id, most = f"<u{width}", (1 << 8 * width) - 1
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        e = encoder(path, cache_words)
+        if max(max(e.v.ids.values()), max(e.v.special.values(), default=0)) > most:
+            raise ValueError(f"ids of {path} don't fit {width} bytes")
+        for b in batches:
+            ids = []
+            for parts in e.encoded(t.as_py() for t in b.column(1)):
+                found = " ".join([x[0] for p in parts for x in p])
+                ids.append(np.fromstring(found, np.int64, sep=" ").astype(kind_of_id).tobytes() if found else b"")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids[: b.num_rows], pa.binary())], names=["id", "ids"])
+
+    small_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(each, f"id {kind}, ids binary")
+
+
 def op7(spark, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), cache_words=ALONE_CACHE_WORDS).withColumnRenamed("id", "doc_id")

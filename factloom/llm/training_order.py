@@ -26,6 +26,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bpe
 from .common import Scratch, small_batches, table
 
 LENGTH = 2048
@@ -34,6 +35,9 @@ KEY = 0x5EED
 ROUNDS = 6
 #: Byte tokens: a text's UTF-8 bytes are its ids; these two bytes never occur in UTF-8.
 END, PAD = 0xFE, 0xFF
+#: BPE ids: bytes of an id, and two marks above every id of the 49k vocabulary.
+WIDTH = 2
+BPE_END, BPE_PAD = 0xFFFE, 0xFFFF
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -199,6 +203,9 @@ def read_slots(folder: str, start: int, count: int) -> np.ndarray:
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    done, _ = materialise(docs, byte_ids(F.col("text")), Scratch(spark, "shards"))
+    scratch = Scratch(spark, "shards")
+    ids = bpe.packed(table(spark, sf_dir, "documents"), WIDTH, cache_words=bpe.ALONE_CACHE_WORDS)
+    encoded = scratch.write(ids.withColumnRenamed("id", "doc_id"), "ids")  # else each text is encoded once to count and once to pack
+    done, _ = materialise(encoded, F.col("ids"), scratch, width=WIDTH, end=BPE_END, pad=BPE_PAD)
+    scratch.drop(encoded)
     return done
