@@ -38,47 +38,61 @@ CHROME_NAMES = frozenset(
     " comment comments discussion disqus respond replies reply reader-comments share sharing social related recommended newsletter subscribe subscription signup login"
     " search pagination pager toolbar legal copyright disclaimer".split()
 )
+#: Parts that leave a compound name what its other parts say: "comments-area" names comments, "search-results" doesn't name a search box.
+LAYOUT_NAMES = frozenset("area bar block bottom box buttons column container fixed form global icons inner item items left links list main outer page primary right row secondary section site sticky title top wrap wrapper".split())
 MAIN_TAGS = frozenset(("article", "main"))
+#: Elements that no name makes chrome.
+NEVER_NAMED = MAIN_TAGS | {"html", "body"}
 CONTAINERS = frozenset("html body article main section div td table tbody tr center".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-NAMED = re.compile(r"""\b(class|id|role|hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 #: Least share of the content's text that the article holds, and least share of links that makes a block a link list.
 ARTICLE_SHARE, LINK_SHARE = 0.5, 0.6
 
 
 class Block:
-    __slots__ = ("path", "chain", "tag", "chrome", "pieces", "linked", "text")
+    __slots__ = ("path", "chain", "tag", "chrome", "named", "pieces", "linked", "text")
 
-    def __init__(self, path, chain, tag, chrome):
-        self.path, self.chain, self.tag, self.chrome = path, chain, tag, chrome
+    def __init__(self, path, chain, tag, chrome, named):
+        self.path, self.chain, self.tag, self.chrome, self.named = path, chain, tag, chrome, named
         self.pieces: list[str] = []
         self.linked: list[str] = []
 
 
-def is_chrome(tag: str, attributes: str, in_main: bool) -> bool:
-    if tag in CHROME_TAGS:
-        return True
-    if tag == "header" and not in_main:
+def attributes_of(text: str) -> dict[str, str]:
+    """Attributes by lower-case name; the first of a name counts."""
+    out: dict[str, str] = {}
+    for name, a, b, c in ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), unescape(a or b or c))
+    return out
+
+
+def is_chrome_name(word: str) -> bool:
+    """Whether one class, id or role names what isn't the article: all of its parts must say so, layout words aside."""
+    if word in CHROME_NAMES:
         return True
+    parts = {x for x in re.split(r"[\W\d_]+", word) if x}
+    return not CHROME_NAMES.isdisjoint(parts) and parts <= CHROME_NAMES | LAYOUT_NAMES
+
+
+def chrome_of(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
+    """Whether an element isn't the article by its tag or the attribute hidden, and whether by a name."""
+    if tag in CHROME_TAGS or tag == "header" and not in_main:
+        return True, False
     if not attributes:
-        return False
-    for name, a, b, c in NAMED.findall(attributes):
-        if name.lower() == "hidden":
-            return True
-        value = (a or b or c).lower()
-        words = value.split()
-        if not CHROME_NAMES.isdisjoint(words) or not CHROME_NAMES.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+        return False, False
+    found = attributes_of(attributes)
+    names = [] if tag in NEVER_NAMED else [w for k in ("class", "id", "role") for w in found.get(k, "").lower().split()]
+    return "hidden" in found, any(map(is_chrome_name, names))
 
 
 def blocks(html: str) -> list[Block]:
     """The blocks of a page in order, those of no text left out."""
     out: list[Block] = []
-    # open elements: (tag, instance, path, chain of block-level instances, chrome, in main)
-    stack: list[tuple] = [("", 0, "", (), False, False)]
+    # open elements: (tag, instance, path, chain of block-level instances, chrome, in main, instances that are chrome by name)
+    stack: list[tuple] = [("", 0, "", (), False, False, ())]
     count, links = 0, 0
     current: Block | None = None
     at = 0
@@ -94,7 +108,7 @@ def blocks(html: str) -> list[Block]:
                 if part.isspace():
                     continue
                 top = next(x for x in reversed(stack) if x[0] not in INLINE)
-                current = Block(top[2], top[3], top[0], stack[-1][4])
+                current = Block(top[2], top[3], top[0], stack[-1][4], stack[-1][6])
                 out.append(current)
             current.pieces.append(part)
             if links:
@@ -121,7 +135,9 @@ def blocks(html: str) -> list[Block]:
             continue
         if tag in INLINE and tag not in VOID:
             top = stack[-1]
-            stack.append((tag, top[1], top[2], top[3], top[4] or is_chrome(tag, m[3], top[5]), top[5]))
+            chrome, named = chrome_of(tag, m[3], top[5])
+            count += named
+            stack.append((tag, top[1], top[2], top[3], top[4] or chrome, top[5], (*top[6], count) if named else top[6]))
             links += tag == "a"
             continue
         if tag in VOID:
@@ -154,7 +170,8 @@ def blocks(html: str) -> list[Block]:
         top = stack[-1]
         count += 1
         main = top[5] or tag in MAIN_TAGS
-        stack.append((tag, count, f"{top[2]}/{tag}", (*top[3], (count, tag)), top[4] or is_chrome(tag, m[3], main), main))
+        chrome, named = chrome_of(tag, m[3], main)
+        stack.append((tag, count, f"{top[2]}/{tag}", (*top[3], (count, tag)), top[4] or chrome, main, (*top[6], count) if named else top[6]))
     kept = []
     for b in out:
         b.text = " ".join(unescape("".join(b.pieces)).split())
@@ -164,8 +181,8 @@ def blocks(html: str) -> list[Block]:
     return kept
 
 
-def path_scores(found: list[Block]) -> list[float]:
-    """Fused, smoothed tag-path ratio of each block."""
+def path_scores(found: list[Block], smoothed: bool = True) -> list[float]:
+    """Fused tag-path ratio of each block, smoothed along the page or as the path has it."""
     length, marks, nodes = defaultdict(int), defaultdict(int), defaultdict(int)
     for b in found:
         own = max(0, len(b.text) - b.linked)
@@ -174,6 +191,8 @@ def path_scores(found: list[Block]) -> list[float]:
         nodes[b.path] += 1
     text = [length[b.path] / nodes[b.path] for b in found]
     punctuation = [marks[b.path] / nodes[b.path] for b in found]
+    if not smoothed:
+        return [0.0 if b.chrome else t * (1 + p) for b, t, p in zip(found, text, punctuation, strict=True)]
     weights = [math.exp(-0.5 * k * k) for k in (-1, 0, 1)]
 
     def smooth(x: list[float]) -> list[float]:
@@ -186,11 +205,31 @@ def path_scores(found: list[Block]) -> list[float]:
     return [0.0 if b.chrome else t * (1 + p) for b, t, p in zip(found, smooth(text), smooth(punctuation), strict=True)]
 
 
+def judge_names(found: list[Block]) -> None:
+    """Makes blocks chrome that lie in elements which are so by name, except elements that hold most of the page's scored text.
+    An element beside an article or main with content gets no such exception."""
+    if not any(b.named for b in found):
+        return
+    score = path_scores(found)
+    least = 0.5 * sum(score) / max(1, sum(not b.chrome for b in found))
+    content = [b for s, b in zip(score, found, strict=True) if not b.chrome and s >= least and s > 0]
+    own = lambda b: max(0, len(b.text) - b.linked)
+    total, held = sum(map(own, content)), defaultdict(int)
+    for b in content:
+        for i in b.named:
+            held[i] += own(b)
+    in_main = [b for b in content if any(t in MAIN_TAGS for _, t in b.chain)]
+    kept = {i for i, n in held.items() if 2 * n > total and all(i in b.named for b in in_main)}
+    for b in found:
+        b.chrome = b.chrome or not kept.issuperset(b.named)
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks joined by newlines; empty if there is none."""
     found = blocks(html or "")
     if not found:
         return ""
+    judge_names(found)
     score = path_scores(found)
     open_scores = [s for s, b in zip(score, found, strict=True) if not b.chrome]
     if not open_scores:
@@ -218,7 +257,8 @@ def main_text(html: str | None) -> str:
         within = lambda b: root is None or any(i == root for i, _ in b.chain)
         keep = {id(b) for n, b in enumerate(found) if n == title or within(b)}
         inside = lambda b: id(b) in keep
-    return "\n".join(b.text for b in found if not b.chrome and inside(b) and b.linked < max(1, LINK_SHARE * len(b.text)))
+    own = path_scores(found, smoothed=False)
+    return "\n".join(b.text for s, b in zip(own, found, strict=True) if not b.chrome and inside(b) and (b.linked < max(1, LINK_SHARE * len(b.text)) or s >= threshold))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
