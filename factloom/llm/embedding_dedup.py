@@ -4,9 +4,8 @@ On the unit sphere cosine >= c is distance <= sqrt(2 - 2c). Pivots cut the
 sphere into cells (the points nearest to a pivot); a vector is at home in one
 cell and a guest in every other that may hold a vector within the distance. By the
 triangle inequality in its Euclidean form, that is a cell no further than the
-distance behind the plane halfway between its pivot and the own one; the cell's
-covering radius excludes more. Cells of one label join on their own, block by
-block as matrix products in double precision, and return counts and spanning
+distance behind the plane halfway between its pivot and the own one. Cells of
+one label join on their own, block by block as matrix products in double precision, and return counts and spanning
 edges, never pairs.
 
 Equal vectors of a label are merged first with their number, so a group of
