@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -22,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the cluster's
-    ``spark.checkpoint.dir``; where that is unset (tests on one machine) a
-    temporary folder that goes with this process."""
+    ``spark.checkpoint.dir``; where that is unset on a local master (tests on one machine) a
+    temporary folder that goes with this process. A cluster without it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="factloom-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -49,9 +52,12 @@ class Scratch:
 
     A written table cuts lineage and survives the loss of any executor. Tables
     that are no longer needed are dropped; what a returned, still lazy result
-    reads stays until the session ends.
+    reads stays until the session ends. Shuffle files of a write go when it ends, instead
+    of staying until the driver happens to collect its garbage.
     """
 
+    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
@@ -73,7 +79,12 @@ class Scratch:
         """Writes ``df`` as Parquet and returns the table read back."""
         self.n += 1
         path = f"{self.root}/{name}-{self.n}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(self.CLEANUP, "false")
+        self.spark.conf.set(self.CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(self.CLEANUP, before)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._scratch_path = path
         return back
