@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import in_blocks
 from .common import Scratch, table
 from .components import connected_components
 
@@ -88,34 +89,14 @@ def join_cell(vectors: np.ndarray, home: np.ndarray, count: np.ndarray, least: f
     return links, labels
 
 
-def in_blocks(dealt: DataFrame, block: int, scratch: Scratch) -> DataFrame:
-    """``dealt`` with the two blocks that a row is joined in: -1 twice where the cell has at most ``block`` rows.
-
-    A cell of more has n blocks; a row of block b meets block c as a home row in (b, c) and as another row in (c, b).
-    The join with the numbers of rows is on cells, of which few are large, so adaptive execution may send them to every task.
-    """
-    cell = ["label", "dim", "cell"]
-    large = dealt.groupBy(*cell).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > block)
-    large = scratch.write(large.select(*cell, F.ceil(F.col("rows") / block).cast("int").alias("blocks")), "large")
-    if large.isEmpty():  # spares the shuffle that the join takes
-        return dealt.withColumns({"i": F.lit(-1), "j": F.lit(-1)})
-    own = F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    pair = lambda i, j, home: F.struct(i.alias("i"), j.alias("j"), home.alias("home"))
-    as_home = F.when(F.col("home"), F.transform(every, lambda j: pair(own, j, F.lit(True)))).otherwise(F.array(pair(own, own, F.lit(False))))
-    as_other = F.transform(F.filter(every, lambda i: i != own), lambda i: pair(i, own, F.lit(False)))
-    alone = F.array(pair(F.lit(-1), F.lit(-1), F.col("home")))
-    places = F.when(F.col("blocks").isNull(), alone).otherwise(F.concat(as_home, as_other))
-    return dealt.join(large, cell, "left").withColumn("p", F.explode(places)).select(*cell, "gid", "n", "v", "p.i", "p.j", "p.home")
-
-
-def near_classes(vectors: DataFrame, least: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", block: int = BLOCK_VECTORS) -> DataFrame:
+def near_classes(vectors: DataFrame, least: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", block: int = BLOCK_VECTORS, cell_vectors: int = CELL_VECTORS) -> DataFrame:
     """(id, n_links, component_id, kept) of every row.
 
     Rows without a label or with a vector that is null, empty, zero or holds nulls or
     non-finite numbers link with nothing: 0 links, their own id, kept. Vectors of
     different lengths don't link. A null id is kept only if its whole component has null ids.
-    Repeated ids are separate rows; other columns are not read.
+    Repeated ids are separate rows; other columns are not read. ``cell_vectors`` and ``block`` set
+    how the work is cut up, which changes no result.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embeddings")
@@ -128,7 +109,7 @@ def near_classes(vectors: DataFrame, least: float = COSINE, id_col: str = "vec_i
     sizes = reps.groupBy("dim", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("dim").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "dim").limit(64).collect()
     pivots: dict[int, np.ndarray] = {}
     for dim, most in sizes:  # other lengths, if any, are one cell for each label
-        k = min(MAX_PIVOTS, math.ceil(most / CELL_VECTORS))
+        k = min(MAX_PIVOTS, math.ceil(most / cell_vectors))
         some = reps.where(F.col("dim") == dim).orderBy(F.xxhash64("v"), "gid").limit(SAMPLE).select("v").collect()
         pivots[dim] = choose_pivots(unit(np.array([r[0] for r in some], float)), k)
     shared = spark.sparkContext.broadcast(pivots)
@@ -151,7 +132,7 @@ def near_classes(vectors: DataFrame, least: float = COSINE, id_col: str = "vec_i
         return pd.DataFrame({"gid": gid, "links": np.where(home, links, 0), "root": gid[labels]})
 
     dealt = reps.mapInPandas(deal, f"label {kind}, dim int, cell int, gid long, n long, home boolean, v array<double>")
-    joined = scratch.write(in_blocks(dealt, block, scratch).groupBy("label", "dim", "cell", "i", "j").applyInPandas(join, "gid long, links long, root long"), "joined")
+    joined = scratch.write(in_blocks(dealt, ["label", "dim", "cell"], "gid", block, scratch).groupBy("label", "dim", "cell", "i", "j").applyInPandas(join, "gid long, links long, root long"), "joined")
     classes = connected_components(joined.select(F.col("gid").alias("u"), F.col("root").alias("v")), scratch)
     links = joined.groupBy("gid").agg(F.sum("links").alias("links"))
     rooted = scratch.write(reps.join(links, "gid").join(classes, reps["gid"] == classes["node"], "left").select("gid", "label", "v", "rep", "links", F.coalesce("root", "gid").alias("root")), "rooted")

@@ -12,6 +12,7 @@ must visit (guest), namely those whose side of a ball's surface lies within
 ``radius`` of it. Every shard joins its home points with each other and with its
 guests, independently of the rest, splitting further by local vantage points,
 so each pair within the radius is met exactly where its one end is at home.
+A shard that many near copies make large is cut into blocks, joined pair by pair.
 Shards return spanning edges, not pairs, and components come from a distributed
 star algorithm.
 """
@@ -21,12 +22,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import in_blocks
 from .common import Scratch, small_batches
 from .components import connected_components
 
@@ -38,22 +39,30 @@ TREE_SAMPLE = 1 << 17
 #: Home points that a shard should have, and those below which a shard is compared block by block.
 SHARD_POINTS = 2048
 LEAF_POINTS = 512
+#: Points of a shard that one task joins; a shard of more is cut into blocks of about so many.
+BLOCK_POINTS = 16_384
 #: Shingles whose bits are unpacked at once.
 BLOCK = 1 << 14
 
 
-def fingerprint(text: str | None, n: int = SHINGLE) -> int:
-    """The unsigned fingerprint of a whole text; null and blank texts have 0."""
+def shingle_hashes(text: str | None, n: int = SHINGLE) -> np.ndarray:
+    """XXH64 of every shingle of a whole text, repeats included; a shorter text is one shingle, null and blank texts have none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: lowers A-Z and splits at the six separators only
-    if not words:
-        return 0
-    m = max(1, len(words) - n + 1)
+    m = max(1, len(words) - n + 1) if words else 0
+    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + n]), SEED) for i in range(m)), np.uint64, m)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The unsigned fingerprint of hashes: the bits that over half of them have; of none it is 0."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, m, BLOCK):
-        end = min(m, at + BLOCK)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + n]), SEED) for i in range(at, end)), np.uint64, end - at)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > m, bitorder="little").view(np.uint64)[0])
+    for at in range(0, len(hashes), BLOCK):
+        counts += np.unpackbits(hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, n: int = SHINGLE) -> int:
+    """The unsigned fingerprint of a whole text; null and blank texts have 0."""
+    return majority(shingle_hashes(text, n))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
@@ -167,9 +176,10 @@ def _unite(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = labels[labels]
 
 
-def join_shard(points: np.ndarray, home: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+def join_shard(points: np.ndarray, home: np.ndarray, radius: int = RADIUS, whole: bool = True) -> np.ndarray:
     """Class labels (index of the least member) over one shard's points, linked
-    when at least one end is at home and they differ in ``radius`` bits or less."""
+    when at least one end is at home and they differ in ``radius`` bits or less.
+    Those at home are compared with all, or, of two blocks (not ``whole``), with those not at home."""
     labels = np.arange(len(points))
     rng = np.random.default_rng(SEED)
     stack = [(np.flatnonzero(home), np.flatnonzero(~home))]
@@ -179,55 +189,65 @@ def join_shard(points: np.ndarray, home: np.ndarray, radius: int = RADIUS) -> np
             continue
         split = best_split(points[h], radius, rng) if len(h) > LEAF_POINTS else None
         if split is None:
-            every = np.concatenate([h, g])
-            rows = max(1, (1 << 21) // len(every))
+            every = np.concatenate([h, g]) if whole else g
+            rows = max(1, (1 << 19) // max(1, len(every)))
             for at in range(0, len(h), rows):
                 part = h[at : at + rows]
                 i, j = np.nonzero(np.bitwise_count(points[part][:, None] ^ points[every][None, :]) <= radius)
-                if len(i) > len(part):
+                if len(i) > len(part) * whole:
                     _unite(labels, part[i], every[j])
             continue
         both = np.concatenate([h, g])
         at_home = np.arange(len(both)) < len(h)
         to_left, as_home, to_right = visits(points[both], at_home, *split, radius)
+        if not whole:  # others of the pair meet all at home, whichever side these are on
+            d = np.bitwise_count(points[both] ^ split[0]).astype(np.int16)
+            to_left, as_home = np.where(at_home, d <= split[1], to_left), at_home
+            to_right = np.where(at_home, d > split[1], d > split[1] - radius)
         stack.append((both[to_left & as_home], both[to_left & ~as_home]))
         stack.append((both[to_right & at_home], both[to_right & ~at_home]))
     return labels
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp, component): every row with its fingerprint and the smallest id
-    of its component.
-
-    Nulls: a null text has fingerprint 0, like an empty one; a null id is never
-    the smallest unless all of the component are null. Repeated ids are
-    separate rows. Other columns of ``docs`` are not read.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "simhash")
-    prints = scratch.write(fingerprints(docs, id_col, text_col, shingle), "prints")
-    reps = scratch.write(prints.groupBy("fp").agg(F.min("id").alias("rep")), "reps")
+def links(reps: DataFrame, scratch: Scratch, radius: int = RADIUS, block: int = BLOCK_POINTS, shard_points: int = SHARD_POINTS) -> DataFrame:
+    """Spanning links (u, v) of the distinct fingerprints ``reps`` (fp): within a shard, u was linked to v, the
+    least of its class, by a chain of fingerprints that differ in ``radius`` bits or less."""
+    spark = reps.sparkSession
     n = reps.count()
     sample = [r[0] for r in reps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(TREE_SAMPLE).collect()]
     points = np.array(sample, np.int64).view(np.uint64)
-    tree = VantageTree(radius).fit(points, max(32.0, SHARD_POINTS * len(points) / max(1, n)))
+    tree = VantageTree(radius).fit(points, max(32.0, shard_points * len(points) / max(1, n)))
     shared = spark.sparkContext.broadcast(tree)
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = b["fp"].to_numpy(np.int64)
+            fp = b.column(0).to_numpy()
             rows, leaf, home = shared.value.route(fp.view(np.uint64))
-            yield pd.DataFrame({"leaf": leaf, "fp": fp[rows], "home": home})
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(fp[rows]), pa.array(home)], names=["leaf", "fp", "home"])
 
-    def join(b: pd.DataFrame) -> pd.DataFrame:
-        fp = b["fp"].to_numpy(np.int64)
-        labels = join_shard(fp.view(np.uint64), b["home"].to_numpy(bool), radius)
+    def join(t: pa.Table) -> pa.Table:
+        fp = t.column("fp").to_numpy()
+        labels = join_shard(fp.view(np.uint64), t.column("home").to_numpy(), radius, t.column("i")[0] == t.column("j")[0])
         moved = np.flatnonzero(labels != np.arange(len(labels)))
-        return pd.DataFrame({"u": fp[moved], "v": fp[labels[moved]]})
+        return pa.table({"u": fp[moved], "v": fp[labels[moved]]})
+
+    dealt = reps.select("fp").mapInArrow(deal, "leaf long, fp long, home boolean")
+    return in_blocks(dealt, ["leaf"], "fp", block, scratch).groupBy("leaf", "i", "j").applyInArrow(join, "u long, v long")
 
-    dealt = reps.select("fp").mapInPandas(deal, "leaf long, fp long, home boolean")
-    edges = dealt.groupBy("leaf").applyInPandas(join, "u long, v long")
-    classes = connected_components(edges, scratch)
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, block: int = BLOCK_POINTS, shard_points: int = SHARD_POINTS) -> DataFrame:
+    """(id, fp, component): every row with its fingerprint and the smallest id
+    of its component.
+
+    Nulls: a null text has fingerprint 0, like an empty one; a null id is never
+    the smallest unless all of the component are null. Repeated ids are
+    separate rows. Other columns of ``docs`` are not read. ``block`` and ``shard_points``
+    set how the work is cut up, which changes no result.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash")
+    prints = scratch.write(fingerprints(docs, id_col, text_col, shingle), "prints")
+    reps = scratch.write(prints.groupBy("fp").agg(F.min("id").alias("rep")), "reps")
+    classes = connected_components(links(reps, scratch, radius, block, shard_points), scratch)
     rooted = scratch.write(reps.join(classes, reps["fp"] == classes["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "rooted")
     least = scratch.write(rooted.groupBy("root").agg(F.min("rep").alias("component")), "least")
     named = scratch.write(rooted.join(least, "root").select("fp", "component"), "named")
