@@ -2,13 +2,12 @@
 
 import hashlib
 
-import numpy as np
 import pyarrow as pa
 from conftest import cells
-from test_operators import brute_classes
+from test_shingles import brute
 
 import corpus_pipeline
-from factloom.llm import bpe, mixing, quality, simhash, toxicity
+from factloom.llm import bpe, mixing, quality, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,8 +42,8 @@ def test_pipeline_by_brute_force(spark):
     rows = [r for r in rows if keeps(r["text"])]
     model = toxicity.train(spark.createDataFrame(rows, docs.schema), labels)
     rows = [r for r in rows if model.score(r["text"]) < 0.5]
-    fp = np.array([simhash.fingerprint(r["text"]) for r in rows], np.uint64)
-    rows = [r for r, c in zip(rows, brute_classes(fp, [r["doc_id"] for r in rows]), strict=True) if r["doc_id"] == c]
+    rows.sort(key=lambda r: r["doc_id"])
+    rows = [r for i, (r, c) in enumerate(zip(rows, brute([r["text"] for r in rows]), strict=True)) if i == c]
     c = duckdb.connect()
     c.register("documents", pa.Table.from_pylist(rows))
     taken = {i: -(-t // n) for i, n, t in c.execute(f"SELECT doc_id, size, taken FROM ({mixing.OP1_SQL}) WHERE taken > 0").fetchall()}
