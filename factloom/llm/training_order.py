@@ -10,11 +10,16 @@ at byte (s mod per_shard) * stride of shard s div per_shard, and a reader resume
 any slot.
 
 Sequences are numbered where they lie: input partitions are counted first, and the offset
-of each partition is what goes to all tasks.
+of each partition is what goes to all tasks. A writing task owns a range of shards; it names
+files by attempt and returns their names, and only named files are read, so a task that runs twice
+leaves a file that nothing reads.
+
+The query's ids are those of a byte-level BPE, which decode to the very text.
 """
 
 from __future__ import annotations
 
+import base64
 import json
 import uuid
 import zlib
@@ -22,22 +27,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import dataset as pads
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import bpe
 from .common import Scratch, small_batches, table
 
 LENGTH = 2048
 PER_SHARD = 8192
+#: Shards that a writing task makes, where there are many.
+TASK_SHARDS = 8
 KEY = 0x5EED
 ROUNDS = 6
 #: Byte tokens: a text's UTF-8 bytes are its ids; these two bytes never occur in UTF-8.
 END, PAD = 0xFE, 0xFF
-#: BPE ids: bytes of an id, and two marks above every id of the 49k vocabulary.
+#: BPE ids: bytes of an id; the vocabulary of 50,256 ranks leaves the next id free for the end mark.
 WIDTH = 2
-BPE_END, BPE_PAD = 0xFFFE, 0xFFFF
+BPE_END, BPE_PAD = 50_256, 0xFFFF
+#: Characters of a text that are encoded at once; a longer text is cut before a space where it has one.
+PIECE = 1 << 18
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -68,6 +77,54 @@ def byte_ids(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
+_ENCODINGS: dict[str, object] = {}
+
+
+def default_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def encoding(path: str):
+    """The byte-level BPE whose ranks ``path`` holds; one for each worker process."""
+    if path not in _ENCODINGS:
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        _ENCODINGS[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODINGS[path]
+
+
+def pieces(text: str) -> Iterator[str]:
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        if end < len(text) and (space := text.rfind(" ", at + 1, end)) > 0:
+            end = space
+        yield text[at:end]
+        at = end
+
+
+def bpe_ids(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids binary: little-endian uint16) of every row's whole text; a null or empty text has no ids."""
+    path = path or default_path()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoding(path)
+        if e.max_token_value >= 1 << 8 * WIDTH:
+            raise ValueError(f"ids of {path} don't fit {WIDTH} bytes")
+        for b in batches:
+            ids = [b"".join(np.array(e.encode_ordinary(x), "<u2").tobytes() for x in pieces(t.as_py() or "")) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
+
+    small_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(each, f"id {kind}, ids binary")
+
+
 def materialise(docs: DataFrame, ids: Column, scratch: Scratch, id_col: str = "doc_id", width: int = 1, length: int = LENGTH, per_shard: int = PER_SHARD, end: int = END, pad: int = PAD, key: int = KEY) -> tuple[DataFrame, str]:
     """Writes the shards and returns (one row per sequence, folder).
 
@@ -92,7 +149,6 @@ def materialise(docs: DataFrame, ids: Column, scratch: Scratch, id_col: str = "d
     kind = docs.schema[id_col].dataType
     end_mark = int(end).to_bytes(width, "little")
     pad_mark = int(pad).to_bytes(width, "little")
-    arrow_id = pa.int64() if kind.simpleString() == "bigint" else pa.int32() if kind.simpleString() == "int" else pa.string()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -100,7 +156,7 @@ def materialise(docs: DataFrame, ids: Column, scratch: Scratch, id_col: str = "d
         part = TaskContext.get().partitionId()
         all_sizes, all_offsets, total = shared.value
         number, seen = all_offsets.get(part, 0), 0
-        buffer, first = bytearray(), None
+        buffer, first, arrow_id = bytearray(), None, None
         firsts, data, used = [], [], []
 
         def flush() -> pa.RecordBatch:
@@ -130,6 +186,7 @@ def materialise(docs: DataFrame, ids: Column, scratch: Scratch, id_col: str = "d
 
         current = None
         for b in batches:
+            arrow_id = b.column(0).type
             for i in range(b.num_rows):
                 current = b.column(0)[i].as_py()
                 value = b.column(1)[i].as_buffer()
@@ -150,38 +207,41 @@ def materialise(docs: DataFrame, ids: Column, scratch: Scratch, id_col: str = "d
 
     packed = rows.mapInArrow(pack, f"slot long, sequence long, shard int, first_doc_id {kind.simpleString()}, n_tokens int, crc32 long, data binary")
     shards = -(-n // per_shard)
+    per_task = TASK_SHARDS if shards >= 4 * TASK_SHARDS * spark.sparkContext.defaultParallelism else 1
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
         out = name = None
         shard = -1
-
-        def finish() -> None:
-            if out is not None:
-                out.close()
-                fs.move(name, f"{root}/{shard_name(shard)}")  # a task that runs again moves the same bytes there
-
         for b in batches:
+            names = []
             for at, data in zip(b.column("shard").to_pylist(), b.column("data"), strict=True):
                 if at != shard:
-                    finish()
-                    shard, name = at, f"{root}/.{uuid.uuid4().hex}"
-                    out = fs.open_output_stream(name)
+                    if out is not None:
+                        out.close()
+                    shard, name = at, f"shard-{at:08d}-{uuid.uuid4().hex}.bin"
+                    out = fs.open_output_stream(f"{root}/{name}")
                 out.write(zlib.decompress(memoryview(data.as_buffer())))
+                names.append(name)
             slots = b.column("slot").to_numpy()
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("slot", "sequence", "shard")), pa.array(slots % per_shard * stride), *(b.column(c) for c in ("first_doc_id", "n_tokens", "crc32"))], names=["slot", "sequence", "shard", "byte_offset", "first_doc_id", "n_tokens", "crc32"])
-        finish()
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("slot", "sequence", "shard")), pa.array(slots % per_shard * stride), *(b.column(c) for c in ("first_doc_id", "n_tokens", "crc32")), pa.array(names, pa.string())], names=["slot", "sequence", "shard", "byte_offset", "first_doc_id", "n_tokens", "crc32", "file"])
+        if out is not None:
+            out.close()
 
-    ordered = packed.repartitionById(max(1, shards), F.col("shard")).sortWithinPartitions("slot")
-    done = scratch.write(ordered.mapInArrow(write, f"slot long, sequence long, shard int, byte_offset long, first_doc_id {kind.simpleString()}, n_tokens int, crc32 long"), "sequences")
+    ordered = packed.repartitionById(max(1, -(-shards // per_task)), F.expr(f"cast(shard div {per_task} as int)")).sortWithinPartitions("slot")
+    done = scratch.write(ordered.mapInArrow(write, f"slot long, sequence long, shard int, byte_offset long, first_doc_id {kind.simpleString()}, n_tokens int, crc32 long, file string"), "sequences")
+    done.where(F.col("byte_offset") == 0).select("shard", "file").write.parquet(f"{folder}/files")
     fs, root = pafs.FileSystem.from_uri(folder)
     with fs.open_output_stream(f"{root}/index.json") as f:
         f.write(json.dumps({"sequences": n, "shards": shards, "per_shard": per_shard, "length": length, "width": width, "end": end, "pad": pad, "key": key}).encode())
-    return done, folder
+    return done.drop("file"), folder
 
 
-def shard_name(shard: int) -> str:
-    return f"shard-{shard:08d}.bin"
+def shard_files(folder: str, first: int, last: int) -> dict[int, str]:
+    """The files of shards ``first`` to ``last``."""
+    fs, root = pafs.FileSystem.from_uri(folder)
+    found = pads.dataset(f"{root}/files", format="parquet", filesystem=fs).to_table(filter=(pads.field("shard") >= first) & (pads.field("shard") <= last))
+    return dict(zip(found["shard"].to_pylist(), found["file"].to_pylist(), strict=True))
 
 
 def read_slots(folder: str, start: int, count: int) -> np.ndarray:
@@ -191,11 +251,12 @@ def read_slots(folder: str, start: int, count: int) -> np.ndarray:
         index = json.loads(f.read())
     stride, per = index["length"] * index["width"], index["per_shard"]
     count = max(0, min(count, index["sequences"] - start))
+    names = shard_files(folder, start // per, (start + count - 1) // per) if count else {}
     parts = []
     while count:
         shard, at = divmod(start, per)
         some = min(count, per - at)
-        with fs.open_input_file(f"{root}/{shard_name(shard)}") as f:
+        with fs.open_input_file(f"{root}/{names[shard]}") as f:
             f.seek(at * stride)
             parts.append(f.read(some * stride))
         start, count = start + some, count - some
@@ -204,8 +265,7 @@ def read_slots(folder: str, start: int, count: int) -> np.ndarray:
 
 def op8(spark, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "shards")
-    ids = bpe.packed(table(spark, sf_dir, "documents"), WIDTH, cache_words=bpe.ALONE_CACHE_WORDS)
-    encoded = scratch.write(ids.withColumnRenamed("id", "doc_id"), "ids")  # else each text is encoded once to count and once to pack
+    encoded = scratch.write(bpe_ids(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id"), "ids")  # else each text is encoded once to count and once to pack
     done, _ = materialise(encoded, F.col("ids"), scratch, width=WIDTH, end=BPE_END, pad=BPE_PAD)
     scratch.drop(encoded)
     return done
