@@ -3,16 +3,24 @@
 A page is read once into blocks: runs of text without a block-level tag
 between, each with its root-to-leaf tag path. Text length and punctuation are
 summed per path and divided by the number of blocks on it; both ratios are
-smoothed along the page, fused to one score and compared with the page's own
-threshold, which gives the content paths. The element that holds most of their text is the
-article: its blocks are the result, without those on paths of menus, adverts,
-comments and the like.
+smoothed along the page and fused to one score of a block. Blocks that score at least
+the page's own threshold are its content nodes.
+
+The element that holds most of the content nodes' text is the article. Its content nodes are
+the result, with what belongs to them: blocks between two of them, and the headings and
+other short blocks next to them, unless these are link lists. What is never an article (menus, forms,
+adverts, reader comments) scores 0. Tags say so for sure; class names do only of an
+element that holds less than half of what scores.
+
+Elements are numbered and point to their parents, so a page costs time in proportion to its
+length, however deep its tags nest and however broken they are.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
@@ -41,25 +49,66 @@ CHROME_NAMES = frozenset(
 #: Parts that leave a compound name what its other parts say: "comments-area" names comments, "search-results" doesn't name a search box.
 LAYOUT_NAMES = frozenset("area bar block bottom box buttons column container fixed form global icons inner item items left links list main outer page primary right row secondary section site sticky title top wrap wrapper".split())
 MAIN_TAGS = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that no name makes chrome.
 NEVER_NAMED = MAIN_TAGS | {"html", "body"}
 CONTAINERS = frozenset("html body article main section div td table tbody tr center".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+#: Element of a start tag's attributes up to its end, quotes respected.
+ATTRIBUTES = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-#: Least share of the content's text that the article holds, and least share of links that makes a block a link list.
-ARTICLE_SHARE, LINK_SHARE = 0.5, 0.6
+SENTENCE = re.compile(r"[.!?…。！？]")
+#: Threshold of content nodes, in mean scores; what blocks next to them need of it; least share of the
+#: content's text that an article or main, or another element, holds; least share of links that makes a block a link list.
+CONTENT, BESIDE = 0.5, 0.1
+ARTICLE_SHARE, CONTAINER_SHARE, LINK_SHARE = 0.5, 0.9, 0.6
+
+
+class Page:
+    """Elements (arrays by number; 0 is the page itself) and the blocks of text in them."""
+
+    def __init__(self):
+        self.tag, self.parent, self.path = [""], [0], [0]
+        self.chrome, self.main, self.named = [False], [False], [0]
+        self.named_parent = {}  # element that is chrome by name -> the next one above, or 0
+        self.paths: dict[tuple[int, str], int] = {}
+        self.blocks: list[Block] = []
+
+    def add(self, tag: str, parent: int, attributes: str, block: bool) -> int:
+        at = len(self.tag)
+        main = self.main[parent] or tag in MAIN_TAGS
+        chrome, named = chrome_of(tag, attributes, main)
+        self.tag.append(tag)
+        self.parent.append(parent)
+        self.path.append(self.paths.setdefault((self.path[parent], tag), len(self.paths) + 1) if block else self.path[parent])
+        self.chrome.append(self.chrome[parent] or chrome)
+        self.main.append(main)
+        self.named.append(at if named else self.named[parent])
+        if named:
+            self.named_parent[at] = self.named[parent]
+        return at
 
 
 class Block:
-    __slots__ = ("path", "chain", "tag", "chrome", "named", "pieces", "linked", "text")
+    __slots__ = ("chrome", "element", "linked", "named", "path", "pieces", "tag", "text")
 
-    def __init__(self, path, chain, tag, chrome, named):
-        self.path, self.chain, self.tag, self.chrome, self.named = path, chain, tag, chrome, named
+    def __init__(self, page: Page, element: int, inner: int):
+        self.element, self.path, self.tag = element, page.path[element], page.tag[element]
+        self.chrome, self.named = page.chrome[inner], page.named[inner]
         self.pieces: list[str] = []
         self.linked: list[str] = []
 
+    @property
+    def own(self) -> int:
+        """Characters that count for the ratios: a link's only if the block reads as a sentence."""
+        return len(self.text) if self.linked < LINK_SHARE * len(self.text) or SENTENCE.search(self.text) else len(self.text) - self.linked
+
+    @property
+    def link_list(self) -> bool:
+        return self.own < (1 - LINK_SHARE) * len(self.text) or self.own == 0
+
 
 def attributes_of(text: str) -> dict[str, str]:
     """Attributes by lower-case name; the first of a name counts."""
@@ -88,112 +137,146 @@ def chrome_of(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
     return "hidden" in found, any(map(is_chrome_name, names))
 
 
-def blocks(html: str) -> list[Block]:
-    """The blocks of a page in order, those of no text left out."""
-    out: list[Block] = []
-    # open elements: (tag, instance, path, chain of block-level instances, chrome, in main, instances that are chrome by name)
-    stack: list[tuple] = [("", 0, "", (), False, False, ())]
-    count, links = 0, 0
+class Open:
+    """The open elements: a stack, where each tag stands in it, and its topmost block-level element."""
+
+    def __init__(self):
+        self.elements, self.tags, self.at, self.blocks, self.links = [0], [""], defaultdict(list), [0], 0
+
+    def push(self, element: int, tag: str, block: bool) -> None:
+        self.at[tag].append(len(self.tags))
+        if block:
+            self.blocks.append(len(self.tags))
+        self.elements.append(element)
+        self.tags.append(tag)
+        self.links += tag == "a"
+
+    def cut(self, depth: int) -> None:
+        """Closes all elements from ``depth`` on."""
+        while len(self.tags) > depth:
+            tag = self.tags.pop()
+            self.elements.pop()
+            self.at[tag].pop()
+            self.links -= tag == "a"
+        while self.blocks[-1] >= depth:
+            self.blocks.pop()
+
+    def last(self, tag: str) -> int:
+        return self.at[tag][-1] if self.at.get(tag) else 0
+
+    def close(self, tag: str) -> None:
+        depth = self.last(tag)
+        if depth and (tag not in INLINE or depth > self.blocks[-1]):  # an inline end tag doesn't close blocks
+            self.cut(depth)
+
+    def begin(self, tag: str) -> None:
+        """Closes what a block-level start tag ends: an open paragraph, and some end their like."""
+        if self.tags[self.blocks[-1]] == "p":
+            self.cut(self.blocks[-1])
+        if tag in CLOSES:
+            like = CLOSES[tag]
+            scope = max(map(self.last, SCOPES - {"td", "th"}))
+            if tag in ("tr", "thead", "tbody", "tfoot"):
+                found = [p[bisect_right(p, scope)] for t in like if (p := self.at.get(t)) and p[-1] > scope]
+                if found:
+                    self.cut(min(found))
+            else:
+                depth = max(map(self.last, like))
+                if depth > scope:
+                    self.cut(depth)
+
+
+def parse(html: str) -> Page:
+    page, stack = Page(), Open()
     current: Block | None = None
-    at = 0
-    while at < len(html):
-        m = TOKEN.match(html, at)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            part = m[0]
-            if part[0] == "<" and len(part) > 1:
-                continue  # a comment or declaration
-            if current is None:
-                if part.isspace():
-                    continue
-                top = next(x for x in reversed(stack) if x[0] not in INLINE)
-                current = Block(top[2], top[3], top[0], stack[-1][4], stack[-1][6])
-                out.append(current)
-            current.pieces.append(part)
-            if links:
-                current.linked.append(part)
+    at, size, last_end, quotes = 0, len(html), html.rfind(">"), True
+
+    def text(part: str) -> None:
+        nonlocal current
+        if current is None:
+            if part.isspace():
+                return
+            current = Block(page, stack.elements[stack.blocks[-1]], stack.elements[-1])
+            page.blocks.append(current)
+        current.pieces.append(part)
+        if stack.links:
+            current.linked.append(part)
+
+    while at < size:
+        begin = html.find("<", at)
+        if begin < 0:
+            text(html[at:])
+            break
+        if begin > at:
+            text(html[at:begin])
+        at = begin
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            at = size if end < 0 else end + 3
+            continue
+        m = TAG.match(html, at)
+        if m is None and html[at + 1 : at + 2] not in ("!", "?", "/") or at > last_end:
+            text("<")
+            at += 1
             continue
-        tag = tag.lower()
-        if m[1]:  # an end tag
+        if m is None:  # a declaration, or an end tag of no name
+            at = html.find(">", at) + 1
+            continue
+        tag, rest = m[2].lower(), m.end()
+        end = ATTRIBUTES.match(html, rest) if quotes else None
+        if end is None:  # quotes that don't close mean nothing from here on
+            quotes = False
+            at = html.find(">", rest) + 1
+        else:
+            at = end.end()
+        attributes = html[rest : at - 1]
+        if m[1]:
             if tag == "br" and current:
                 current.pieces.append(" ")
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    links -= sum(x[0] == "a" for x in stack[k:])
-                    del stack[k:]
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break  # an inline end tag doesn't close blocks
+            stack.close(tag)
             if tag not in INLINE:
                 current = None
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-            if not m[3].endswith("/") or tag not in ("svg", "math"):
-                at = end.end() if end else len(html)
-            continue
-        if tag in INLINE and tag not in VOID:
-            top = stack[-1]
-            chrome, named = chrome_of(tag, m[3], top[5])
-            count += named
-            stack.append((tag, top[1], top[2], top[3], top[4] or chrome, top[5], (*top[6], count) if named else top[6]))
-            links += tag == "a"
+            if not (attributes.endswith("/") and tag in ("svg", "math")):
+                end = re.compile(rf"</{re.escape(tag)}\b", re.I).search(html, at)
+                at = size if end is None or end.end() > last_end else html.find(">", end.end()) + 1
             continue
         if tag in VOID:
-            if tag in INLINE:
-                if current:
-                    current.pieces.append(" ")
-            else:
+            if tag not in INLINE:
                 current = None
+            elif current:
+                current.pieces.append(" ")
+            continue
+        if tag in INLINE:
+            if attributes or tag == "a":
+                stack.push(page.add(tag, stack.elements[-1], attributes, False), tag, False)
+            else:
+                stack.push(stack.elements[-1], tag, False)
             continue
-        # a block-level start tag ends an open paragraph, and some end their like
         current = None
-        for k in range(len(stack) - 1, 0, -1):
-            t = stack[k][0]
-            if t == "p":
-                links -= sum(x[0] == "a" for x in stack[k:])
-                del stack[k:]
-                break
-            if t not in INLINE:
-                break
-        if tag in CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                t = stack[k][0]
-                if t in CLOSES[tag]:
-                    links -= sum(x[0] == "a" for x in stack[k:])
-                    del stack[k:]
-                    if tag not in ("tr", "thead", "tbody", "tfoot"):
-                        break
-                elif t in SCOPES and t not in ("td", "th"):
-                    break
-        top = stack[-1]
-        count += 1
-        main = top[5] or tag in MAIN_TAGS
-        chrome, named = chrome_of(tag, m[3], main)
-        stack.append((tag, count, f"{top[2]}/{tag}", (*top[3], (count, tag)), top[4] or chrome, main, (*top[6], count) if named else top[6]))
+        stack.begin(tag)
+        stack.push(page.add(tag, stack.elements[-1], attributes, True), tag, True)
     kept = []
-    for b in out:
+    for b in page.blocks:
         b.text = " ".join(unescape("".join(b.pieces)).split())
         if b.text:
             b.linked = len(" ".join(unescape("".join(b.linked)).split()))
             kept.append(b)
-    return kept
+    page.blocks = kept
+    return page
 
 
-def path_scores(found: list[Block], smoothed: bool = True) -> list[float]:
-    """Fused tag-path ratio of each block, smoothed along the page or as the path has it."""
+def path_scores(found: list[Block]) -> list[float]:
+    """Fused tag-path ratio of each block, smoothed along the page; chrome scores 0 and smooths nothing."""
     length, marks, nodes = defaultdict(int), defaultdict(int), defaultdict(int)
     for b in found:
-        own = max(0, len(b.text) - b.linked)
-        length[b.path] += own
-        marks[b.path] += len(PUNCTUATION.findall(b.text)) if own else 0
+        length[b.path] += b.own
+        marks[b.path] += len(PUNCTUATION.findall(b.text)) if b.own else 0
         nodes[b.path] += 1
     text = [length[b.path] / nodes[b.path] for b in found]
     punctuation = [marks[b.path] / nodes[b.path] for b in found]
-    if not smoothed:
-        return [0.0 if b.chrome else t * (1 + p) for b, t, p in zip(found, text, punctuation, strict=True)]
-    weights = [math.exp(-0.5 * k * k) for k in (-1, 0, 1)]
+    weights = [math.exp(-2.0 * k * k) for k in (-1, 0, 1)]
 
     def smooth(x: list[float]) -> list[float]:
         out = []
@@ -205,60 +288,87 @@ def path_scores(found: list[Block], smoothed: bool = True) -> list[float]:
     return [0.0 if b.chrome else t * (1 + p) for b, t, p in zip(found, smooth(text), smooth(punctuation), strict=True)]
 
 
-def judge_names(found: list[Block]) -> None:
-    """Makes blocks chrome that lie in elements which are so by name, except elements that hold most of the page's scored text.
-    An element beside an article or main with content gets no such exception."""
+def content_nodes(found: list[Block]) -> tuple[list[float], float, list[bool]]:
+    """Scores, threshold, and which blocks are content nodes."""
+    score = path_scores(found)
+    scored = [s for s in score if s > 0]
+    threshold = CONTENT * sum(scored) / len(scored) if scored else math.inf
+    return score, threshold, [s >= threshold for s in score]
+
+
+def judge_names(page: Page) -> None:
+    """Makes blocks chrome that lie in elements which are so by name, except elements that hold most of the page's content.
+    An element beside an article or main with any text that scores gets no such exception."""
+    found = page.blocks
     if not any(b.named for b in found):
         return
-    score = path_scores(found)
-    least = 0.5 * sum(score) / max(1, sum(not b.chrome for b in found))
-    content = [b for s, b in zip(score, found, strict=True) if not b.chrome and s >= least and s > 0]
-    own = lambda b: max(0, len(b.text) - b.linked)
-    total, held = sum(map(own, content)), defaultdict(int)
-    for b in content:
-        for i in b.named:
-            held[i] += own(b)
-    in_main = [b for b in content if any(t in MAIN_TAGS for _, t in b.chain)]
-    kept = {i for i, n in held.items() if 2 * n > total and all(i in b.named for b in in_main)}
+    score, _, content = content_nodes(found)
+    total = in_main = 0
+    held, held_main = defaultdict(int), defaultdict(int)
+    for b, s, c in zip(found, score, content, strict=True):
+        if c:
+            total += b.own
+            held[b.named] += b.own
+        if s > 0 and page.main[b.element]:
+            in_main += 1
+            held_main[b.named] += 1
+    for e in sorted(page.named_parent, reverse=True):
+        held[page.named_parent[e]] += held[e]
+        held_main[page.named_parent[e]] += held_main[e]
+    kept = {0: True}
+    for e in sorted(page.named_parent):
+        kept[e] = kept[page.named_parent[e]] and 2 * held[e] > total and held_main[e] == in_main
     for b in found:
-        b.chrome = b.chrome or not kept.issuperset(b.named)
+        b.chrome = b.chrome or not kept[b.named]
+
+
+def article_of(page: Page, content: list[bool]) -> int:
+    """The innermost article or main with enough of the content's text, else the innermost container with nearly all of it."""
+    n = len(page.tag)
+    weight, depth = [0] * n, [0] * n
+    for b, c in zip(page.blocks, content, strict=True):
+        if c:
+            weight[b.element] += len(b.text)
+    for e in range(n - 1, 0, -1):
+        weight[page.parent[e]] += weight[e]
+    for e in range(1, n):
+        depth[e] = depth[page.parent[e]] + 1
+    for tags, share in ((MAIN_TAGS, ARTICLE_SHARE), (CONTAINERS, CONTAINER_SHARE)):
+        held = [e for e in range(1, n) if page.tag[e] in tags and weight[e] >= max(1, share * weight[0])]
+        if held:
+            return max(held, key=lambda e: (depth[e], weight[e], -e))
+    return 0
 
 
 def main_text(html: str | None) -> str:
-    """The article's blocks joined by newlines; empty if there is none."""
-    found = blocks(html or "")
-    if not found:
+    """The article's blocks joined by newlines; empty if there is none. A page may be of any length and depth, and may break off anywhere."""
+    page = parse(html or "")
+    judge_names(page)
+    found = page.blocks
+    score, threshold, content = content_nodes(found)
+    if not any(content):
         return ""
-    judge_names(found)
-    score = path_scores(found)
-    open_scores = [s for s, b in zip(score, found, strict=True) if not b.chrome]
-    if not open_scores:
+    root = article_of(page, content)
+    inside = [False] * len(page.tag)
+    inside[root] = True
+    for e in range(root + 1, len(page.tag)):
+        inside[e] = inside[page.parent[e]]
+    within = [inside[b.element] for b in found]
+    nodes = [i for i in range(len(found)) if content[i] and within[i]]
+    if not nodes:
         return ""
-    mean = sum(open_scores) / len(open_scores)
-    threshold = 0.5 * mean
-    weight: dict[int, int] = defaultdict(int)
-    total = 0
-    for s, b in zip(score, found, strict=True):
-        if not b.chrome and s >= threshold:
-            total += len(b.text)
-            for i, _ in b.chain:
-                weight[i] += len(b.text)
-    # the innermost article or main with enough of the text, else the innermost container with nearly all of it
-    tags = {i: (t, k) for b in found for k, (i, t) in enumerate(b.chain)}
-    marked = [(k, i) for i, (t, k) in tags.items() if t in MAIN_TAGS and weight[i] >= ARTICLE_SHARE * total]
-    if marked:
-        root = max(marked, key=lambda x: (x[0], weight[x[1]], -x[1]))[1]
-        inside = lambda b: any(i == root for i, _ in b.chain)
-    else:
-        held = [(k, i) for i, (t, k) in tags.items() if t in CONTAINERS and weight[i] >= 0.9 * total]
-        root = max(held, key=lambda x: (x[0], weight[x[1]], -x[1]))[1] if held else None
-        first = next((n for n, b in enumerate(found) if root is not None and any(i == root for i, _ in b.chain)), 0)
-        title = max((n for n, b in enumerate(found[:first]) if b.tag == "h1" and not b.chrome), default=None)
-        within = lambda b: root is None or any(i == root for i, _ in b.chain)
-        keep = {id(b) for n, b in enumerate(found) if n == title or within(b)}
-        inside = lambda b: id(b) in keep
-    own = path_scores(found, smoothed=False)
-    return "\n".join(b.text for s, b in zip(own, found, strict=True) if not b.chrome and inside(b) and (b.linked < max(1, LINK_SHARE * len(b.text)) or s >= threshold))
+    first, last = nodes[0], nodes[-1]
+    keep = []
+    for i, b in enumerate(found):
+        if b.chrome:
+            continue
+        if content[i] and within[i]:
+            keep.append(i)
+        elif within[i] and not b.link_list and (first < i < last or b.tag in HEADINGS or score[i] >= BESIDE * threshold):
+            keep.append(i)
+    if page.tag[root] not in MAIN_TAGS and not any(found[i].tag == "h1" for i in keep):  # the title may stand before the container
+        keep[:0] = [i for i in range(first) if found[i].tag == "h1" and not found[i].chrome and not within[i]][-1:]
+    return "\n".join(found[i].text for i in keep)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
