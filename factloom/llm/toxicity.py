@@ -2,13 +2,16 @@
 
 A lexical transducer, an Aho-Corasick automaton over stems and words, rewrites a
 text to a short tape of symbols: insult, threat, target, negation, report, clause
-end. A second transducer, ``GRAMMAR``, the composition of the clause patterns, runs over
-the tape: its states are what a clause has shown so far, and each insult or
-threat it meets is emitted in the class that the state gives it (plain,
-aimed at someone, negated, reported). A document's score is a logistic function of
-the emitted weights, so words outside a matched clause count for nothing.
-
-Insult stems and their weights are learned from labelled documents, those that
+end. Five clause transducers read that tape one after the other, each passing it on and
+marking the clause ends with what the clause has shown: an insult, a threatening verb, someone
+it is aimed at, a negation, reported speech. ``GRAMMAR`` is their composition, one table of
+states and symbols; at a clause end it emits the pattern that the marks make, with the weight
+of the insults read on the way. So a word counts only through the clause that it stands in,
+whatever the order of the clause's words.
+
+A document's score is a logistic function of what its clauses emit. The weight of
+a pattern is learned around a prior: one that the labelled rows don't show, such as threats, keeps its
+prior. Insult stems and their weights are learned from labelled documents, those that
 are toxic far more often than not; the other word classes are fixed lists. Only
 a bounded sample of labelled rows is used for learning; scoring covers every
 whole text.
@@ -20,6 +23,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
@@ -53,37 +57,71 @@ CLASSES = {**dict.fromkeys(REPORTS, "report"), **dict.fromkeys(NEGATIONS, "negat
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE_ENDS = frozenset(".!?;:\n")
 
-#: State of a clause: (aimed, negated, reported). A symbol maps a state to the next; clause ends reset it.
-START = (False, False, False)
-GRAMMAR = {
-    "target": lambda s: (True, s[1], s[2]),
-    "negation": lambda s: (s[0], True, s[2]),
-    "report": lambda s: (s[0], s[1], True),
-    "insult": lambda s: s,
-    "threat": lambda s: s,
-    "end": lambda s: START,
-}
-EMITS = ("plain", "aimed", "negated", "reported", "threat")
-N_FEATURES = len(EMITS) + 3
-
-
-def emitted(symbol: str, state: tuple) -> str | None:
-    """The class of a clause that is matched by reading ``symbol`` in ``state``."""
-    if symbol == "threat":
-        return "threat" if state[0] and not state[2] else None
-    if symbol != "insult":
+class Transducer(NamedTuple):
+    """Reads the tape and passes it on; ``step`` maps (state, symbol) to the next state, which is 0 after a
+    clause end, and ``marks`` are what it adds to the end of a clause that it leaves in a state other than 0."""
+
+    step: dict[tuple[int, str], int]
+    mark: str
+
+
+def watcher(symbol: str) -> Transducer:
+    """Marks clauses that show ``symbol``."""
+    return Transducer({(0, symbol): 1}, symbol)
+
+
+SYMBOLS = ("insult", "threat", "target", "negation", "report")
+CLAUSE = tuple(map(watcher, SYMBOLS))
+
+
+def pattern(marks: frozenset[str]) -> str | None:
+    """The clause that a set of marks makes; None if it says nothing toxic. A threat needs someone it is aimed at."""
+    threat = {"threat", "target"} <= marks
+    if not threat and "insult" not in marks:
         return None
-    return "reported" if state[2] else "negated" if state[1] else "aimed" if state[0] else "plain"
+    if "report" in marks:
+        return "reported"
+    if "negation" in marks:
+        return "negated"
+    return "threat" if threat else "aimed" if "target" in marks else "plain"
+
+
+def compose(machines: tuple[Transducer, ...]) -> tuple[list[dict[str, int]], list[str | None]]:
+    """The product machine: for each state where a symbol leads, and the pattern that a clause end emits there."""
+    numbers, steps, ends = {(0,) * len(machines): 0}, [], []
+    todo = list(numbers)
+    for state in todo:
+        row = {}
+        for symbol in SYMBOLS:
+            to = tuple(m.step.get((s, symbol), s) for m, s in zip(machines, state, strict=True))
+            if to not in numbers:
+                numbers[to] = len(numbers)
+                todo.append(to)
+            row[symbol] = numbers[to]
+        steps.append(row)
+        ends.append(pattern(frozenset(m.mark for m, s in zip(machines, state, strict=True) if s)))
+    return steps, ends
+
+
+GRAMMAR = compose(CLAUSE)
+#: Patterns and their prior weights; what a threat without insults weighs.
+PATTERNS = {"plain": 1.0, "aimed": 1.5, "negated": 0.25, "reported": 0.25, "threat": 1.5}
+THREAT_WEIGHT = 4.0
+#: Prior of the constant, and features: for each pattern its weight and its number of clauses, both as logarithms.
+BIAS = -2.0
+N_FEATURES = 2 * len(PATTERNS)
+PRIOR = np.array([BIAS] + [x for w in PATTERNS.values() for x in (w, w)])
 
 
 def lexical(stems: dict[str, float]) -> ahocorasick.Automaton:
     """The automaton of word beginnings: " stem" hits any word with that
-    beginning, " word " a whole word."""
-    a = ahocorasick.Automaton()
-    for w, c in CLASSES.items():
-        a.add_word(f" {w} ", (c, 1.0, len(w) + 2))
+    beginning, " word " a whole word. A hit has the word's fixed class or none, and its weight as an insult."""
+    found = {f" {w} ": (c, 0.0) for w, c in CLASSES.items()}
     for s, weight in stems.items():  # a whole word of the lexicon ends in a space
-        a.add_word(f" {s}", ("insult", weight, len(s) + 1))
+        found[f" {s}"] = (found.get(f" {s}", (None,))[0], weight)
+    a = ahocorasick.Automaton()
+    for key, (c, weight) in found.items():
+        a.add_word(key, (c, weight, len(key)))
     a.make_automaton()
     return a
 
@@ -97,44 +135,61 @@ def _spaced(m: re.Match) -> str:
 
 
 def tape(text: str, automaton: ahocorasick.Automaton) -> Iterator[tuple[str, float]]:
-    """The symbols of a text, in order, with weights. At most one for each word:
-    the lexicon's longest hit."""
+    """The symbols of a text, in order, with weights; clause ends where anything stands between them. A word gives
+    its fixed class, if it has one, and the lexicon's hit of the largest weight."""
     low = text.lower()
-    at = 0
+    at, open_clause = 0, False
     while at < len(low):
         end = min(len(low), at + PIECE)
-        while end < len(low) and (low[end].isalpha() or low[end - 1].isalpha()):
+        while end < len(low) and (low[end].isalnum() or low[end - 1].isalnum()):
             end += 1
         piece = f" {NOT_WORD.sub(_spaced, low[at:end])} "
-        hits: dict[int, tuple[int, str, float]] = {}
+        classes: dict[int, str] = {}
+        insults: dict[int, float] = {}
         for last, (kind, weight, n) in automaton.iter(piece):
             start = last - n + 1
-            if start not in hits or weight > hits[start][2] or kind != "insult":
-                hits[start] = (n, kind, weight)
-        if hits:
-            done = 0
-            for start in sorted(hits):
-                if "\x00" in piece[done:start]:
-                    yield "end", 0.0
-                yield hits[start][1], hits[start][2]
-                done = start
-        yield "end", 0.0
+            if kind:
+                classes[start] = kind
+            if weight > insults.get(start, 0.0):
+                insults[start] = weight
+        done = 0
+        for start in sorted({*classes, *insults}):
+            if open_clause and "\x00" in piece[done:start]:
+                yield "end", 0.0
+            if start in classes:
+                yield classes[start], 0.0
+            if start in insults:
+                yield "insult", insults[start]
+            done, open_clause = start, True
+        if open_clause and "\x00" in piece[done:]:
+            yield "end", 0.0
+            open_clause = False
         at = end
+    if open_clause:
+        yield "end", 0.0
 
 
-def features(text: str | None, automaton: ahocorasick.Automaton) -> list[float]:
-    """Emitted weight by class, then 1 if there is any insult, 1 if there are two, and log of their number."""
-    sums = dict.fromkeys(EMITS, 0.0)
-    n, state = 0, START
-    for symbol, weight in tape(text or "", automaton):
-        if symbol == "end":
-            state = START
+def clauses(text: str | None, automaton: ahocorasick.Automaton) -> Iterator[tuple[str, float]]:
+    """(pattern, weight) of each clause that matches one."""
+    steps, ends = GRAMMAR
+    state, weight = 0, 0.0
+    for symbol, w in tape(text or "", automaton):
+        if symbol != "end":
+            state = steps[state][symbol]
+            weight += w
             continue
-        if kind := emitted(symbol, state):
-            sums[kind] += weight
-            n += kind != "threat"
-        state = GRAMMAR[symbol](state)
-    return [math.log1p(sums[k]) for k in EMITS] + [float(n >= 1), float(n >= 2), math.log1p(n)]
+        if (found := ends[state]) is not None:
+            yield found, weight + THREAT_WEIGHT * (found == "threat")
+        state, weight = 0, 0.0
+
+
+def features(text: str | None, automaton: ahocorasick.Automaton) -> list[float]:
+    """For each pattern, the weight that its clauses emit and their number, as log(1 + x)."""
+    sums = {p: [0.0, 0] for p in PATTERNS}
+    for found, weight in clauses(text, automaton):
+        sums[found][0] += weight
+        sums[found][1] += 1
+    return [math.log1p(x) for p in PATTERNS for x in sums[p]]
 
 
 def terms_of(text: str | None) -> set[str]:
@@ -176,17 +231,18 @@ def weigh(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: i
     return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:MAX_STEMS])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 100) -> np.ndarray:
-    """Weights, the constant first, of a ridge-penalised logistic regression. Newton steps
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 100, prior: np.ndarray | None = None) -> np.ndarray:
+    """Weights, the constant first, of a logistic regression that is penalised for leaving ``prior`` (else 0). Newton steps
     are halved until they lower the loss, so classes that part cleanly don't throw them off."""
     x = np.hstack([np.ones((len(x), 1)), x])
     penalty = np.array([1e-6] + [ridge] * (x.shape[1] - 1))
-    loss = lambda w: np.logaddexp(0, x @ w).sum() - y @ (x @ w) + 0.5 * (penalty * w) @ w
-    w = np.zeros(x.shape[1])
+    centre = np.zeros(x.shape[1]) if prior is None else prior
+    loss = lambda w: np.logaddexp(0, x @ w).sum() - y @ (x @ w) + 0.5 * (penalty * (w - centre)) @ (w - centre)
+    w = centre.copy()
     now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * (w - centre))
         scale = 1.0
         while scale > 1e-6 and not loss(w + scale * step) < now:
             scale /= 2
@@ -207,15 +263,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from rows of ``labels`` (doc_id, toxic) that aren't held out.
 
     Rows with a null id or label are left out; an id that is labelled more than once
-    counts with each of its labels. Without a labelled row of either class
-    the lexicon is empty and every score is 0.5 or the base rate.
+    counts with each of its labels, and of documents that repeat an id the one with the first text in order counts.
+    Without a labelled row of either class the lexicon is empty and all patterns keep their priors.
     """
     spark = docs.sparkSession
     small_batches(spark)
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     some = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(MAX_LABELLED)
     # bounded by MAX_LABELLED rows of two numbers
-    sample = Scratch(spark, "toxicity").write(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic").repartition(4 * int(spark.sparkContext.defaultParallelism)), "sample")
+    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = Scratch(spark, "toxicity").write(found.select("text", "toxic").repartition(4 * int(spark.sparkContext.defaultParallelism)), "sample")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -242,7 +299,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     top = counted.where((F.col("term") == "") | (F.col("toxic") >= MIN_TOXIC_DOCS)).orderBy((F.col("term") != ""), odds.desc(), "term").limit(4 * MAX_STEMS).collect()
     n_toxic, n_clean = next(((r["toxic"], r["clean"]) for r in top if r["term"] == ""), (0, 0))
     stems = weigh({r["term"]: r["toxic"] for r in top if r["term"]}, {r["term"]: r["clean"] for r in top if r["term"]}, n_toxic, n_clean)
-    model = Model(stems, np.zeros(N_FEATURES + 1))
+    model = Model(stems, PRIOR.copy())
     if not n_toxic or not n_clean:
         return model
     shared = spark.sparkContext.broadcast(model)
@@ -257,7 +314,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     y = np.array([r["y"] for r in seen], float)
     n = np.array([r["count"] for r in seen])
     order = np.lexsort([*x.T, y])
-    model.weights = logistic(np.repeat(x[order], n[order], axis=0), np.repeat(y[order], n[order]))
+    model.weights = logistic(np.repeat(x[order], n[order], axis=0), np.repeat(y[order], n[order]), prior=PRIOR)
     return model
 
 
