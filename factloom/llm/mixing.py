@@ -11,7 +11,9 @@ those beyond a target are void.
 Everything is DataFrame operations. A source may hold any share of the rows:
 positions in a stream are prefix sums of two levels (bucket of the random order,
 then row), so no window holds more than one bucket of a source, and ranks of
-slots are counted by chunks in the same way.
+slots are counted by chunks in the same way. Both levels grow as the square root of the
+table. Rows that repeat an id and a size are one row with a count until they have
+their positions, so an id that a third of the rows share, or lack, fills no bucket.
 """
 
 from __future__ import annotations
@@ -33,32 +35,34 @@ MODULUS = 1 << 31
 STEP = 1327217885
 #: Points in a cell of the grid on which points and sources meet.
 CELL = 1 << 15
-#: Slots whose ranks one window row covers.
+#: Least slots whose ranks one window row covers, and least rows that share a bucket of the random order, about.
 CHUNK = 1 << 14
-#: Rows that share a bucket of the random order, about.
 BUCKET_ROWS = 2048
+#: Copies of a row that are dealt out at once.
+COPIES = 1 << 16
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """One narrow row per document: its source key, size and place in the random order."""
-    return docs.select(
+    """One narrow row for the documents of one source, id and size: with its place in the random order, and their number."""
+    narrow = docs.select(
         "doc_id",
         F.col("source").isNull().alias("s_null"),
         F.coalesce("source", F.lit("")).alias("s"),
         word_count(F.col("text")).alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"),
     )
+    return narrow.groupBy("s_null", "s", "h", "doc_id", "size").agg(F.count(F.lit(1)).alias("copies"))
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """Per source: rows, source_size, target.
+    """Per source of the rows (s_null, s, size, copies): source_size, target.
 
     Capped shares: with sources in ascending order of cap/weight, the first
     j stop at their caps, where j is the least number for which the rest,
     sharing what is left by weight, stay within theirs.
     The window runs over one row per source.
     """
-    per = sizes.groupBy("s_null", "s").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("source_size"))
+    per = sizes.groupBy("s_null", "s").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"))
     order = Window.orderBy("s_null", "s")
     per = per.withColumn("w", F.get(F.array(*map(F.lit, weights)), (F.row_number().over(order) - 1) % len(weights)).cast("long"))
     every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -78,15 +82,16 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataF
     per = per.select("*", first.alias("first"))
     share = F.col("first.left") * F.col("w") / F.col("first.weight")
     whole = (cap * F.col("source_size")).cast("double")
-    return per.select("s_null", "s", "rows", "source_size", F.when(F.col("stops") | F.col("first").isNull(), whole).otherwise(share).alias("target"))
+    return per.select("s_null", "s", "source_size", F.when(F.col("stops") | F.col("first").isNull(), whole).otherwise(share).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, block: int = BLOCK) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, block: int = BLOCK, bucket_rows: int = BUCKET_ROWS, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of every row of ``docs``.
 
     A null source is a source of its own, the last. A null or blank text has
     size 0 and is never taken. Repeated rows and ids are separate documents.
-    Without any words all targets are 0. Other columns are not read.
+    Without any words all targets are 0. Other columns are not read. ``bucket_rows`` and
+    ``chunk`` set how the work is cut up, which changes no result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
@@ -104,8 +109,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, block: int =
         .select("*", F.sum("slots").over(Window.orderBy("s_null", "s")).alias("upto")),
         "sources",
     )
-    placed = _placed(sizes, per, scratch)
-    taken_blocks = _slots(per, scratch, block)
+    placed = _placed(sizes, per, scratch, bucket_rows)
+    taken_blocks = _slots(per, scratch, block, chunk)
     at, end = F.col("at"), F.col("at") + F.col("size")
     pieces = placed.where("size > 0").select(
         "doc_id", "s_null", "s", "at", "size", "source_size", "target",
@@ -120,23 +125,29 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP, block: int =
     return some.union(none).select("doc_id", F.when(~F.col("s_null"), F.col("s")).alias("source"), "size", "source_size", "target", "taken")
 
 
-def _placed(sizes: DataFrame, per: DataFrame, scratch: Scratch) -> DataFrame:
+def _placed(sizes: DataFrame, per: DataFrame, scratch: Scratch, bucket_rows: int) -> DataFrame:
     """Every document with the position of its first word in its source's stream."""
     # rows are dealt to buckets by the first eight digits of the random order, so buckets keep that order
-    n = math.ceil(sizes.count() / BUCKET_ROWS) or 1
-    dealt = sizes.withColumn("bucket", (F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * n / (1 << 32)).cast("long"))
-    sums = dealt.groupBy("s_null", "s", "bucket").agg(F.sum("size").alias("words"))
+    rows = sizes.count()
+    n = math.ceil(rows / max(bucket_rows, math.isqrt(rows))) or 1
+    dealt = sizes.withColumn("bucket", (F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * n / (1 << 32)).cast("long")).withColumn("words", F.col("size") * F.col("copies"))
+    sums = dealt.groupBy("s_null", "s", "bucket").agg(F.sum("words").alias("words"))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("s_null", "s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = scratch.write(sums.select("s_null", "s", "bucket", before.alias("offset")).join(per.select("s_null", "s", "source_size", "target"), ["s_null", "s"]), "offsets")
     within = Window.partitionBy("s_null", "s", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    local = dealt.withColumn("local", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return local.join(offsets, ["s_null", "s", "bucket"]).select("doc_id", "s_null", "s", "size", "source_size", "target", (F.col("offset") + F.col("local")).alias("at"))
+    local = dealt.withColumn("local", F.coalesce(F.sum("words").over(within), F.lit(0)))
+    first = local.join(offsets, ["s_null", "s", "bucket"]).select("doc_id", "s_null", "s", "size", "source_size", "target", "copies", (F.col("offset") + F.col("local")).alias("first"))
+    # copies stand one after the other; they are dealt out in two steps, as one array of all might be very long
+    some = first.select("*", F.explode(F.sequence(F.lit(0), F.expr(f"(copies - 1) div {COPIES}"))).alias("part"))
+    copy = F.explode(F.sequence(F.col("part") * COPIES, F.least(F.col("copies"), (F.col("part") + 1) * COPIES) - 1))
+    return some.select("*", copy.alias("copy")).select("doc_id", "s_null", "s", "size", "source_size", "target", (F.col("first") + F.col("copy") * F.col("size")).alias("at"), "copy")
 
 
-def _slots(per: DataFrame, scratch: Scratch, block: int) -> DataFrame:
+def _slots(per: DataFrame, scratch: Scratch, block: int, chunk: int) -> DataFrame:
     """Per block that the mix reads: how often in full, and how much of it once more."""
     spark = per.sparkSession
     total = per.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
+    chunk = max(chunk, math.isqrt(total))
     # The interval of points that means a source, cut at the cells of an even grid: points and intervals meet by cell.
     low = f"cast(cast(upto - slots as decimal(38,0)) * {MODULUS} div {max(1, total)} as long)"
     high = f"cast(cast(upto as decimal(38,0)) * {MODULUS} div {max(1, total)} as long)"
@@ -144,7 +155,7 @@ def _slots(per: DataFrame, scratch: Scratch, block: int) -> DataFrame:
     cells = sources.where("low < high").select("s_null", "s", "low", "high", F.explode(F.sequence(F.expr(f"low div {CELL}"), F.expr(f"(high - 1) div {CELL}"))).alias("cell"))
     point = F.pmod(F.pmod(F.col("id"), F.lit(MODULUS)) * F.lit(STEP), F.lit(MODULUS))
     points = spark.range(total).select("id", point.alias("point")).withColumn("cell", F.expr(f"point div {CELL}"))
-    slots = scratch.write(points.join(cells, "cell").where("low <= point and point < high").select("s_null", "s", "id", F.expr(f"id div {CHUNK}").alias("chunk")), "slots")
+    slots = scratch.write(points.join(cells, "cell").where("low <= point and point < high").select("s_null", "s", "id", F.expr(f"id div {chunk}").alias("chunk")), "slots")
     counts = slots.groupBy("s_null", "s", "chunk").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("s_null", "s").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = scratch.write(counts.select("s_null", "s", "chunk", "n", before.alias("offset")).join(sources, ["s_null", "s"]), "ranks")
@@ -162,19 +173,38 @@ def _slots(per: DataFrame, scratch: Scratch, block: int) -> DataFrame:
     return read.groupBy("s_null", "s", "block").agg(F.sum(F.when(~partly, 1).otherwise(0)).alias("full"), F.coalesce(F.max(F.when(partly, part)), F.lit(0)).alias("part"))
 
 
-def apply(docs: DataFrame) -> DataFrame:
+def apply(docs: DataFrame, buckets: int = 1024) -> DataFrame:
     """``docs`` as the mix reads them: a row for each time a document is begun,
-    so up to CAP rows; documents that the mix doesn't reach go."""
+    so up to CAP rows; documents that the mix doesn't reach go.
+
+    Rows that share an id, a source and a size are told apart by the hash of their text:
+    of what they are due together, those first in its order get one more reading where it doesn't divide.
+    They are counted in ``buckets`` of that order, so that no window holds all of them.
+    """
     scratch = Scratch(docs.sparkSession, "mixed")
+    parts = ["doc_id", "s", "n", "size"]
     key = F.struct("doc_id", F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("n"), word_count(F.col("text")).alias("size"))
     taken = mix(docs).where("taken > 0").select("doc_id", F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("n"), "size", F.expr("cast(ceil(taken / size) as int)").alias("times"))
-    # rows that repeat an id, source and size share what they are given together, spread evenly
-    given = scratch.write(taken.groupBy("doc_id", "s", "n", "size").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("rows")), "taken")
-    keyed = docs.select("*", key.alias("__k")).alias("k")
-    g = given.alias("g")
-    on = F.col("k.__k.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("k.__k.s") == F.col("g.s")) & (F.col("k.__k.n") == F.col("g.n")) & (F.col("k.__k.size") == F.col("g.size"))
-    times = F.explode(F.sequence(F.lit(1), F.expr("cast(ceil(g.times / g.rows) as int)")))
-    return keyed.join(g, on).select(*[F.col(f"k.`{c}`") for c in docs.columns], times.alias("__n")).drop("__n")
+    # rows the mix doesn't reach count too: what is due is spread over all rows of the key
+    due = taken.groupBy(*parts).agg(F.sum("times").alias("times"))
+    text_hash = F.xxhash64("text")
+    keyed = docs.select("*", key.alias("__k"), text_hash.alias("__h"), F.pmod(text_hash, F.lit(buckets)).alias("__b"))
+    narrow = keyed.select(*[F.col(f"__k.{c}").alias(c) for c in parts], F.col("__b").alias("b"))
+    counted = narrow.groupBy(*parts, "b").agg(F.count(F.lit(1)).alias("rows"))
+    by_key = Window.partitionBy(*parts)
+    counted = counted.select("*", F.sum("rows").over(by_key).alias("all_rows"), F.coalesce(F.sum("rows").over(by_key.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    same = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["s"] == y["s"]) & (x["n"] == y["n"]) & (x["size"] == y["size"])
+    given = scratch.write(counted.join(due, same(counted, due)).select(*[counted[x] for x in (*parts, "b", "all_rows", "before")], due["times"]), "given")
+    single, several = given.where("all_rows = 1"), given.where("all_rows > 1")
+    names = [F.col(f"k.`{x}`") for x in docs.columns]
+    k = keyed.alias("k")
+    on = lambda g: F.col("k.__k.doc_id").eqNullSafe(g["doc_id"]) & (F.col("k.__k.s") == g["s"]) & (F.col("k.__k.n") == g["n"]) & (F.col("k.__k.size") == g["size"]) & (F.col("k.__b") == g["b"])
+    out = k.join(single, on(single)).select(*names, single["times"].cast("int").alias("__times"))
+    if not several.isEmpty():
+        place = F.row_number().over(Window.partitionBy("k.__k", "k.__b").orderBy("k.__h")) - 1 + F.col("before")
+        times = F.expr("times div all_rows") + (place < F.expr("times % all_rows")).cast("int")
+        out = out.union(k.join(several, on(several)).select(*names, times.cast("int").alias("__times")).where("__times > 0"))
+    return out.select("*", F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__n")).drop("__n", "__times")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
