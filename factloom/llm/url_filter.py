@@ -10,12 +10,14 @@ in key order: one sort and a window. Rules for paths are then the first entry of
 the stack, longest rule first, whose path begins the url's.
 
 The window's partitions are even shares of the rows by hash, not hosts, so a host that
-owns a third of the urls is spread like any other; the table of intervals, of the size
-of the rule list, is repeated in every share.
+owns a third of the urls is spread like any other. The table of intervals is repeated in
+every share, so shares have several times as many urls as it has rows.
 """
 
 from __future__ import annotations
 
+import json
+from collections import defaultdict
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,8 +44,9 @@ RULES = (
     Rule("block", "net", "/fr/"),
 )
 DEFAULT = "allow"
-#: Urls in a share of the sweep, and the most shares.
+#: Urls in a share of the sweep, and how many there are at least for each interval that the share repeats.
 SHARE_ROWS = 1 << 18
+URLS_PER_END = 8
 
 
 def host_of(url: Column) -> Column:
@@ -62,9 +65,12 @@ def host_key(host: Column) -> Column:
 
 
 def sweep(rules: tuple) -> list[tuple[str, list[Rule]]]:
-    """(first key, rules open from there on, longest first) in key order."""
+    """(first key, rules open from there on, longest first) in key order. Each end costs what its stack holds."""
+    of_host: dict[str, list[Rule]] = defaultdict(list)
+    for r in dict.fromkeys(rules):
+        of_host[r.host].append(r)
     ends = []
-    for host in {r.host for r in rules}:
+    for host in of_host:
         key = ".".join(reversed(host.split("."))) + "."
         ends += [(key, 1, host), (key[:-1] + "/", 0, host)]  # "/" follows "." in code-point order
     out, stack = [("", [])], []
@@ -73,7 +79,7 @@ def sweep(rules: tuple) -> list[tuple[str, list[Rule]]]:
             stack.append(host)
         else:
             assert stack.pop() == host
-        held = sorted((r for r in rules if r.host in stack), key=lambda r: (-len(r.name), r.name, r.verdict))
+        held = sorted((r for h in stack for r in of_host[h]), key=lambda r: (-len(r.name), r.name, r.verdict))
         out.append((key, held))
     return list(dict(out).items())
 
@@ -87,10 +93,13 @@ def judge(pages: DataFrame, rules: tuple = RULES, default: str = DEFAULT, id_col
     columns are not read.
     """
     spark = pages.sparkSession
-    stacks = [(k, [(r.path, r.name, r.verdict) for r in held]) for k, held in sweep(rules)]
-    kind = "key string, stack array<struct<path string, rule string, verdict string>>"
-    n = shares or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pages.count() // SHARE_ROWS))
-    ends = spark.createDataFrame(stacks, kind).select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("share"))
+    stacks = [{"key": k, "stack": [{"path": r.path, "rule": r.name, "verdict": r.verdict} for r in held]} for k, held in sweep(rules)]
+    kind = "array<struct<key string, stack array<struct<path string, rule string, verdict string>>>>"
+    rows = pages.count()
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // SHARE_ROWS))
+    n = shares or max(1, min(wanted, rows // (URLS_PER_END * len(stacks))))
+    # the table is one literal, so that it costs no row code however long it is
+    ends = spark.range(n).select(F.col("id").cast("int").alias("share"), F.explode(F.from_json(F.lit(json.dumps(stacks)), kind)).alias("e")).select("share", "e.key", "e.stack")
     urls = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     left = urls.select("id", "host", "path", host_key(F.col("host")).alias("key"), F.pmod(F.xxhash64("id", "host", "path"), F.lit(n)).cast("int").alias("share"), F.lit(1).alias("is_url"))
     merged = left.unionByName(ends.select("key", "stack", "share", F.lit(0).alias("is_url")), allowMissingColumns=True)
