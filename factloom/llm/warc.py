@@ -1,7 +1,7 @@
 """WARC archives as a table of chunks.
 
 Payloads travel as rows (record, chunk number, bytes) of bounded size from the
-split of a page on: the writer streams the chunks of a record into a gzip
+scan on, before any shuffle: the writer streams the chunks of a record into a gzip
 member and updates its digest with each, and the reader streams a member back
 into chunk rows that carry the length and SHA-1 so far. No step holds a whole
 record's payload besides the page's own row as the table delivers it.
@@ -109,12 +109,15 @@ def write(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", url_col:
     keyed = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("sha", F.sha1("payload"))
     keyed = keyed.withColumn("n", F.octet_length("payload").cast("long"))
     first = scratch.write(keyed.groupBy("sha", "n").agg(F.max("id").alias("first")), "first")
+    # a row's number only tells records that repeat an id apart; all chunks of a record come from one task
+    end = F.greatest(F.lit(0), F.expr(f"cast((n - 1) div {CHUNK} as int)"))
+    numbered = keyed.select(F.monotonically_increasing_id().alias("record"), "*", end.alias("end")).select("*", F.explode(F.sequence(F.lit(0), F.col("end"))).alias("chunk"))
+    chunks = numbered.select("id", "url", "n", "sha", "record", "end", "chunk", F.substring("payload", F.col("chunk") * CHUNK + 1, F.lit(CHUNK)).alias("data"))
     kind = F.when((F.col("n") < min_revisit) | F.col("id").eqNullSafe(F.col("first")), "response").otherwise("revisit")
-    judged = keyed.join(first, ["sha", "n"]).withColumn("kind", kind)
-    last = F.when(F.col("kind") == "response", F.greatest(F.lit(0), F.expr(f"cast((n - 1) div {CHUNK} as int)"))).otherwise(0)
-    numbered = judged.select("id", "url", "kind", "first", "n", "sha", "payload", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
-    data = F.when(F.col("kind") == "response", F.substring("payload", F.col("chunk") * CHUNK + 1, F.lit(CHUNK)))
-    rows = numbered.select("id", "url", "kind", "first", "n", "sha", "last", "chunk", data.alias("data"))
+    judged = chunks.join(first, ["sha", "n"]).withColumn("kind", kind).where((F.col("kind") == "response") | (F.col("chunk") == 0))
+    last = F.when(F.col("kind") == "response", F.col("end")).otherwise(0)
+    rows = judged.select("id", "url", "kind", "first", "n", "sha", "record", last.alias("last"), "chunk", F.when(F.col("kind") == "response", F.col("data")).alias("data"))
+    rows = rows.sortWithinPartitions("sha", "n", "record", "chunk").drop("record")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
