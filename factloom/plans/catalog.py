@@ -168,7 +168,7 @@ QUERIES = {
     "cache_stats": (lambda s: store.cache_stats(store.cached(s)), _with("SELECT status, count(*) AS shards, sum(cast(floor(o_totalprice) as bigint))::BIGINT AS bytes, min(o_orderdate) AS oldest, max(o_orderdate) AS newest FROM (SELECT *, o_orderstatus AS status FROM orders) GROUP BY 1")),
     "cache_gc_lru": (lambda s: store.gc_lru(store.cached(s), 1_000_000_000), _with("SELECT o_orderkey AS entry, (sum(cast(floor(o_totalprice) as bigint)) OVER (ORDER BY o_orderdate DESC, o_orderkey DESC ROWS UNBOUNDED PRECEDING))::BIGINT AS kept_bytes FROM orders QUALIFY kept_bytes > 1000000000")),
     "cache_gc_orphans": (lambda s: store.orphans(s["orders"].select(F.col("o_custkey").alias("path")), s["customer"].where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("path"))), _with("SELECT DISTINCT o_custkey AS path FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)")),
-    "digest_cache": (lambda s: store.digest_plan(*store.listing(s)), _with("SELECT l.path, l.size, CASE WHEN c.digest IS NOT NULL AND c.size = l.size THEN c.digest ELSE sha256(l.path) END AS digest, NOT (c.digest IS NOT NULL AND c.size = l.size) AS hashed FROM (SELECT c_name AS path, c_nationkey AS size FROM customer) l LEFT JOIN (SELECT c_name AS path, cast(floor(c_nationkey / 2) * 2 as int) AS size, concat('d', c_name) AS digest FROM customer WHERE c_custkey % 2 = 0) c ON c.path = l.path")),
+    "digest_cache": (lambda s: store.digest_plan(*store.listing(s)), _with("SELECT l.path, l.size, CASE WHEN c.digest IS NOT NULL AND c.size = l.size AND c.mtime = l.mtime THEN c.digest ELSE sha256(l.path) END AS digest, NOT (c.digest IS NOT NULL AND c.size = l.size AND c.mtime = l.mtime) AS hashed FROM (SELECT c_name AS path, c_nationkey AS size, c_custkey AS mtime FROM customer) l LEFT JOIN (SELECT c_name AS path, cast(floor(c_nationkey / 2) * 2 as int) AS size, c_custkey - (c_custkey % 10 = 0)::INT AS mtime, concat('d', c_name) AS digest FROM customer WHERE c_custkey % 2 = 0) c ON c.path = l.path")),
     "dedupe_first_path": (lambda s: store.first_of(s["events"].select(F.col("props").alias("digest"), F.col("event_id").alias("position"), F.col("event_type").alias("path"))), _with("SELECT props AS digest, min(event_id) AS position, arg_min(event_type, event_id) AS path FROM events GROUP BY 1")),
     "shard_reuse": (lambda s: store.missing(s["supplier"].select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("size")), s["supplier"].where("s_suppkey % 4 <> 1").select(F.col("s_suppkey").alias("id"), F.expr("s_nationkey + case when s_suppkey % 9 = 0 then 1 else 0 end").alias("size"))), _with("SELECT s_suppkey AS id, s_nationkey AS size FROM supplier WHERE s_suppkey % 4 = 1 OR s_suppkey % 9 = 0")),
     "session_delta": (lambda s: store.delta(s["classes"], s["shards"].where("s_suppkey % 5 = 2").select("shard_id"), s["classes"].where("shard_id = 's000000002'")).groupBy("shard_id").agg(F.count(F.lit(1)).alias("classes")), _with("SELECT shard_id, count(*) AS classes FROM classes WHERE shard_id NOT IN (SELECT shard_id FROM shards WHERE s_suppkey % 5 = 2) OR shard_id = 's000000002' GROUP BY 1")),

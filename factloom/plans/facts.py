@@ -5,10 +5,12 @@ Names in braces are tables; a fact may use facts before it.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import Session
+from ..shared import shared_dir
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations")
 
@@ -76,7 +78,8 @@ def sql_facts(*names: str) -> str:
     return ", ".join(f"{n} AS ({sql.format(**here)})" for n, sql in FACTS.items() if not names or n in names)
 
 
-#: Facts that searches share; a session keeps them in memory, or on disk where they don't fit.
+#: Facts that searches share; a session writes them once, sorted by the column that lookups name, so that scans read few row groups.
+SORTED = {"classes": "fqn", "methods": "class_fqn", "class_interfaces": "interface_fqn", "annotations": "annotation_fqn", "config": "name"}
 HOT = ("part_names", "classes", "class_interfaces", "methods", "annotations", "strings", "spi", "config", "shards")
 _SESSIONS: dict[tuple[str, str], Session] = {}
 
@@ -85,11 +88,23 @@ def load(spark: SparkSession, sf_dir: str) -> Session:
     """The session of one data directory, built once for each application; only what queries use is read."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _SESSIONS:
+        root = f"{shared_dir(spark)}/facts-{uuid.uuid4().hex[:12]}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
+
+        def written(df: DataFrame, name: str) -> DataFrame:
+            if name in SORTED:
+                df = df.repartitionByRange(SORTED[name]).sortWithinPartitions(SORTED[name])
+            df.write.parquet(f"{root}/{name}")
+            return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
         made = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE}
         for name, sql in FACTS.items():
             used = {t: df for t, df in made.items() if f"{{{t}}}" in sql}
             made[name] = spark.sql(sql, **used)
             if name in HOT:
-                made[name] = made[name].persist(StorageLevel.MEMORY_AND_DISK)
+                made[name] = written(made[name], name)
+        session = Session(made)
+        made["owned_methods"] = written(session.methods, "owned_methods")
         _SESSIONS[key] = Session(made)
     return _SESSIONS[key]

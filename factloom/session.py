@@ -5,17 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.text import package_name, simple_name
 
 
-def concat_nulls(*parts: Column) -> Column:
-    """Concatenation that is null if a part is."""
-    return F.concat(*parts)
-
-
 @dataclass
 class Session:
     tables: dict[str, DataFrame] = field(default_factory=dict)
@@ -29,7 +24,10 @@ class Session:
 
     @cached_property
     def methods(self) -> DataFrame:
-        """Methods with ``owner``, the class of the same shard if it is there, and ``symbol``, owner#name."""
+        """Methods with ``owner``, the class of the same shard if it is there, and ``symbol``, owner#name;
+        taken from the relation owned_methods where it was written with the facts."""
+        if "owned_methods" in self.tables:
+            return self["owned_methods"]
         owners = self["classes"].select("shard_id", F.col("fqn").alias("owner"))
         m = self["methods"].alias("m")
         joined = m.join(owners.alias("o"), (F.col("m.shard_id") == F.col("o.shard_id")) & (F.col("m.class_fqn") == F.col("o.owner")), "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 
@@ -10,12 +11,19 @@ from pyspark.sql import SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go to the cluster's spark.checkpoint.dir; where that is unset (one machine) to a
-    temporary folder that goes with this process."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """Checkpoints go to the shared folder."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; where that is unset on a local master (one machine) a
+    temporary folder that goes with this process. A cluster without it is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="factloom-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(found)
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
