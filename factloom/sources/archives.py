@@ -157,16 +157,18 @@ def read_archives(spark: SparkSession, *paths: str, known: DataFrame | None = No
     hashed = archive_files(spark, *paths)
     if known is not None:
         hashed = hashed.join(known, "shard_id", "left_anti")
-    # equal contents: the first path's is read; only digests are shuffled for that
-    first = hashed.groupBy("shard_id").agg(F.min("path").alias("path"))
-    unique = hashed.join(first, ["shard_id", "path"], "left_semi")
+    # equal contents: the first path's is read. Digests alone are shuffled; the paths go to the driver, which lists these files in any case
+    first = [r.path for r in hashed.groupBy("shard_id").agg(F.min("path").alias("path")).select("path").collect()]
+    unique = archive_files(spark, *first) if first else hashed.limit(0)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for shard, path, length, content in zip(b["shard_id"], b["path"], b["length"], b["content"], strict=True):
                 name, out = path.rsplit("/", 1)[-1], []
                 try:
-                    out = [(shard, name, length, relation, compact(row)) for relation, row in archive_rows(content)]
+                    rows = list(archive_rows(content))
+                    # the shard's own row tells how many there are, so that a reader knows when it has them all
+                    out = [(shard, name, length, relation, compact({**row, "facts": len(rows)} if relation == "shards" else row)) for relation, row in rows]
                 except (zipfile.BadZipFile, EOFError, OSError) as e:
                     out = [(shard, name, length, "failed", compact({"error": str(e)}))]
                 for at in range(0, len(out), 20_000):

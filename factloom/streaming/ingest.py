@@ -10,19 +10,30 @@ FACT_SCHEMA = "shard_id string, filename string, size_bytes long, relation strin
 
 
 def watch_facts(spark: SparkSession, path: str, store: str, checkpoint: str) -> StreamingQuery:
-    """Appends tagged fact rows that appear under ``path`` to the store, each shard once.
+    """Adds tagged fact rows that appear under ``path`` to the store, each shard once.
 
-    A batch's shards are those that the store doesn't hold yet, so a batch that
-    runs twice after a failure leaves no second copy."""
+    A shard's rows may come in several batches: it is complete once the store holds as many as its row in
+    relation shards says (or one of relation failed), and what comes for it later is another delivery, which is
+    left out. A batch that brings a shard several times keeps it once; rows that a shard holds twice stay two.
+    A batch owns a folder and overwrites it, so one that runs again after a failure leaves no second copy."""
 
-    def add(batch: DataFrame, _: int) -> None:
+    def add(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
         try:
-            known = batch.sparkSession.read.schema(FACT_SCHEMA).parquet(store).select("shard_id").distinct()
-            batch = batch.join(known, "shard_id", "left_anti")
+            stored = session.read.schema(f"{FACT_SCHEMA}, batch long").parquet(store).where(F.col("batch") < number).drop("batch")
         except Exception as e:  # the first batch finds no store
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-        batch.dropDuplicates().write.mode("append").partitionBy("relation").parquet(store)
+            stored = session.createDataFrame([], FACT_SCHEMA)
+        facts = F.max(F.when(F.col("relation") == "shards", F.get_json_object("row", "$.facts").cast("long")).when(F.col("relation") == "failed", F.lit(1)))
+        sizes = stored.union(batch).groupBy("shard_id").agg(facts.alias("facts"))
+        held = stored.groupBy("shard_id").agg(F.count(F.lit(1)).alias("held")).join(sizes, "shard_id").where("held >= facts").select("shard_id")
+        new = batch.join(held, "shard_id", "left_anti")
+        come = new.groupBy("shard_id").agg(F.count(F.lit(1)).alias("come")).join(sizes, "shard_id")
+        copies = F.greatest(F.lit(1), F.coalesce(F.expr("cast(come div facts as int)"), F.lit(1)))
+        counted = new.groupBy(*batch.columns).agg(F.count(F.lit(1)).alias("n")).join(come.select("shard_id", copies.alias("copies")), "shard_id")
+        once = counted.select(*batch.columns, F.explode(F.sequence(F.lit(1), F.expr("cast(greatest(1, n div copies) as int)")))).drop("col")
+        once.write.mode("overwrite").partitionBy("relation").parquet(f"{store}/batch={number}")
 
     stream = spark.readStream.schema(FACT_SCHEMA).parquet(path)
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

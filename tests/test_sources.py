@@ -207,6 +207,15 @@ def test_stream_adds_a_shard_once(spark, facts, tmp_path):
     for _ in range(2):
         some.write.mode("append").parquet(str(tmp_path / "in"))
         watch_facts(spark, str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "check")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "store")).count() == some.dropDuplicates().count()
+    assert spark.read.parquet(str(tmp_path / "store")).count() == some.count()
+    parts = ("shards", "classes")  # a shard in two batches, then once more as a whole, twice in one batch
+    one = spark.createDataFrame([("z", "z.jar", 1, "strings", '{"value":"v"}')] * 2 + [("z", "z.jar", 1, "shards", '{"facts":4}'), ("z", "z.jar", 1, "classes", "{}")], some.schema)
+    for piece in (one.where("relation in ('strings')"), one.where(f"relation in {parts}"), one.union(one)):
+        piece.write.mode("append").parquet(str(tmp_path / "in"))
+        watch_facts(spark, str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "check")).awaitTermination()
+    assert sorted(r.relation for r in spark.read.parquet(str(tmp_path / "store")).where("shard_id = 'z'").collect()) == ["classes", "shards", "strings", "strings"]
+    one.union(one).write.parquet(str(tmp_path / "in2"))
+    watch_facts(spark, str(tmp_path / "in2"), str(tmp_path / "store2"), str(tmp_path / "check2")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "store2")).count() == 4
     events = spark.createDataFrame([("2024-01-01 00:10:00", "a"), ("2024-01-01 00:50:00", "a"), ("2024-01-01 01:10:00", "b")], "t string, event_type string").selectExpr("cast(t as timestamp) ts", "event_type")
     assert sorted((r.event_type, r.events) for r in arrivals(events).collect()) == [("a", 2), ("b", 1)]
