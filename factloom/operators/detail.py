@@ -55,7 +55,7 @@ def list_extension_points(s: Session, arg: str | None = None) -> DataFrame:
 
 
 def find_config_properties(s: Session, prefix: str) -> DataFrame:
-    """The property of that name and all below it; the range reaches the scan."""
+    """The property of that name and all below it, as a range of names."""
     name = F.col("name")
     hits = s["config"].where((name == prefix) | ((name >= prefix + ".") & (name < prefix + "/")))
     return s.with_jar(hits.select("name", "prefix", "type_fqn", "default_val", "description", "source_fqn", "shard_id"))

@@ -11,12 +11,15 @@ from ..functions.text import page_bounds
 from ..session import Session
 
 
-def coverage(wanted: DataFrame, s: Session) -> dict[str, Any]:
-    """How much of a classpath (filename) is indexed."""
+def coverage(wanted: DataFrame, s: Session, named: int = 1000) -> dict[str, Any]:
+    """How much of a classpath (filename) is indexed. At most ``named`` missing files are named, the first
+    by name; jars_missing_unnamed is the number of others."""
     known = s["shards"].select("filename").distinct()
-    missing = [r.filename for r in wanted.join(known, "filename", "left_anti").distinct().orderBy("filename").limit(1000).collect()]
-    total = wanted.distinct().count()
-    return {"jars_total": total, "jars_indexed": total - wanted.distinct().join(known, "filename", "left_anti").count(), "jars_missing": missing}
+    files = wanted.select("filename").distinct()
+    gone = files.join(known, "filename", "left_anti")
+    total, n = files.count(), gone.count()
+    missing = [r.filename for r in gone.orderBy("filename").limit(named).collect()]
+    return {"jars_total": total, "jars_indexed": total - n, "jars_missing": missing, "jars_missing_unnamed": n - len(missing)}
 
 
 def respond(query: dict[str, Any], df: DataFrame, order: list[str], page: int = 1, size: int = 20, exact: bool = True) -> dict[str, Any]:

@@ -67,17 +67,23 @@ def class_conflicts(s: Session) -> DataFrame:
     return pairs.groupBy(F.col("a.shard_id").alias("jar_a"), F.col("b.shard_id").alias("jar_b")).agg(F.count(F.lit(1)).alias("shared_classes"))
 
 
-def tree_paths(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(coordinate, depth, path, direct) of a forest given as (coordinate, parent): roots have no parent."""
-    level = nodes.where("parent is null").select("coordinate", F.lit(0).alias("depth"), F.col("coordinate").alias("path"))
-    out = level
-    for depth in range(1, max_depth):
-        n = nodes.alias("n")
-        level = n.join(level.alias("l"), F.col("n.parent") == F.col("l.coordinate")).select("n.coordinate", F.lit(depth).alias("depth"), F.concat("l.path", F.lit(" > "), "n.coordinate").alias("path"))
-        if level.isEmpty():
+def tree_paths(nodes: DataFrame) -> DataFrame:
+    """(coordinate, depth, path, direct) of a forest given as (coordinate, parent): roots have no parent.
+    It may be of any depth; a cycle below a root is an error."""
+    ensure_checkpoint_dir(nodes.sparkSession)
+    level = nodes.where("parent is null").select("coordinate", F.lit(0).alias("depth"), F.array("coordinate").alias("trail")).checkpoint()
+    out, depth, n = level, 0, nodes.alias("n")
+    while True:
+        depth += 1
+        step = n.join(level.alias("l"), F.col("n.parent") == F.col("l.coordinate"))
+        step = step.select("n.coordinate", F.lit(depth).alias("depth"), "l.trail", F.array_contains("l.trail", F.col("n.coordinate")).alias("met")).checkpoint()
+        if step.isEmpty():
             break
+        if not step.where("met").isEmpty():
+            raise ValueError("the dependencies form a cycle")
+        level = step.select("coordinate", "depth", F.concat("trail", F.array("coordinate")).alias("trail"))
         out = out.union(level)
-    return out.withColumn("direct", F.col("depth") == 1)
+    return out.select("coordinate", "depth", F.array_join("trail", " > ").alias("path"), (F.col("depth") == 1).alias("direct"))
 
 
 def merge_reactor(sections: DataFrame) -> DataFrame:
@@ -94,14 +100,15 @@ def trails(resolved: DataFrame) -> DataFrame:
     return below.select(F.element_at(t, -1).alias("coordinate"), F.element_at(t, -2).alias("parent"), depth.alias("depth"), F.array_join(t, " > ").alias("path"), (depth == 1).alias("direct"))
 
 
-def first_visit(edges: DataFrame, root: str, max_depth: int = 64) -> DataFrame:
+def first_visit(edges: DataFrame, root: str) -> DataFrame:
     """(node, depth, path) of a breadth-first walk down (parent, child, position) edges from
-    ``root``: a node counts where it is met first, by depth and then by the parent's path and position."""
+    ``root``, of any depth: a node counts where it is met first, by depth and then by the parent's path and position."""
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
     seen = spark.createDataFrame([(root, 0, root)], "node string, depth int, path string")
-    level = seen
-    for depth in range(1, max_depth):
+    level, depth = seen, 0
+    while True:
+        depth += 1
         step = edges.join(level, edges["parent"] == level["node"]).select(F.col("child").alias("node"), F.struct("path", "position").alias("o"))
         best = step.groupBy("node").agg(F.min("o").alias("o")).select("node", F.lit(depth).alias("depth"), F.concat("o.path", F.lit(" > "), "node").alias("path"))
         level = best.join(seen.select("node"), "node", "left_anti").checkpoint()

@@ -12,7 +12,7 @@ from ..functions.text import binary_names, classify, package_name, simple_name,
 from ..session import Session
 from ..sources.java_slice import slice_methods
 
-MAX_FILE_BYTES, MAX_FILES, CUT_BYTES = 2 << 20, 2000, 240
+MAX_FILE_BYTES, CUT_BYTES = 2 << 20, 240
 #: A Java import keeps these words before its name.
 HIGH_SIGNAL, BROAD = 0, 1
 
@@ -99,15 +99,17 @@ def search_source(lines: DataFrame, text: str) -> DataFrame:
 
 
 def source_owner(s: Session, fqn: str, pinned: str | None = None) -> DataFrame:
-    """The shard to read a class' source from: the pinned one, else one whose coordinate the build
-    resolved, else the first; with the number of shards that have the class."""
+    """The shard to read a class' source from. Of the binary names that ``fqn`` may mean the first that any
+    shard holds counts; of its shards the pinned one, else one whose coordinate the build
+    resolved, else the first; with the number of shards that have that class."""
     names = binary_names(fqn)
     order = F.array_position(F.array(*map(F.lit, names)), F.col("fqn"))
     found = s.with_jar(s.classes.where(F.col("fqn").isin(names)).select("fqn", "shard_id"))
     resolved = s["artifacts"].select(F.col("coordinate").alias("source_jar"), F.lit(1).alias("resolved")).distinct()
-    choice = F.struct((F.col("source_jar") != (pinned or "")).alias("other"), F.col("resolved").isNull().alias("unresolved"), order.alias("o"), "shard_id", "fqn", "source_jar")
-    best = found.join(resolved, "source_jar", "left").agg(F.min(choice).alias("c"), F.countDistinct("shard_id").alias("owners"))
-    return best.where("owners > 0").select("c.fqn", "c.shard_id", "c.source_jar", "owners")
+    choice = F.struct((F.col("source_jar") != (pinned or "")).alias("other"), F.col("resolved").isNull().alias("unresolved"), "shard_id", "source_jar")
+    of_name = found.join(resolved, "source_jar", "left").groupBy("fqn").agg(F.min(choice).alias("c"), F.countDistinct("shard_id").alias("owners"))
+    best = of_name.agg(F.min_by(F.struct("fqn", "c", "owners"), order).alias("b")).where("b is not null")
+    return best.select("b.fqn", "b.c.shard_id", "b.c.source_jar", "b.owners")
 
 
 def get_source(s: Session, sources: DataFrame, fqn: str, method: str | None = None, pinned: str | None = None) -> DataFrame:

@@ -105,7 +105,7 @@ def list_packages(s: Session, prefix: str = "") -> DataFrame:
 
 
 def open_symbol(s: Session, arg: str) -> DataFrame:
-    """The overloads of owner#name; without # or such a method, a method search."""
+    """The overloads of owner#name; an argument of another form is a method search."""
     if classify(arg)[0] == "method":
         hits = s.methods.where("owner_resolved").where(F.col("symbol") == arg)
         return s.with_jar(hits.select("symbol", "descriptor", F.lit(100).alias("score"), F.lit("exact_method").alias("match_reason"), "shard_id"))

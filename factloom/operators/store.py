@@ -21,10 +21,10 @@ def missing(wanted: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def digest_plan(listing: DataFrame, cache: DataFrame) -> DataFrame:
-    """Files (path, size, content) with their digests: from the cache (path, size, digest)
-    where the size is unchanged, else computed."""
-    c = cache.select("path", F.col("size").alias("cached_size"), F.col("digest").alias("cached"))
-    hit = F.coalesce(F.col("cached_size") == F.col("size"), F.lit(False)) & F.col("cached").isNotNull()
+    """Files (path, size, mtime, content) with their digests: from the cache (path, size, mtime, digest)
+    where size and time of change are the same, else computed. A time that isn't known is never the same."""
+    c = cache.select("path", F.col("size").alias("cached_size"), F.col("mtime").alias("cached_mtime"), F.col("digest").alias("cached"))
+    hit = F.coalesce((F.col("cached_size") == F.col("size")) & (F.col("cached_mtime") == F.col("mtime")), F.lit(False)) & F.col("cached").isNotNull()
     joined = listing.join(c, "path", "left")
     return joined.select("path", "size", F.when(hit, F.col("cached")).otherwise(F.sha2("content", 256)).alias("digest"), (~hit).alias("hashed"))
 
@@ -75,8 +75,8 @@ def cached(s) -> DataFrame:
 
 
 def listing(s) -> tuple[DataFrame, DataFrame]:
-    files = s["customer"].select(F.col("c_name").alias("path"), F.col("c_nationkey").alias("size"), F.col("c_name").cast("binary").alias("content"))
-    known = s["customer"].where("c_custkey % 2 = 0").select(F.col("c_name").alias("path"), F.expr("cast(floor(c_nationkey / 2) * 2 as int)").alias("size"), F.concat(F.lit("d"), "c_name").alias("digest"))
+    files = s["customer"].select(F.col("c_name").alias("path"), F.col("c_nationkey").alias("size"), F.col("c_custkey").alias("mtime"), F.col("c_name").cast("binary").alias("content"))
+    known = s["customer"].where("c_custkey % 2 = 0").select(F.col("c_name").alias("path"), F.expr("cast(floor(c_nationkey / 2) * 2 as int)").alias("size"), F.expr("case when c_custkey % 10 = 0 then c_custkey - 1 else c_custkey end").alias("mtime"), F.concat(F.lit("d"), "c_name").alias("digest"))
     return files, known
 
 
