@@ -75,14 +75,14 @@ class Scratch:
         self._fs(path, lambda fs, p: fs.mkdirs(p))
         return path
 
-    def write(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def write(self, df: DataFrame, name: str = "t", compression: str = "snappy") -> DataFrame:
         """Writes ``df`` as Parquet and returns the table read back."""
         self.n += 1
         path = f"{self.root}/{name}-{self.n}"
         before = self.spark.conf.get(self.CLEANUP, "false")
         self.spark.conf.set(self.CLEANUP, "true")
         try:
-            df.write.parquet(path)
+            df.write.parquet(path, compression=compression)
         finally:
             self.spark.conf.set(self.CLEANUP, before)
         back = self.spark.read.schema(df.schema).parquet(path)

@@ -36,6 +36,8 @@ from .common import Scratch, small_batches, table
 
 LENGTH = 2048
 PER_SHARD = 8192
+#: Parts of the shards that are written one after the other, so that their shuffle takes disk for one part at a time.
+WAVES = 2
 #: Shards that a writing task makes, where there are many.
 TASK_SHARDS = 8
 KEY = 0x5EED
@@ -150,7 +152,7 @@ def materialise(docs: DataFrame, ids: Column, scratch: Scratch, id_col: str = "d
     end_mark = int(end).to_bytes(width, "little")
     pad_mark = int(pad).to_bytes(width, "little")
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch], first_shard: int, end_shard: int) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
@@ -164,6 +166,9 @@ def materialise(docs: DataFrame, ids: Column, scratch: Scratch, id_col: str = "d
             numbers = np.arange(number, number + len(data), dtype=np.int64)
             slots = permute(numbers, total, key)
             number += len(data)
+            mine = np.flatnonzero((slots >= first_shard * per_shard) & (slots < end_shard * per_shard))
+            slots, numbers = slots[mine], numbers[mine]
+            data, firsts, used = ([x[i] for i in mine] for x in (data, firsts, used))
             crc = [zlib.crc32(d) for d in data]
             batch = pa.RecordBatch.from_arrays(
                 [pa.array(slots), pa.array(numbers), pa.array((slots // per_shard).astype(np.int32)), pa.array(firsts, arrow_id), pa.array(used, pa.int32()), pa.array(crc, pa.int64()), pa.array([zlib.compress(d, 1) for d in data], pa.binary())],
@@ -205,8 +210,9 @@ def materialise(docs: DataFrame, ids: Column, scratch: Scratch, id_col: str = "d
         if seen != all_sizes.get(part, 0):
             raise ValueError(f"partition {part} held {all_sizes.get(part, 0)} bytes of ids when counted and {seen} now")
 
-    packed = rows.mapInArrow(pack, f"slot long, sequence long, shard int, first_doc_id {kind.simpleString()}, n_tokens int, crc32 long, data binary")
+    packed = lambda first, end: rows.mapInArrow(lambda batches: pack(batches, first, end), f"slot long, sequence long, shard int, first_doc_id {kind.simpleString()}, n_tokens int, crc32 long, data binary")
     shards = -(-n // per_shard)
+    waves = min(WAVES, max(1, shards))
     per_task = TASK_SHARDS if shards >= 4 * TASK_SHARDS * spark.sparkContext.defaultParallelism else 1
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,8 +234,12 @@ def materialise(docs: DataFrame, ids: Column, scratch: Scratch, id_col: str = "d
         if out is not None:
             out.close()
 
-    ordered = packed.repartitionById(max(1, -(-shards // per_task)), F.expr(f"cast(shard div {per_task} as int)")).sortWithinPartitions("slot")
-    done = scratch.write(ordered.mapInArrow(write, f"slot long, sequence long, shard int, byte_offset long, first_doc_id {kind.simpleString()}, n_tokens int, crc32 long, file string"), "sequences")
+    done = None
+    for wave in range(waves):
+        first, end = shards * wave // waves, shards * (wave + 1) // waves
+        ordered = packed(first, end).repartitionById(max(1, -(-(end - first) // per_task)), F.expr(f"cast((shard - {first}) div {per_task} as int)")).sortWithinPartitions("slot")
+        part = scratch.write(ordered.mapInArrow(write, f"slot long, sequence long, shard int, byte_offset long, first_doc_id {kind.simpleString()}, n_tokens int, crc32 long, file string"), "sequences")
+        done = part if done is None else done.union(part)
     done.where(F.col("byte_offset") == 0).select("shard", "file").write.parquet(f"{folder}/files")
     fs, root = pafs.FileSystem.from_uri(folder)
     with fs.open_output_stream(f"{root}/index.json") as f:
@@ -265,7 +275,7 @@ def read_slots(folder: str, start: int, count: int) -> np.ndarray:
 
 def op8(spark, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "shards")
-    encoded = scratch.write(bpe_ids(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id"), "ids")  # else each text is encoded once to count and once to pack
+    encoded = scratch.write(bpe_ids(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id"), "ids", compression="zstd")  # else each text is encoded once to count and once to pack
     done, _ = materialise(encoded, F.col("ids"), scratch, width=WIDTH, end=BPE_END, pad=BPE_PAD)
     scratch.drop(encoded)
     return done
