@@ -52,23 +52,22 @@ def split_coordinate(text: str) -> tuple[str, str, str] | None:
 
 def classify(text: str) -> tuple[str, str, str]:
     """What a dependency question is about: (kind, owner, member)."""
-    t = text.strip().rstrip(";").strip()
-    if t.startswith("import "):
-        t = t[7:].strip()
-        if t.startswith("static "):
-            owner, _, member = t[7:].strip().rpartition(".")
-            return "static_import", owner, member
-        return ("package_import", t[:-2], "") if t.endswith(".*") else ("import", t, "")
+    t = text.strip().removesuffix(";").strip().removeprefix("import ").strip()
+    static = t.startswith("static ")
+    t = t.removeprefix("static ").strip()
     if not t:
         return "unknown", "", ""
     if t.endswith(".*"):
         return "package_import", t[:-2], ""
+    if static:
+        owner, _, member = t.rpartition(".")
+        return "static_import", owner, member
     if "#" in t:
         owner, _, member = t.partition("#")
         return "method", owner, member
     if ":" in t or t.endswith(".jar"):
         return "artifact", t, ""
-    return "class", t, ""
+    return "import" if "." in t else "class", t, ""
 
 
 def binary_names(fqn: str) -> list[str]:

@@ -13,22 +13,58 @@ def joined(value, sep: str = ",") -> F.Column:
     return F.array_join(F.array_sort(F.collect_list(value)), sep)
 
 
+def raw_json(c: F.Column) -> F.Column:
+    """The text where it is JSON, else null."""
+    return F.when(F.get_json_object(c, "$").isNotNull(), c)
+
+
+def listed(value: F.Column) -> F.Column:
+    """The values of a group in order; nulls within them come first."""
+    return F.array_sort(F.collect_list(value))
+
+
+def marks(df: DataFrame, *keys) -> DataFrame:
+    """The annotations of each target as ``annotations``: (fqn, attributes), attributes null unless they are JSON."""
+    found = listed(F.struct("annotation_fqn", F.coalesce("attributes", F.lit("")).alias("attributes")))
+    shown = F.transform(found, lambda x: F.struct(x["annotation_fqn"].alias("fqn"), raw_json(x["attributes"]).alias("attributes")))
+    return df.groupBy(*keys).agg(shown.alias("annotations"))
+
+
+def rules(df: DataFrame, *keys) -> DataFrame:
+    """The conditions of each target as ``conditions``: (type, ref_value), the value null unless it is JSON."""
+    found = listed(F.struct("type", F.coalesce("ref_value", F.lit("")).alias("ref_value")))
+    shown = F.transform(found, lambda x: F.struct(x["type"].alias("type"), raw_json(x["ref_value"]).alias("ref_value")))
+    return df.groupBy(*keys).agg(shown.alias("conditions"))
+
+
+def left_lists(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the lists of ``other``, empty where it has no row."""
+    lists = [f for f in other.schema if f.name not in keys]
+    return df.join(other, keys, "left").withColumns({f.name: F.coalesce(f.name, F.array().cast(f.dataType)) for f in lists})
+
+
 def get_class(s: Session, fqn: str) -> DataFrame:
-    """A row per shard that holds the class; children are aggregated on their own and joined, each filtered first."""
-    here = s.classes.where(F.col("fqn") == fqn)
-    out = here.select("shard_id", "fqn", "kind", "super_fqn", "modifiers", "source_file")
+    """A row per shard that holds the class, with ordered lists of its interfaces, annotations, methods (with their
+    annotations), bean definitions (with their conditions) and conditions. Children are filtered first, aggregated
+    on their own and joined."""
+    out = s.classes.where(F.col("fqn") == fqn).select("shard_id", "fqn", "kind", "super_fqn", "modifiers", "is_abstract", "source_file")
     of = lambda t, c="class_fqn": s[t].where(F.col(c) == fqn)
-    method = F.concat("name", "descriptor")
+    on = of("annotations")
+    on_methods = on.where("target_kind = 'method'").withColumns({"name": F.col("method_name"), "descriptor": F.col("method_descriptor")})
+    methods = left_lists(of("methods"), marks(on_methods, "shard_id", "name", "descriptor"), ["shard_id", "name", "descriptor"])
+    of_beans = s["conditions"].where("target_kind = 'bean_method'")
+    beans = left_lists(of("beans", "config_fqn"), rules(of_beans, "shard_id", "bean_id"), ["shard_id", "bean_id"])
+    bean = F.struct("bean_name", "bean_id", "bean_type_fqn", F.concat("method_name", "method_descriptor").alias("method"), "conditions")
     parts = [
-        of("class_interfaces").groupBy("shard_id").agg(joined("interface_fqn").alias("interfaces")),
-        of("annotations").where("target_kind = 'class'").groupBy("shard_id").agg(joined(F.concat("annotation_fqn", F.coalesce("attributes", F.lit(""))), ";").alias("annotations")),
-        of("methods").groupBy("shard_id").agg(joined(method).alias("methods"), F.count(F.lit(1)).alias("method_count")),
-        of("beans", "config_fqn").groupBy("shard_id").agg(joined("bean_name").alias("beans")),
-        of("conditions").where("target_kind = 'class'").groupBy("shard_id").agg(joined(F.concat("type", F.lit("="), F.coalesce("ref_value", F.lit("")))).alias("conditions")),
+        of("class_interfaces").groupBy("shard_id").agg(listed(F.col("interface_fqn")).alias("interfaces")),
+        marks(on.where("target_kind = 'class'"), "shard_id"),
+        methods.groupBy("shard_id").agg(listed(F.struct("name", "descriptor", "return_fqn", "modifiers", "annotations")).alias("methods")),
+        beans.groupBy("shard_id").agg(listed(bean).alias("beans")),
+        rules(of("conditions").where("target_kind = 'class'"), "shard_id"),
     ]
     for p in parts:
-        out = out.join(p, "shard_id", "left")
-    return s.with_jar(out.na.fill("", ["interfaces", "annotations", "methods", "beans", "conditions"]).na.fill(0, ["method_count"]))
+        out = left_lists(out, p, ["shard_id"])
+    return s.with_jar(out)
 
 
 def get_bean_definitions(s: Session, fqn: str) -> DataFrame:

@@ -64,18 +64,55 @@ def why_dependency(s: Session, targets: DataFrame) -> DataFrame:
     return last.select("coordinate", "matched_by", "source_class", "a.depth", "a.path", "a.parent")
 
 
-def precise(s: Session, text: str) -> DataFrame:
-    """What a name, import, method or coordinate means: (kind, owner, shard_id, source_jar, reason)."""
+def dependency_targets(s: Session, arg: str) -> DataFrame:
+    """(coordinate, source_class, position): what a class name, coordinate, group:artifact, artifact or file name means
+    among the shards; a coordinate that no shard has stands for itself."""
+    m = s["shards"].select("shard_id", "coordinate", "filename")
+    part = F.split(F.coalesce("coordinate", F.lit("")), ":")
+    named = (F.col("coordinate") == arg) | (F.substring_index("coordinate", ":", 2) == arg) | (F.get(part, F.lit(1)) == arg) | (F.col("filename") == arg)
+    found = m.where(named).select("coordinate", F.lit("").alias("source_class"), F.col("shard_id").alias("position"))
+    if "." in arg and ":" not in arg and not arg.endswith(".jar"):
+        holders = s["classes"].where(F.col("fqn") == arg).select("shard_id", F.col("fqn").alias("source_class"))
+        found = found.union(m.join(holders, "shard_id").select("coordinate", "source_class", F.col("shard_id")))
+    found = found.where("coordinate <> ''").distinct()
+    if ":" in arg and found.isEmpty():
+        return found.sparkSession.range(1).select(F.lit(arg).alias("coordinate"), F.lit("").alias("source_class"), F.lit("").alias("position"))
+    return found
+
+
+def why_dependency_of(s: Session, arg: str) -> DataFrame:
+    """``why_dependency`` for what an argument names."""
+    return why_dependency(s, dependency_targets(s, arg))
+
+
+def precise(s: Session, text: str, mode: str | None = None) -> DataFrame:
+    """What a name, import, method or coordinate means: (kind, owner, shard_id, source_jar, reason). ``mode`` (artifact or
+    class) sets how the text is looked up; otherwise its form does, and a plain name that is no class is tried as an artifact."""
     kind, owner, _ = classify(text)
-    if kind == "artifact":
-        found = artifact_origins(s, owner).select("shard_id", F.col("reason"))
-        return s.with_jar(found.select(F.lit(kind).alias("kind"), F.lit(owner).alias("owner"), "shard_id", "reason"))
+    plain = text.strip().removesuffix(";").strip().removeprefix("import ").strip().removeprefix("static ").strip()
+    if mode:
+        kind, owner = mode, plain if mode == "artifact" or kind in ("artifact", "package_import") else owner
     if kind == "package_import":
         return package_origins(s, owner).select(F.lit(kind).alias("kind"), F.col("package_name").alias("owner"), "shard_id", F.lit("package").alias("reason"), "source_jar")
     found = class_origins(s, owner)
+    if kind == "artifact" or (not mode and "." not in owner and owner and found.isEmpty()):
+        found = artifact_origins(s, owner).select("shard_id", F.col("reason"))
+        return s.with_jar(found.select(F.lit(kind).alias("kind"), F.lit(owner).alias("owner"), "shard_id", "reason"))
     return found.select(F.lit(kind).alias("kind"), F.col("fqn").alias("owner"), "shard_id", F.when(F.col("rank") == 0, "exact_fqn").otherwise("simple_name").alias("reason"), "source_jar")
 
 
+def provenance(s: Session, text: str, mode: str | None = None) -> DataFrame:
+    """Why the shards that ``precise`` finds are on the classpath. If none of them has a coordinate, the text
+    itself is resolved, unless only classes are looked for."""
+    kind, owner, _ = classify(text)
+    origins = precise(s, text, mode).select("shard_id", F.when(F.lit((mode or kind) != "artifact"), F.col("owner")).otherwise("").alias("source_class"))
+    targets = origins.join(s["shards"].where("coordinate <> ''").select("shard_id", "coordinate"), "shard_id")
+    targets = targets.select("coordinate", "source_class", F.col("shard_id").alias("position"))
+    if mode != "class" and targets.isEmpty():
+        targets = dependency_targets(s, owner)
+    return why_dependency(s, targets)
+
+
 def source_lines(files: DataFrame, path: Column, text: Column, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """(path, line, text) of every file without a NUL and of at most ``max_bytes``."""
     ok = files.where((F.octet_length(text) <= max_bytes) & ~F.contains(text, F.lit("\0")))
@@ -131,4 +168,4 @@ def get_source(s: Session, sources: DataFrame, fqn: str, method: str | None = No
     return found.mapInPandas(cut, found.schema)
 
 
-__all__ = ["get_source", "class_origins", "package_origins", "artifact_origins", "why_dependency", "precise", "source_lines", "source_usages", "search_source", "source_owner", "package_name", "simple_name", "split_coordinate"]
+__all__ = ["dependency_targets", "why_dependency_of", "provenance", "get_source", "class_origins", "package_origins", "artifact_origins", "why_dependency", "precise", "source_lines", "source_usages", "search_source", "source_owner", "package_name", "simple_name", "split_coordinate"]

@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import LOWER, UPPER, ascii_fold, begins, classify, contains, equals, page_bounds
+from ..functions.text import LOWER, UPPER, ascii_fold, begins, contains, equals, page_bounds
 from ..session import Session
+from .detail import get_class
 
 
 def paged(df: DataFrame, order: list, page: int, size: int) -> DataFrame:
@@ -105,10 +106,13 @@ def list_packages(s: Session, prefix: str = "") -> DataFrame:
 
 
 def open_symbol(s: Session, arg: str) -> DataFrame:
-    """The overloads of owner#name; an argument of another form is a method search."""
-    if classify(arg)[0] == "method":
+    """The overloads of owner#name. An argument without # is a class, whose details are returned (``detail.get_class``);
+    if no shard holds that class, a method search's first page."""
+    if "#" in arg:
         hits = s.methods.where("owner_resolved").where(F.col("symbol") == arg)
         return s.with_jar(hits.select("symbol", "descriptor", F.lit(100).alias("score"), F.lit("exact_method").alias("match_reason"), "shard_id"))
+    if not s["classes"].where(F.col("fqn") == arg).isEmpty():
+        return get_class(s, arg)
     hits = find_method(s, arg)
     return hits.select(F.concat("class_fqn", F.lit("#"), "name").alias("symbol"), "descriptor", "score", "match_reason", "shard_id", "source_jar")
 

@@ -99,6 +99,45 @@ _PRINT = "substr(sha256(string_agg(DISTINCT shard_id, chr(10) ORDER BY shard_id)
 HIGH, BROAD = ["License", "token ="], ["http", "the "]
 
 
+_ARTIFACT = "SELECT '{}' AS kind, 'Supplier-000000003' AS owner, shard_id, 'artifact' AS reason FROM shards WHERE split_part(coordinate, ':', 2) = 'Supplier-000000003'"
+
+
+def _precise_sql(kind: str) -> str:
+    return _jar(f"SELECT '{kind}' AS kind, fqn AS owner, shard_id, CASE WHEN fqn = {_CLASS} THEN 'exact_fqn' ELSE 'simple_name' END AS reason FROM classes WHERE fqn = {_CLASS} OR {SIMPLE} = 'P15'")
+
+
+def _why_sql(chosen: str) -> str:
+    """Why the artifacts that hold the chosen classes (c) are there."""
+    return _with(f"""SELECT coordinate, matched_by, source_class, arg_max(depth, position) AS depth, arg_max(path, position) AS path, arg_max(parent, position) AS parent FROM (
+ SELECT a.*, t.source_class, t.position, CASE WHEN a.coordinate = t.coordinate THEN 'coordinate' WHEN concat(a.group_id, ':', a.artifact) = t.ga THEN 'group_artifact' ELSE 'artifact' END AS matched_by
+ FROM artifacts a JOIN (SELECT s.coordinate, concat(split_part(s.coordinate, ':', 1), ':', split_part(s.coordinate, ':', 2)) AS ga, split_part(s.coordinate, ':', 2) AS name, c.fqn AS source_class, s.s_suppkey AS position FROM classes c JOIN shards s ON s.shard_id = c.shard_id WHERE s.coordinate IS NOT NULL AND {chosen}) t
+ ON a.coordinate = t.coordinate OR concat(a.group_id, ':', a.artifact) = t.ga OR a.artifact = t.name) GROUP BY 1, 2, 3""")
+
+
+def _class_sql(fqn: str) -> str:
+    """The details of one class, lists as JSON."""
+    mine = "x.class_fqn = c.fqn AND x.shard_id = c.shard_id"
+    held = lambda c: f"CASE WHEN json_valid({c}) THEN {c} END"
+    mark = f"struct_pack(fqn := annotation_fqn, attributes := {held('attributes')})"
+    rule = f"struct_pack(type := type, ref_value := {held('ref_value')})"
+    rules = f"coalesce((SELECT list({rule} ORDER BY type, coalesce(ref_value, '')) FROM conditions k WHERE k.target_kind = 'bean_method' AND k.bean_id = x.bean_id AND k.shard_id = x.shard_id), [])"
+    bean = f"struct_pack(bean_name := bean_name, bean_id := bean_id, bean_type_fqn := bean_type_fqn, \"method\" := method_name || method_descriptor, conditions := {rules})"
+    parts = {
+        "interfaces": ("interface_fqn ORDER BY interface_fqn", f"class_interfaces x WHERE {mine}"),
+        "annotations": (f"{mark} ORDER BY annotation_fqn, coalesce(attributes, '')", f"annotations x WHERE x.target_kind = 'class' AND {mine}"),
+        "methods": ("struct_pack(name := name, descriptor := descriptor, return_fqn := return_fqn, modifiers := modifiers, annotations := []) ORDER BY name, descriptor", f"methods x WHERE {mine}"),
+        "beans": ("b ORDER BY b.bean_name, b.bean_id", f"(SELECT {bean} AS b, config_fqn AS class_fqn, shard_id FROM beans x WHERE config_fqn = {fqn}) x WHERE {mine}"),
+        "conditions": (f"{rule} ORDER BY type, coalesce(ref_value, '')", f"conditions x WHERE x.target_kind = 'class' AND {mine}"),
+    }
+    lists = ", ".join(f"(SELECT to_json(coalesce(list({value}), []))::VARCHAR FROM {rows}) AS {k}" for k, (value, rows) in parts.items())
+    return _jar(f"SELECT c.shard_id, c.fqn, c.kind, c.super_fqn, c.modifiers, c.is_abstract, c.source_file, {lists} FROM classes c WHERE c.fqn = {fqn}")
+
+
+def _json(df):
+    """Lists as JSON, which engines compare alike."""
+    return df.select(*[F.to_json(f.name, {"ignoreNullFields": "false"}).alias(f.name) if f.dataType.typeName() == "array" else f.name for f in df.schema])
+
+
 def _name(s, key: int) -> str:
     """The class name that the data gives a part key."""
     return s["part_names"].where(F.col("p_partkey") == key).first()["fqn"]
@@ -128,23 +167,27 @@ QUERIES = {
     "search_symbol_page_2": (lambda s: search.search_symbol(s, "get", page=2), _search_symbol_sql("get", 2)),
     "search_symbol_kind_terms": (lambda s: search.search_symbol(s, "app."), _search_symbol_sql("app.")),
     "open_symbol": (lambda s: search.open_symbol(s, f"{_name(s, 15)}#getAO1"), _jar(f"SELECT concat(owner, '#', name) AS symbol, descriptor, 100 AS score, 'exact_method' AS match_reason, shard_id FROM ({_OWNED}) WHERE owner = {_CLASS} AND name = 'getAO1'")),
-    "get_class": (lambda s: detail.get_class(s, _name(s, 15)), _jar(f"""SELECT c.shard_id, c.fqn, c.kind, c.super_fqn, c.modifiers, c.source_file,
-  coalesce((SELECT string_agg(interface_fqn, ',' ORDER BY interface_fqn) FROM class_interfaces i WHERE i.class_fqn = c.fqn AND i.shard_id = c.shard_id), '') AS interfaces,
-  coalesce((SELECT string_agg(v, ';' ORDER BY v) FROM (SELECT concat(annotation_fqn, coalesce(attributes, '')) AS v FROM annotations a WHERE a.class_fqn = c.fqn AND a.shard_id = c.shard_id)), '') AS annotations,
-  coalesce((SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT concat(name, descriptor) AS v FROM methods a WHERE a.class_fqn = c.fqn AND a.shard_id = c.shard_id)), '') AS methods,
-  (SELECT count(*) FROM methods a WHERE a.class_fqn = c.fqn AND a.shard_id = c.shard_id) AS method_count, '' AS beans, '' AS conditions FROM classes c WHERE c.fqn = {_CLASS}""")),
+    "open_symbol_class": (lambda s: _json(search.open_symbol(s, "cfg.C10")), _class_sql("'cfg.C10'")),
+    "open_symbol_name": (lambda s: search.open_symbol(s, "getAF1"), f"SELECT concat(class_fqn, '#', name) AS symbol, descriptor, score, match_reason, shard_id, source_jar FROM ({_find_method_sql('getAF1')})"),
+    "get_class": (lambda s: _json(detail.get_class(s, _name(s, 15))), _class_sql(_CLASS)),
+    "get_class_config": (lambda s: _json(detail.get_class(s, "cfg.C8")), _class_sql("'cfg.C8'")),
     "get_bean_definitions": (lambda s: detail.get_bean_definitions(s, "cfg.C7"), _jar(f"""SELECT config_fqn, bean_name, bean_type_fqn, method_name || method_descriptor AS method, coalesce((SELECT string_agg(v, ',' ORDER BY v) FROM (SELECT {_COND} AS v FROM conditions c WHERE c.bean_id = b.bean_id)), '') AS conditions, bean_id, shard_id FROM beans b WHERE bean_type_fqn = 'cfg.C7' OR config_fqn = 'cfg.C7'""")),
     "get_beans_by_type": (lambda s: detail.get_bean_definitions(s, "bean.F"), _jar(f"""SELECT config_fqn, bean_name, bean_type_fqn, method_name || method_descriptor AS method, coalesce(c.conditions, '') AS conditions, b.bean_id, shard_id FROM beans b LEFT JOIN (SELECT bean_id, string_agg({_COND}, ',' ORDER BY {_COND}) AS conditions FROM conditions WHERE bean_id IS NOT NULL GROUP BY 1) c ON c.bean_id = b.bean_id WHERE bean_type_fqn = 'bean.F'""")),
     "explain_conditional": (lambda s: detail.explain_conditional(s, "cfg.C8"), _jar("""SELECT shard_id, 'class' AS target, cast(NULL as string) AS bean_name, -1 AS bean_id, type, ref_value FROM conditions WHERE target_kind = 'class' AND class_fqn = 'cfg.C8'
  UNION ALL SELECT c.shard_id, 'bean_method', b.bean_name, b.bean_id, c.type, c.ref_value FROM conditions c JOIN beans b ON b.bean_id = c.bean_id WHERE b.config_fqn = 'cfg.C8'""")),
     "list_extension_points": (lambda s: detail.list_extension_points(s), _with("SELECT mechanism, key, count(*) AS implementations FROM spi GROUP BY ALL")),
     "list_extension_point": (lambda s: detail.list_extension_points(s, "MACHINERY"), _jar("SELECT mechanism, key, impl_fqn, shard_id FROM spi WHERE key = 'MACHINERY' OR mechanism = 'MACHINERY'")),
-    "why_dependency": (lambda s: provenance.why_dependency(s, _targets(s)), _with("""SELECT coordinate, matched_by, source_class, arg_max(depth, position) AS depth, arg_max(path, position) AS path, arg_max(parent, position) AS parent FROM (
- SELECT a.*, t.source_class, t.position, CASE WHEN a.coordinate = t.coordinate THEN 'coordinate' WHEN concat(a.group_id, ':', a.artifact) = t.ga THEN 'group_artifact' ELSE 'artifact' END AS matched_by
- FROM artifacts a JOIN (SELECT s.coordinate, concat(split_part(s.coordinate, ':', 1), ':', split_part(s.coordinate, ':', 2)) AS ga, split_part(s.coordinate, ':', 2) AS name, c.fqn AS source_class, s.s_suppkey AS position FROM classes c JOIN shards s ON s.shard_id = c.shard_id WHERE s.coordinate IS NOT NULL AND c.fqn LIKE '%P1') t
- ON a.coordinate = t.coordinate OR concat(a.group_id, ':', a.artifact) = t.ga OR a.artifact = t.name) GROUP BY 1, 2, 3""")),
-    "dep_precise_import": (lambda s: provenance.precise(s, f"import {_name(s, 15)};"), _jar(f"SELECT 'import' AS kind, fqn AS owner, shard_id, CASE WHEN fqn = {_CLASS} THEN 'exact_fqn' ELSE 'simple_name' END AS reason FROM classes WHERE fqn = {_CLASS} OR {SIMPLE} = 'P15'")),
-    "class": (lambda s: provenance.precise(s, _name(s, 15)), _jar(f"SELECT 'class' AS kind, fqn AS owner, shard_id, 'exact_fqn' AS reason FROM classes WHERE fqn = {_CLASS}")),
+    "why_dependency": (lambda s: provenance.why_dependency(s, _targets(s)), _why_sql("c.fqn LIKE '%P1'")),
+    "why_dependency_class": (lambda s: provenance.why_dependency_of(s, _name(s, 15)), _why_sql(f"c.fqn = {_CLASS}")),
+    "why_dependency_artifact": (lambda s: provenance.why_dependency_of(s, "Supplier-000000003"), _with("SELECT coordinate, 'coordinate' AS matched_by, '' AS source_class, depth, path, parent FROM artifacts WHERE artifact = 'Supplier-000000003'")),
+    "dep_precise_import": (lambda s: provenance.precise(s, f"import {_name(s, 15)};"), _precise_sql("import")),
+    "dep_precise_static": (lambda s: provenance.precise(s, f"import static {_name(s, 15)}.make;"), _precise_sql("static_import")),
+    "dep_precise_method": (lambda s: provenance.precise(s, f"{_name(s, 15)}#getAO1"), _precise_sql("method")),
+    "dep_precise_package": (lambda s: provenance.precise(s, "import com.promo.red_widget.*;"), _jar(f"SELECT DISTINCT 'package_import' AS kind, {PACKAGE_OF} AS owner, shard_id, 'package' AS reason FROM classes WHERE {PACKAGE_OF} = 'com.promo.red_widget'")),
+    "dep_precise_fallback": (lambda s: provenance.precise(s, "Supplier-000000003"), _jar(_ARTIFACT.format("class"))),
+    "dep_precise_provenance": (lambda s: provenance.provenance(s, f"import {_name(s, 15)};"), _why_sql(f"(c.fqn = {_CLASS} OR string_split(c.fqn, '.')[-1] = 'P15')")),
+    "class": (lambda s: provenance.precise(s, _name(s, 15), "class"), _precise_sql("class")),
+    "artifact_forced": (lambda s: provenance.precise(s, "Supplier-000000003", "artifact"), _jar(_ARTIFACT.format("artifact"))),
     "artifact": (lambda s: provenance.precise(s, "Supplier-000000003.jar"), _jar("SELECT 'artifact' AS kind, 'Supplier-000000003.jar' AS owner, shard_id, 'jar_filename' AS reason FROM shards WHERE filename = 'Supplier-000000003.jar'")),
     "class_origins": (lambda s: provenance.class_origins(s, _name(s, 20), limit=1000), _jar(f"SELECT fqn, 0 AS rank, shard_id FROM classes WHERE fqn = (SELECT fqn FROM part_names WHERE p_partkey = 20)")),
     "package_origins": (lambda s: provenance.package_origins(s, "com.promo.red_widget"), _jar(f"SELECT DISTINCT {PACKAGE_OF} AS package_name, shard_id FROM classes WHERE {PACKAGE_OF} = 'com.promo.red_widget'")),

@@ -27,7 +27,10 @@ FACTS = {
         u.fqn AS super_fqn, cast(l_partkey % 32 as int) AS modifiers, l_partkey % 4 = 0 AS is_abstract, cast(NULL as string) AS source_file
         FROM {{lineitem}} JOIN {{part_names}} n ON n.p_partkey = l_partkey
         LEFT JOIN {{part_names}} u ON l_partkey > 1 AND u.p_partkey = cast(floor(l_partkey / 2) as bigint)
-        WHERE l_linenumber = 1""",
+        WHERE l_linenumber = 1
+        UNION ALL
+        SELECT DISTINCT {_SHARD.format('o_custkey % 10')}, concat('cfg.C', cast(o_custkey as string)), 'class', cast(NULL as string), cast(1 as int), false, cast(NULL as string)
+        FROM {{orders}}""",
     "class_interfaces": """SELECT DISTINCT c.shard_id, c.fqn AS class_fqn, i.fqn AS interface_fqn
         FROM {part_names} p JOIN {classes} c ON c.fqn = p.fqn
         JOIN {part_names} i ON i.p_partkey = cast(floor(p.p_partkey / 3) as bigint) WHERE p.p_partkey % 5 = 0 AND p.p_partkey > 0""",
