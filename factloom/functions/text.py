@@ -52,7 +52,8 @@ def split_coordinate(text: str) -> tuple[str, str, str] | None:
 
 def classify(text: str) -> tuple[str, str, str]:
     """What a dependency question is about: (kind, owner, member)."""
-    t = text.strip().removesuffix(";").strip().removeprefix("import ").strip()
+    said = text.strip().removesuffix(";").strip()
+    t = said.removeprefix("import ").strip()
     static = t.startswith("static ")
     t = t.removeprefix("static ").strip()
     if not t:
@@ -67,7 +68,7 @@ def classify(text: str) -> tuple[str, str, str]:
         return "method", owner, member
     if ":" in t or t.endswith(".jar"):
         return "artifact", t, ""
-    return "import" if "." in t else "class", t, ""
+    return "import" if said.startswith("import ") else "class", t, ""
 
 
 def binary_names(fqn: str) -> list[str]:
