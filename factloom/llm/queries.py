@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, html_text, mixing, quality, simhash, toxicity, training_order, url_filter, warc
+from . import bpe, chat_format, embedding_dedup, hard_negatives, html_text, mixing, quality, simhash, spelling, toxicity, training_order, url_filter, warc
 from .common import table
 
 
@@ -23,6 +23,9 @@ def queries() -> dict:
         "op8_training_order": training_order.op8,
         "op9_html_text": html_text.op9,
         "op10_simhash": op10,
+        "op11_chat_format": chat_format.op11,
+        "op12_hard_negatives": hard_negatives.op12,
+        "op13_spelling": spelling.op13,
     }
 
 
@@ -33,4 +36,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_filters": url_filter.OP3_SQL,
         "op4_warc": warc.OP4_SQL,
         "op6_embedding_dedup": embedding_dedup.OP6_SQL,
+        "op11_chat_format": chat_format.OP11_SQL,
+        "op12_hard_negatives": hard_negatives.OP12_SQL,
+        "op13_spelling": spelling.OP13_SQL,
     }
