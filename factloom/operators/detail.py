@@ -43,6 +43,11 @@ def left_lists(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(other, keys, "left").withColumns({f.name: F.coalesce(f.name, F.array().cast(f.dataType)) for f in lists})
 
 
+def bean_conditions(s: Session, beans: DataFrame) -> DataFrame:
+    """The conditions of these beans' methods alone, so that what is aggregated grows with the beans and not with the session."""
+    return s["conditions"].where("target_kind = 'bean_method'").join(beans.select("shard_id", "bean_id"), ["shard_id", "bean_id"], "left_semi")
+
+
 def get_class(s: Session, fqn: str) -> DataFrame:
     """A row per shard that holds the class, with ordered lists of its interfaces, annotations, methods (with their
     annotations), bean definitions (with their conditions) and conditions. Children are filtered first, aggregated
@@ -52,8 +57,8 @@ def get_class(s: Session, fqn: str) -> DataFrame:
     on = of("annotations")
     on_methods = on.where("target_kind = 'method'").withColumns({"name": F.col("method_name"), "descriptor": F.col("method_descriptor")})
     methods = left_lists(of("methods"), marks(on_methods, "shard_id", "name", "descriptor"), ["shard_id", "name", "descriptor"])
-    of_beans = s["conditions"].where("target_kind = 'bean_method'")
-    beans = left_lists(of("beans", "config_fqn"), rules(of_beans, "shard_id", "bean_id"), ["shard_id", "bean_id"])
+    mine = of("beans", "config_fqn")
+    beans = left_lists(mine, rules(bean_conditions(s, mine), "shard_id", "bean_id"), ["shard_id", "bean_id"])
     bean = F.struct("bean_name", "bean_id", "bean_type_fqn", F.concat("method_name", "method_descriptor").alias("method"), "conditions")
     parts = [
         of("class_interfaces").groupBy("shard_id").agg(listed(F.col("interface_fqn")).alias("interfaces")),
@@ -70,7 +75,7 @@ def get_class(s: Session, fqn: str) -> DataFrame:
 def get_bean_definitions(s: Session, fqn: str) -> DataFrame:
     """Beans of that type, or defined by that class, with the conditions of their methods."""
     beans = s["beans"].where((F.col("bean_type_fqn") == fqn) | (F.col("config_fqn") == fqn))
-    c = s["conditions"].where("target_kind = 'bean_method'").groupBy("shard_id", "bean_id").agg(joined(F.concat("type", F.lit("="), F.coalesce("ref_value", F.lit("")))).alias("conditions"))
+    c = bean_conditions(s, beans).groupBy("shard_id", "bean_id").agg(joined(F.concat("type", F.lit("="), F.coalesce("ref_value", F.lit("")))).alias("conditions"))
     out = beans.join(c, ["shard_id", "bean_id"], "left").na.fill("", ["conditions"])
     return s.with_jar(out.select("config_fqn", "bean_name", "bean_type_fqn", F.concat("method_name", "method_descriptor").alias("method"), "conditions", "bean_id", "shard_id"))
 

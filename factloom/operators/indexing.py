@@ -83,7 +83,7 @@ def plan_session(old: DataFrame, new: DataFrame, chain: int = 0) -> DataFrame:
         F.count(F.when(F.col("n").isNull(), 1)).alias("removed"),
     )
     changed = F.col("added") + F.col("removed")
-    small = (F.col("before") > 0) & (changed <= DELTA_SHARE * F.greatest("before", "after")) & F.lit(chain < DELTA_CHAIN)
+    small = (F.col("before") > 0) & (changed <= DELTA_SHARE * F.col("after")) & F.lit(chain < DELTA_CHAIN)
     return counts.select("*", F.when(changed == 0, "reuse").when(small, "delta").otherwise("rebuild").alias("action"))
 
 

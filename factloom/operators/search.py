@@ -56,46 +56,53 @@ def find_method(s: Session, term: str, page: int = 1, size: int = 20) -> DataFra
     return s.with_jar(paged(hits, [F.desc("score"), *nulls_first("class_fqn", "name", "descriptor", "shard_id")], page, size))
 
 
+#: (score, reason, kind, condition) of a symbol's first match; t is the term, held says whether a field holds it, prefixes are sought for terms of ASCII alone.
+SYMBOL_ARMS = [
+    (100, "exact_fqn", "class", "name = t"),
+    (98, "exact_method", "method", "name = t"),
+    (92, "method_name", "method", "substring_index(name, '#', -1) = t"),
+    (90, "simple_name", "class", "substring_index(name, '.', -1) = t"),
+    (88, "annotation_fqn", "annotation", "name = t"),
+    (86, "spi_impl", "spi", "name = t"),
+    (86, "spi_key", "spi", "owner = t"),
+    (84, "config_property", "config-property", "name = t"),
+    (82, "simple_prefix", "class", "prefix and startswith(substring_index(name, '.', -1), t)"),
+    (80, "prefix", "class", "prefix and startswith(name, t)"),
+    (78, "annotation_prefix", "annotation", "prefix and startswith(name, t)"),
+    (76, "spi_prefix", "spi", "prefix and startswith(name, t)"),
+    (75, "method_prefix", "method", "prefix and startswith(substring_index(name, '#', -1), t)"),
+    (70, "config_prefix", "config-property", "prefix and startswith(name, t)"),
+    (65, "string_constant", "string", "name = t"),
+    (60, "string_prefix", "string", "prefix and startswith(name, t)"),
+    (55, "class_contains", "class", "held"),
+    (50, "method_contains", "method", "held"),
+    (45, "annotation_contains", "annotation", "held"),
+    (44, "spi_contains", "spi", "held"),
+    (43, "config-property_contains", "config-property", "held"),
+    (30, "string_contains", "string", "held"),
+]
+_FIRST_ARM = "case " + " ".join(f"when kind = '{k}' and {c} then named_struct('score', {score}, 'match_reason', '{reason}')" for score, reason, k, c in SYMBOL_ARMS) + " end"
+
+
 def search_symbol(s: Session, term: str, page: int = 1, size: int = 20) -> DataFrame:
     """The ranked union over classes, methods, annotations, services, properties and strings."""
-    kind, name, owner, detail = (F.col(c) for c in ("kind", "name", "owner", "detail"))
-    of = lambda k, c: (kind == k) & c
-    method = F.substring_index(name, "#", -1)
-    simple = F.substring_index(name, ".", -1)
-    any_of = lambda *c: contains(c[0], term) if len(c) == 1 else contains(c[0], term) | any_of(*c[1:])
-    arms = [
-        (100, "exact_fqn", of("class", equals(name, term))),
-        (98, "exact_method", of("method", equals(name, term))),
-        (92, "method_name", of("method", equals(method, term))),
-        (90, "simple_name", of("class", equals(simple, term))),
-        (88, "annotation_fqn", of("annotation", equals(name, term))),
-        (86, "spi_impl", of("spi", equals(name, term))),
-        (86, "spi_key", of("spi", equals(owner, term))),
-        (84, "config_property", of("config-property", equals(name, term))),
-        (82, "simple_prefix", of("class", begins(simple, term))),
-        (80, "prefix", of("class", begins(name, term))),
-        (78, "annotation_prefix", of("annotation", begins(name, term))),
-        (76, "spi_prefix", of("spi", begins(name, term))),
-        (75, "method_prefix", of("method", begins(method, term))),
-        (70, "config_prefix", of("config-property", begins(name, term))),
-        (65, "string_constant", of("string", equals(name, term))),
-        (60, "string_prefix", of("string", begins(name, term))),
-        (55, "class_contains", of("class", any_of(name, detail))),
-        (50, "method_contains", of("method", any_of(name, owner, detail))),
-        (45, "annotation_contains", of("annotation", any_of(name, owner, detail))),
-        (44, "spi_contains", of("spi", any_of(name, owner, detail))),
-        (43, "config-property_contains", of("config-property", any_of(name, owner, detail))),
-        (30, "string_contains", of("string", any_of(name, owner, detail))),
-    ]
-    hits = ranked(s.symbols, arms)
+    rows, held = s.index.candidates(term) if s.index else (s.symbols, False)
+    names = ["kind", "name", "owner", "detail", "shard_id"]
+    anywhere = F.lit(True) if held else contains(F.col("name"), term) | contains(F.col("owner"), term) | contains(F.col("detail"), term)
+    asked = rows.select(*names, F.lit(term).alias("t"), F.lit(bool(term) and term.isascii()).alias("prefix"), anywhere.alias("held"))
+    hits = asked.select(*names, F.expr(_FIRST_ARM).alias("hit")).where("hit is not null").select(*names, "hit.score", "hit.match_reason")
     return s.with_jar(paged(hits, [F.desc("score"), *nulls_first("kind", "name", "shard_id", "owner", "detail")], page, size))
 
 
 def find_string(s: Session, text: str) -> DataFrame:
     """Every constant that holds ``text``, with its class and method."""
     classes = s["classes"].select("shard_id", F.col("fqn").alias("class_fqn"))
-    hits = s["strings"].where(contains(F.col("value"), text)).join(classes, ["shard_id", "class_fqn"])
-    return s.with_jar(hits.select("value", "class_fqn", F.concat("method_name", "method_descriptor").alias("method"), "shard_id"))
+    if s.index:
+        strings = s.index.candidates(text)[0].where("kind = 'string'").select(F.col("name").alias("value"), F.col("owner").alias("class_fqn"), F.col("detail").alias("method"), "shard_id")
+    else:
+        strings = s["strings"].select("value", "class_fqn", F.concat("method_name", "method_descriptor").alias("method"), "shard_id")
+    hits = strings.where(contains(F.col("value"), text)).join(classes, ["shard_id", "class_fqn"])
+    return s.with_jar(hits.select("value", "class_fqn", "method", "shard_id"))
 
 
 def list_packages(s: Session, prefix: str = "") -> DataFrame:

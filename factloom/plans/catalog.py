@@ -6,8 +6,10 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from ..operators import detail, graph, indexing, provenance, search, store
+from ..operators import detail, graph, indexing, provenance, search, session_store, store
 from ..operators.search import paged
+from ..schema import RELATIONS
+from ..shared import scratch_path
 from .facts import load, sql_facts
 
 TERM = "widget"
@@ -148,6 +150,23 @@ def _targets(s):
     return s["classes"].join(shards, "shard_id").select("coordinate", F.col("fqn").alias("source_class"), F.col("s_suppkey").alias("position")).where(F.col("source_class").like("%P1"))
 
 
+def _versions(s, first: str, second: str):
+    """Rows of a kept session for each shard, after it was written for some shards and then brought to others."""
+    spark, shards = s["shards"].sparkSession, s["shards"]
+    kept = session_store.SessionStore(spark, scratch_path(spark, "session"), indexed=False)
+    tables = {n: s[n] for n in RELATIONS if n in s.tables and "shard_id" in s[n].columns}
+    kept.update(tables, shards.where(first))
+    v = kept.update(tables, shards.where(second))
+    now = kept.session(v)
+    counts = now["classes"].select("shard_id", F.lit("classes").alias("of")).union(now["strings"].select("shard_id", F.lit("strings"))).union(now["beans"].select("shard_id", F.lit("beans"))).groupBy("shard_id").pivot("of", ["classes", "strings", "beans"]).count()
+    return now["shards"].select("shard_id").join(counts, "shard_id", "left").na.fill(0).select("shard_id", "classes", "strings", "beans", F.lit(v.action).alias("action"), F.lit(v.chain).alias("chain"))
+
+
+def _versions_sql(second: str, action: str, chain: int) -> str:
+    n = lambda t: f"(SELECT count(*) FROM {t} x WHERE x.shard_id = s.shard_id) AS {t}"
+    return _with(f"SELECT shard_id, {n('classes')}, {n('strings')}, {n('beans')}, '{action}' AS action, {chain}::INTEGER AS chain FROM shards s WHERE {second}")
+
+
 def _lines(s):
     return provenance.source_lines(s["files"], F.col("path"), F.col("text"), max_bytes=1 << 40)
 
@@ -199,7 +218,9 @@ QUERIES = {
     "get_source": (lambda s: provenance.get_source(s, s["sources"], _name(s, 15)), _with(_SOURCE.format("x.text"))),
     "get_source_method": (lambda s: provenance.get_source(s, s["sources"], _name(s, 15), "get"), _with(_SOURCE.format("concat('int get() { return ', length(o.fqn), '; }')"))),
     "status": (lambda s: indexing.status(s["shards"], s["classes"], s["shards"].where("s_suppkey % 3 <> 1")), _with(f"SELECT count(DISTINCT shard_id) AS shards, count(DISTINCT CASE WHEN coordinate <> '' THEN shard_id END) AS with_coordinate, (SELECT count(*) FROM classes) AS classes, {_PRINT} AS fingerprint, count(DISTINCT CASE WHEN s_suppkey % 3 <> 1 THEN shard_id END) AS wanted, count(DISTINCT CASE WHEN s_suppkey % 3 <> 1 THEN shard_id END) AS indexed, {_PRINT} = (SELECT {_PRINT} FROM shards WHERE s_suppkey % 3 <> 1) AS current FROM shards")),
-    "session_plan": (lambda s: indexing.plan_session(s["shards"].where("s_suppkey % 10 <> 1"), s["shards"].where("s_suppkey % 10 <> 2")), _with("SELECT *, CASE WHEN added + removed = 0 THEN 'reuse' WHEN before > 0 AND added + removed <= 0.25 * greatest(before, after) THEN 'delta' ELSE 'rebuild' END AS action FROM (SELECT count_if(s_suppkey % 10 <> 1) AS before, count_if(s_suppkey % 10 <> 2) AS after, count_if(s_suppkey % 10 = 1) AS added, count_if(s_suppkey % 10 = 2) AS removed FROM shards)")),
+    "session_plan": (lambda s: indexing.plan_session(s["shards"].where("s_suppkey % 10 <> 1"), s["shards"].where("s_suppkey % 10 <> 2")), _with("SELECT *, CASE WHEN added + removed = 0 THEN 'reuse' WHEN before > 0 AND added + removed <= 0.25 * after THEN 'delta' ELSE 'rebuild' END AS action FROM (SELECT count_if(s_suppkey % 10 <> 1) AS before, count_if(s_suppkey % 10 <> 2) AS after, count_if(s_suppkey % 10 = 1) AS added, count_if(s_suppkey % 10 = 2) AS removed FROM shards)")),
+    "kept_session_delta": (lambda s: _versions(s, "s_suppkey % 10 <> 1", "s_suppkey % 10 <> 2"), _versions_sql("s_suppkey % 10 <> 2", "delta", 1)),
+    "kept_session_rebuild": (lambda s: _versions(s, "s_suppkey % 2 = 0", "s_suppkey % 3 <> 0"), _versions_sql("s_suppkey % 3 <> 0", "rebuild", 0)),
     "dependency_trails": (lambda s: graph.trails(s["artifacts"].select(F.split("path", " > ").alias("trail"))), _with("SELECT coordinate, parent, 2::INTEGER AS depth, path, false AS direct FROM artifacts")),
     "cache_gc": (lambda s: store.collect(store.cached(s), "O", datetime.datetime(2001, 8, 1), 365, 100_000_000), _with("SELECT o_orderkey AS entry, CASE WHEN o_orderstatus <> 'O' THEN 'version' ELSE 'aged' END AS reason FROM orders WHERE o_orderstatus <> 'O' OR o_orderdate < TIMESTAMP '2001-08-01' - INTERVAL 365 DAY UNION ALL SELECT entry, 'budget' FROM (SELECT o_orderkey AS entry, sum(cast(floor(o_totalprice) as bigint)) OVER (ORDER BY o_orderdate DESC, o_orderkey DESC ROWS UNBOUNDED PRECEDING) AS k FROM orders WHERE o_orderstatus = 'O' AND o_orderdate >= TIMESTAMP '2001-08-01' - INTERVAL 365 DAY) WHERE k > 100000000")),
     "class_conflicts": (lambda s: graph.class_conflicts(s), _with("SELECT a.shard_id AS jar_a, b.shard_id AS jar_b, count(*) AS shared_classes FROM classes a JOIN classes b ON a.fqn = b.fqn AND a.shard_id < b.shard_id GROUP BY 1, 2")),

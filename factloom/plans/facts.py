@@ -5,12 +5,11 @@ Names in braces are tables; a fact may use facts before it.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import symbol_index
 from ..session import Session
-from ..shared import shared_dir
+from ..shared import scratch_path
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations")
 
@@ -82,8 +81,8 @@ def sql_facts(*names: str) -> str:
 
 
 #: Facts that searches share; a session writes them once, sorted by the column that lookups name, so that scans read few row groups.
-SORTED = {"classes": "fqn", "methods": "class_fqn", "class_interfaces": "interface_fqn", "annotations": "annotation_fqn", "config": "name"}
-HOT = ("part_names", "classes", "class_interfaces", "methods", "annotations", "strings", "spi", "config", "shards")
+SORTED = {"classes": "fqn", "methods": "class_fqn", "class_interfaces": "interface_fqn", "annotations": "annotation_fqn", "config": "name", "beans": "config_fqn", "conditions": "class_fqn"}
+HOT = ("part_names", "classes", "class_interfaces", "methods", "annotations", "beans", "conditions", "strings", "spi", "config", "shards")
 _SESSIONS: dict[tuple[str, str], Session] = {}
 
 
@@ -91,9 +90,7 @@ def load(spark: SparkSession, sf_dir: str) -> Session:
     """The session of one data directory, built once for each application; only what queries use is read."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _SESSIONS:
-        root = f"{shared_dir(spark)}/facts-{uuid.uuid4().hex[:12]}"
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
+        root = scratch_path(spark, "facts")
 
         def written(df: DataFrame, name: str) -> DataFrame:
             if name in SORTED:
@@ -109,5 +106,6 @@ def load(spark: SparkSession, sf_dir: str) -> Session:
                 made[name] = written(made[name], name)
         session = Session(made)
         made["owned_methods"] = written(session.methods, "owned_methods")
-        _SESSIONS[key] = Session(made)
+        index = symbol_index.SymbolIndex(*symbol_index.write(Session(made).symbols, lambda name: f"{root}/index/{name}"))
+        _SESSIONS[key] = Session(made, index)
     return _SESSIONS[key]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import cached_property
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from .functions.text import package_name, simple_name
 @dataclass
 class Session:
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    #: The kept search index, where there is one (``operators.symbol_index``).
+    index: Any = None
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]

@@ -6,6 +6,7 @@ import atexit
 import re
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -27,3 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which goes when the session ends."""
+    root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
+    return root
