@@ -3,14 +3,16 @@
 A page is read once into blocks: runs of text without a block-level tag
 between, each with its root-to-leaf tag path. Text length and punctuation are
 summed per path and divided by the number of blocks on it; both ratios are
-smoothed along the page and fused to one score of a block. Blocks that score at least
-the page's own threshold are its content nodes.
+smoothed along the page and fused to one score. Paths that score at least
+the page's own threshold in the mean of their blocks are content; their blocks are the content nodes.
 
-The element that holds most of the content nodes' text is the article. Its content nodes are
-the result, with what belongs to them: blocks between two of them, and the headings and
-other short blocks next to them, unless these are link lists. What is never an article (menus, forms,
-adverts, reader comments) scores 0. Tags say so for sure; class names do only of an
-element that holds less than half of what scores.
+The elements that hold the content nodes' text are the article: all outermost ``article`` elements with any, else ``main``, else
+the innermost container with nearly all of it. In an article or main every block stays, however short and whatever it links
+to, unless it is chrome. In a container that no mark tells apart, blocks stay that score or lie between content nodes,
+headings, and lists, tables and quotations that stand beside content nodes, unless they are link lists.
+
+What is never an article (menus, adverts, reader comments) is chrome and scores 0. Tags say so for sure; forms
+and class names do only of an element that holds less than half of what scores.
 
 Elements are numbered and point to their parents, so a page costs time in proportion to its
 length, however deep its tags nest and however broken they are.
@@ -39,7 +41,9 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPES = frozenset("ul ol dl table td th body html article section div".split())
 
 #: Elements and name parts (of class, id and role) that aren't the article.
-CHROME_TAGS = frozenset("head nav footer aside form button menu dialog fieldset".split())
+CHROME_TAGS = frozenset("head nav footer aside button menu dialog".split())
+#: Elements that are chrome unless they hold the page, as class names make them.
+FORM_TAGS = frozenset(("form", "fieldset"))
 CHROME_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs"
     " header masthead footer sidebar side aside widget complementary contentinfo cookie cookies consent gdpr notice notices alert popup modal overlay"
@@ -53,6 +57,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that no name makes chrome.
 NEVER_NAMED = MAIN_TAGS | {"html", "body"}
 CONTAINERS = frozenset("html body article main section div td table tbody tr center".split())
+#: Elements whose items belong to the text beside which they stand.
+GROUPS = frozenset("ul ol dl table blockquote figure pre".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 
 #: Element of a start tag's attributes up to its end, quotes respected.
@@ -131,10 +137,10 @@ def chrome_of(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
     if tag in CHROME_TAGS or tag == "header" and not in_main:
         return True, False
     if not attributes:
-        return False, False
+        return False, tag in FORM_TAGS
     found = attributes_of(attributes)
     names = [] if tag in NEVER_NAMED else [w for k in ("class", "id", "role") for w in found.get(k, "").lower().split()]
-    return "hidden" in found, any(map(is_chrome_name, names))
+    return "hidden" in found, tag in FORM_TAGS or any(map(is_chrome_name, names))
 
 
 class Open:
@@ -289,11 +295,16 @@ def path_scores(found: list[Block]) -> list[float]:
 
 
 def content_nodes(found: list[Block]) -> tuple[list[float], float, list[bool]]:
-    """Scores, threshold, and which blocks are content nodes."""
+    """Scores, threshold, and which blocks are content nodes: those on paths whose blocks reach the threshold in the mean."""
     score = path_scores(found)
     scored = [s for s in score if s > 0]
     threshold = CONTENT * sum(scored) / len(scored) if scored else math.inf
-    return score, threshold, [s >= threshold for s in score]
+    total, nodes = defaultdict(float), defaultdict(int)
+    for b, s in zip(found, score, strict=True):
+        if s > 0:
+            total[b.path] += s
+            nodes[b.path] += 1
+    return score, threshold, [s > 0 and total[b.path] >= threshold * nodes[b.path] for b, s in zip(found, score, strict=True)]
 
 
 def judge_names(page: Page) -> None:
@@ -322,10 +333,10 @@ def judge_names(page: Page) -> None:
         b.chrome = b.chrome or not kept[b.named]
 
 
-def article_of(page: Page, content: list[bool]) -> int:
-    """The innermost article or main with enough of the content's text, else the innermost container with nearly all of it."""
+def article_of(page: Page, content: list[bool]) -> list[int]:
+    """The outermost articles with content nodes, if they hold enough of the content's text; else the innermost main with enough, or container with nearly all of it."""
     n = len(page.tag)
-    weight, depth = [0] * n, [0] * n
+    weight, depth, outer = [0] * n, [0] * n, [0] * n
     for b, c in zip(page.blocks, content, strict=True):
         if c:
             weight[b.element] += len(b.text)
@@ -333,11 +344,24 @@ def article_of(page: Page, content: list[bool]) -> int:
         weight[page.parent[e]] += weight[e]
     for e in range(1, n):
         depth[e] = depth[page.parent[e]] + 1
-    for tags, share in ((MAIN_TAGS, ARTICLE_SHARE), (CONTAINERS, CONTAINER_SHARE)):
+        outer[e] = outer[page.parent[e]] or (e if page.tag[e] == "article" else 0)
+    articles = [e for e in range(1, n) if outer[e] == e and weight[e]]
+    if articles and sum(weight[e] for e in articles) >= ARTICLE_SHARE * weight[0]:
+        return articles
+    for tags, share in ((("main",), ARTICLE_SHARE), (CONTAINERS, CONTAINER_SHARE)):
         held = [e for e in range(1, n) if page.tag[e] in tags and weight[e] >= max(1, share * weight[0])]
         if held:
-            return max(held, key=lambda e: (depth[e], weight[e], -e))
-    return 0
+            return [max(held, key=lambda e: (depth[e], weight[e], -e))]
+    return [0]
+
+
+def beside_content(page: Page, content: list[bool]) -> list[bool]:
+    """Per block whether it is an item of a list, table or quotation that stands beside content nodes."""
+    direct = {page.parent[b.element] for b, c in zip(page.blocks, content, strict=True) if c} | {b.element for b, c in zip(page.blocks, content, strict=True) if c}
+    good = [False] * len(page.tag)  # elements of a group, whose parent holds content nodes
+    for e in range(1, len(page.tag)):
+        good[e] = page.tag[e] in GROUPS and (good[page.parent[e]] or page.parent[e] in direct) or good[page.parent[e]]
+    return [good[b.element] for b in page.blocks]
 
 
 def main_text(html: str | None) -> str:
@@ -348,32 +372,32 @@ def main_text(html: str | None) -> str:
     score, threshold, content = content_nodes(found)
     if not any(content):
         return ""
-    root = article_of(page, content)
+    roots = article_of(page, content)
     inside = [False] * len(page.tag)
-    inside[root] = True
-    for e in range(root + 1, len(page.tag)):
-        inside[e] = inside[page.parent[e]]
-    within = [inside[b.element] for b in found]
+    for e in roots:
+        inside[e] = True
+    for e in range(1, len(page.tag)):
+        inside[e] = inside[e] or inside[page.parent[e]]
+    within = [inside[b.element] and not b.chrome for b in found]
+    if page.tag[roots[0]] in MAIN_TAGS:
+        return "\n".join(b.text for b, w in zip(found, within, strict=True) if w)
     nodes = [i for i in range(len(found)) if content[i] and within[i]]
     if not nodes:
         return ""
-    first, last = nodes[0], nodes[-1]
+    first, last, beside = nodes[0], nodes[-1], beside_content(page, content)
     keep = []
     for i, b in enumerate(found):
-        if b.chrome:
-            continue
-        if content[i] and within[i]:
-            keep.append(i)
-        elif within[i] and not b.link_list and (first < i < last or b.tag in HEADINGS or score[i] >= BESIDE * threshold):
+        if within[i] and (content[i] or not b.link_list and (first < i < last or beside[i] or b.tag in HEADINGS or score[i] >= BESIDE * threshold)):
             keep.append(i)
-    if page.tag[root] not in MAIN_TAGS and not any(found[i].tag == "h1" for i in keep):  # the title may stand before the container
+    if not any(found[i].tag == "h1" for i in keep):  # the title may stand before the container
         keep[:0] = [i for i in range(first) if found[i].tag == "h1" and not found[i].chrome and not within[i]][-1:]
     return "\n".join(found[i].text for i in keep)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) of every row. A null or empty page has an empty text;
-    repeated rows are extracted separately; other columns are not read."""
+    repeated rows are extracted separately; other columns are not read. Several articles of a page are one text. What no element or name tells from
+    the article is lost only where the page marks no article and its path scores too little."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

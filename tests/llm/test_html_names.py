@@ -37,6 +37,26 @@ def test_long_comments_beside_an_article_go():
     assert main_text(f'<body><article>{TEXT}</article><div class="comments">{TEXT * 3}</div></body>') == f"{A}\n{B}"
 
 
-def test_link_list_in_an_article_goes():
-    links = "".join(f'<li><a href="/{k}">Link number {k}</a></li>' for k in range(5))
-    assert main_text(f"<body><article>{TEXT}<ul>{links}</ul></article></body>") == f"{A}\n{B}"
+LINKS = "".join(f'<li><a href="/{k}">Link number {k}</a></li>' for k in range(3))
+NAMES = "Link number 0\nLink number 1\nLink number 2"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article>{TEXT}<ul><li>One</li><li>Two</li><li>Three</li></ul></article>", f"{A}\n{B}\nOne\nTwo\nThree"),
+        (f"<article>{TEXT}<table><tr><td>a</td><td>b</td></tr><tr><td>c</td><td>d</td></tr></table></article>", f"{A}\n{B}\na\nb\nc\nd"),
+        (f"<article>{TEXT}<div>One</div><div>Two</div><div>Three</div></article>", f"{A}\n{B}\nOne\nTwo\nThree"),
+        (f"<article><blockquote>Said.</blockquote><dl><dt>T</dt><dd>D</dd></dl><h2>H</h2>{TEXT}</article>", f"Said.\nT\nD\nH\n{A}\n{B}"),
+        (f"<article><div>A. Name</div><div>1 May</div>{TEXT}</article>", f"A. Name\n1 May\n{A}\n{B}"),
+        (f"<article>{TEXT}<h2>Sources</h2><ul>{LINKS}</ul></article>", f"{A}\n{B}\nSources\n{NAMES}"),
+        (f"<main><article>{TEXT}</article><article>{TEXT}</article></main>", f"{A}\n{B}\n{A}\n{B}"),
+        (f'<form action="/"><nav>Menu</nav><article>{TEXT}</article></form>', f"{A}\n{B}"),
+        (f'<form action="/"><div><p>{A}</p><p>{B}</p></div></form>', f"{A}\n{B}"),
+        (f"<article>{TEXT}<form>Your name <input> and mail</form></article>", f"{A}\n{B}"),
+        (f"<div><div>{TEXT}<ul><li>One</li><li>Two</li></ul></div><div><ul>{LINKS}</ul></div></div>", f"{A}\n{B}\nOne\nTwo"),
+        (f"<div>{TEXT}</div><ul>{LINKS}</ul>", f"{A}\n{B}"),
+    ],
+)
+def test_nothing_of_the_article_is_lost(page, want):
+    assert main_text(f"<html><body>{page}</body></html>") == want
