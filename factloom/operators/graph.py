@@ -2,46 +2,18 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Session
 from ..shared import ensure_checkpoint_dir
 
-#: Edges up to which a closure is walked in the driver; a larger graph takes distributed rounds.
-DRIVER_EDGES = 1_000_000
-
-
-def reachable(edges: DataFrame, seed: str, limit: int = DRIVER_EDGES) -> DataFrame:
-    """(fqn) of the seed and everything below it along (child, parent) edges, cycles allowed."""
-    spark = edges.sparkSession
-    some = edges.limit(limit + 1).toPandas()
-    if len(some) <= limit:
-        below = defaultdict(list)
-        for child, parent in zip(some["child"], some["parent"], strict=True):
-            below[parent].append(child)
-        seen, todo = {seed}, [seed]
-        while todo:
-            todo = [c for p in todo for c in below.get(p, ()) if c not in seen and not seen.add(c)]
-        return spark.createDataFrame([(x,) for x in seen], "fqn string")
-    ensure_checkpoint_dir(spark)
-    seen = spark.createDataFrame([(seed,)], "fqn string")
-    frontier = seen
-    while not frontier.isEmpty():
-        step = edges.join(frontier, edges["parent"] == frontier["fqn"], "left_semi").select(F.col("child").alias("fqn")).distinct()
-        frontier = step.join(seen, "fqn", "left_anti").checkpoint()
-        seen = seen.union(frontier).checkpoint()
-    return seen
-
-
 def find_implementations(s: Session, fqn: str, direct: bool = False) -> DataFrame:
     """Classes below ``fqn``: one level, or all levels without ``fqn`` itself."""
     if direct:
         found = s.type_edges.where(F.col("parent") == fqn).select(F.col("child").alias("fqn")).distinct()
     else:
-        found = reachable(s.type_edges, fqn).where(F.col("fqn") != fqn)
+        found = s.type_labels.below(fqn).where(F.col("fqn") != fqn)
     return s.with_jar(s.classes.select("fqn", "kind", "shard_id").join(found, "fqn", "left_semi"))
 
 
@@ -51,7 +23,7 @@ def find_by_annotation(s: Session, fqn: str, direct: bool = False) -> DataFrame:
     if direct:
         marks = marks.where(F.col("annotation_fqn") == fqn)
     else:
-        marks = marks.join(reachable(s.annotation_edges, fqn).withColumnRenamed("fqn", "annotation_fqn"), "annotation_fqn", "left_semi")
+        marks = marks.join(s.annotation_labels.below(fqn).withColumnRenamed("fqn", "annotation_fqn"), "annotation_fqn", "left_semi")
     classes = s["classes"].select("shard_id", F.col("fqn").alias("class_fqn"), "kind")
     return s.with_jar(marks.join(classes, ["shard_id", "class_fqn"]).select("class_fqn", "kind", F.col("annotation_fqn").alias("matched_annotation"), "attributes", "shard_id"))
 

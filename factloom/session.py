@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.text import package_name, simple_name
+from .operators import reach
 
 
 @dataclass
@@ -51,6 +52,15 @@ class Session:
         up = self["classes"].where("super_fqn is not null").select(F.col("fqn").alias("child"), F.col("super_fqn").alias("parent"))
         return up.union(self["class_interfaces"].select("class_fqn", "interface_fqn")).distinct()
 
+    @cached_property
+    def type_labels(self) -> reach.Labels:
+        """What is below a type, made when it is first asked for."""
+        return reach.label(self.type_edges)
+
+    @cached_property
+    def annotation_labels(self) -> reach.Labels:
+        return reach.label(self.annotation_edges)
+
     @cached_property
     def annotation_edges(self) -> DataFrame:
         """(child, parent): annotation types and the annotations that they carry."""
