@@ -6,10 +6,11 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from ..operators import detail, graph, indexing, provenance, search, session_store, store
+from ..operators import detail, graph, indexing, provenance, search, session_store, store, usages
 from ..operators.search import paged
 from ..schema import RELATIONS
 from ..shared import scratch_path
+from ..sources import tgf
 from .facts import load, sql_facts
 
 TERM = "widget"
@@ -18,7 +19,7 @@ _JAR = "coalesce(nullif(m.coordinate, ''), m.filename, x.shard_id) AS source_jar
 
 
 def _with(sql: str) -> str:
-    return f"WITH RECURSIVE {sql_facts()} {sql}"
+    return f"WITH RECURSIVE {sql_facts()}{sql if sql.startswith(',') else ' ' + sql}"
 
 
 def _jar(sql: str) -> str:
@@ -162,6 +163,51 @@ def _versions(s, first: str, second: str):
     return now["shards"].select("shard_id").join(counts, "shard_id", "left").na.fill(0).select("shard_id", "classes", "strings", "beans", F.lit(v.action).alias("action"), F.lit(v.chain).alias("chain"))
 
 
+def _tree_rows(s):
+    """The build's graph as tree files, one a region, read back and joined to the shards."""
+    spark = s["nodes"].sparkSession
+    ident = lambda c: F.translate(F.col(c), " ", "_")
+    full = F.when(F.col("parent").isNull(), F.concat(F.lit("root:"), F.col("coordinate"), F.lit(":pom:1"))).when(F.startswith("coordinate", F.lit("nation:")), F.concat("coordinate", F.lit(":pom:1:compile")))
+    full = F.coalesce(full, F.regexp_replace("coordinate", ":([^:]*)$", ":jar:$1:runtime"))
+    roots = s["nodes"].where("parent is null").select(F.col("coordinate").alias("top"))
+    nations = s["nodes"].join(roots, F.col("parent") == F.col("top")).select("coordinate", "top")
+    tops = roots.select(F.col("top").alias("of"), "top").union(nations.select("coordinate", "top"))
+    placed = s["nodes"].join(tops, F.coalesce("parent", "coordinate") == F.col("of")).select(F.translate("top", " ", "_").alias("file"), "coordinate", "parent", full.alias("full"))
+    lines = (
+        placed.select("file", F.lit(0).alias("part"), F.concat_ws(" ", ident("coordinate"), F.translate("full", " ", "_")).alias("value"))
+        .union(placed.select("file", F.lit(1), F.lit("#")).distinct())
+        .union(placed.where("parent is not null").select("file", F.lit(2), F.concat_ws(" ", ident("parent"), ident("coordinate"), F.lit("compile"))))
+    )
+    path = scratch_path(spark, "tgf")
+    lines.repartition("file").sortWithinPartitions("file", "part", "value").select("file", "value").write.partitionBy("file").text(path)
+    found = tgf.trees(tgf.read(spark, path)).select(F.regexp_extract("file", "file=([^/]*)", 1).alias("region"), "coordinate", "parent", "depth", "direct", F.array_join("trail", " > ").alias("path"))
+    return found.join(s["shards"].groupBy("coordinate").agg(F.count(F.lit(1)).alias("shards")), "coordinate", "left").na.fill(0, ["shards"])
+
+
+_TREE_ROWS = """SELECT replace(region, ' ', '_') AS region, x.coordinate, coalesce(x.parent, '') AS parent, x.depth::INTEGER AS depth, x.depth = 1 AS direct, x.path, (SELECT count(*) FROM shards s WHERE s.coordinate = x.coordinate)::BIGINT AS shards FROM (
+ SELECT r_name AS region, concat('root:', replace(r_name, ' ', '_'), ':1') AS coordinate, NULL AS parent, 0 AS depth, '' AS path FROM region
+ UNION ALL SELECT r_name, concat('nation:', replace(n_name, ' ', '_'), ':1'), concat('root:', replace(r_name, ' ', '_'), ':1'), 1, concat('nation:', replace(n_name, ' ', '_'), ':1') FROM nation JOIN region ON r_regionkey = n_regionkey
+ UNION ALL SELECT r_name, s.coordinate, concat('nation:', replace(n_name, ' ', '_'), ':1'), 2, concat('nation:', replace(n_name, ' ', '_'), ':1 > ', s.coordinate) FROM shards s JOIN supplier p ON p.s_suppkey = s.s_suppkey JOIN nation ON n_nationkey = p.s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE s.coordinate IS NOT NULL) x"""
+
+
+def _sources(s):
+    """The files under names that sources have, some in folders that are passed over."""
+    d = F.length("text")
+    return s["files"].where("text is not null").select(F.concat(F.when(d % 7 == 0, "build/").otherwise(""), "path", F.when(d % 11 == 0, ".md").otherwise(".kt")).alias("path"), "text")
+
+
+def _scan_sql(high: list[str], broad: list[str], limit: int, budget: int) -> str:
+    first = lambda terms: "CASE " + " ".join(f"WHEN contains(text, '{t}') THEN '{t}'" for t in terms) + " END"
+    blank = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
+    return _with(f""", f AS (SELECT concat(path, '.kt') AS path, text, row_number() OVER (ORDER BY concat(path, '.kt')) AS k, count(*) OVER () AS n FROM files WHERE text IS NOT NULL AND length(text) % 7 <> 0 AND length(text) % 11 <> 0),
+ l AS (SELECT path, k, n, i AS line, trim(t[i], {blank}) AS shown, t[i] AS text FROM (SELECT *, string_split(text, chr(10)) AS t FROM f WHERE strlen(text) <= 2097152 AND NOT contains(text, chr(0))), unnest(range(1, len(t) + 1)) u(i)),
+ h AS (SELECT *, {first(high)} AS high, {first(broad)} AS broad FROM l),
+ p AS (SELECT *, CASE WHEN high IS NOT NULL AND k <= {budget} THEN 0 WHEN broad IS NOT NULL AND n <= {budget} AND k <= {budget} - n THEN 1 END AS phase FROM h),
+ q AS (SELECT *, row_number() OVER (ORDER BY phase, path, line) AS place, count(*) OVER () AS found FROM p WHERE phase IS NOT NULL)
+ SELECT path, line::INTEGER AS line, CASE phase WHEN 0 THEN high ELSE broad END AS term, phase, CASE WHEN strlen(shown) <= 240 THEN shown ELSE array_to_string(list_transform(list_filter(range(1, length(shown) + 1), lambda i: strlen(shown[1:i]) <= 240), lambda i: shown[i]), '') END AS text,
+ found > {limit} AS has_more, CASE WHEN found <= {limit} AND (n > {budget} OR 2 * n > {budget}) THEN 'file_budget' ELSE '' END AS truncated_reason FROM q WHERE place <= {limit}""")
+
+
 def _versions_sql(second: str, action: str, chain: int) -> str:
     n = lambda t: f"(SELECT count(*) FROM {t} x WHERE x.shard_id = s.shard_id) AS {t}"
     return _with(f"SELECT shard_id, {n('classes')}, {n('strings')}, {n('beans')}, '{action}' AS action, {chain}::INTEGER AS chain FROM shards s WHERE {second}")
@@ -221,6 +267,9 @@ QUERIES = {
     "session_plan": (lambda s: indexing.plan_session(s["shards"].where("s_suppkey % 10 <> 1"), s["shards"].where("s_suppkey % 10 <> 2")), _with("SELECT *, CASE WHEN added + removed = 0 THEN 'reuse' WHEN before > 0 AND added + removed <= 0.25 * after THEN 'delta' ELSE 'rebuild' END AS action FROM (SELECT count_if(s_suppkey % 10 <> 1) AS before, count_if(s_suppkey % 10 <> 2) AS after, count_if(s_suppkey % 10 = 1) AS added, count_if(s_suppkey % 10 = 2) AS removed FROM shards)")),
     "kept_session_delta": (lambda s: _versions(s, "s_suppkey % 10 <> 1", "s_suppkey % 10 <> 2"), _versions_sql("s_suppkey % 10 <> 2", "delta", 1)),
     "kept_session_rebuild": (lambda s: _versions(s, "s_suppkey % 2 = 0", "s_suppkey % 3 <> 0"), _versions_sql("s_suppkey % 3 <> 0", "rebuild", 0)),
+    "dependency_trees": (_tree_rows, _with(_TREE_ROWS)),
+    "dep_answer_usages": (lambda s: usages.answer(s, _sources(s), "License", limit=30, file_budget=1_000_000)["usages"], _scan_sql(["import License", "import static License."], ["License", "import License"], 30, 1_000_000)),
+    "dep_answer_truncated": (lambda s: usages.answer(s, _sources(s), "License:token", limit=100_000, file_budget=150)["usages"], _scan_sql(["License:token", "token"], ["License:token", "token"], 100_000, 150)),
     "dependency_trails": (lambda s: graph.trails(s["artifacts"].select(F.split("path", " > ").alias("trail"))), _with("SELECT coordinate, parent, 2::INTEGER AS depth, path, false AS direct FROM artifacts")),
     "cache_gc": (lambda s: store.collect(store.cached(s), "O", datetime.datetime(2001, 8, 1), 365, 100_000_000), _with("SELECT o_orderkey AS entry, CASE WHEN o_orderstatus <> 'O' THEN 'version' ELSE 'aged' END AS reason FROM orders WHERE o_orderstatus <> 'O' OR o_orderdate < TIMESTAMP '2001-08-01' - INTERVAL 365 DAY UNION ALL SELECT entry, 'budget' FROM (SELECT o_orderkey AS entry, sum(cast(floor(o_totalprice) as bigint)) OVER (ORDER BY o_orderdate DESC, o_orderkey DESC ROWS UNBOUNDED PRECEDING) AS k FROM orders WHERE o_orderstatus = 'O' AND o_orderdate >= TIMESTAMP '2001-08-01' - INTERVAL 365 DAY) WHERE k > 100000000")),
     "class_conflicts": (lambda s: graph.class_conflicts(s), _with("SELECT a.shard_id AS jar_a, b.shard_id AS jar_b, count(*) AS shared_classes FROM classes a JOIN classes b ON a.fqn = b.fqn AND a.shard_id < b.shard_id GROUP BY 1, 2")),

@@ -5,7 +5,7 @@ import zipfile
 import pytest
 
 from factloom.operators import detail, graph
-from factloom.sources import archives, java_slice, tgf
+from factloom.sources import archives, java_slice
 from factloom.sources.classfile import BadClass, modified_utf8, parse_class
 
 API = """package demo.api; import java.lang.annotation.*;
@@ -117,14 +117,6 @@ def test_properties_format():
     assert archives.properties("a = 1\n# c\n! d\nb:x\\\n   y\nk\\ ey z\nu=\\u0041\nempty\n") == {"a": "1", "b": "xy", "k ey": "z", "u": "A", "empty": ""}
 
 
-def test_trees():
-    rows = tgf.parse("1 g:root:jar:1\n2 g:a:jar:1:compile\n3 g:b:jar:x:2:test\n#\n1 2 compile\n2 3 test\n1 3 test\n")
-    assert [(r[0].split(":")[1], r[2], r[4]) for r in rows] == [("a", 1, True), ("b", 2, False)]
-    for bad, line in (("1 a:b\n", 1), ("1 g:a:jar:1\n#\n1 9\n", 3), ("solo\n", 1)):
-        with pytest.raises(ValueError, match=f"line {line}"):
-            tgf.parse(bad)
-
-
 def test_slices():
     source = """package p; class Outer { // {
   int f = g(1);
