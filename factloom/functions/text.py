@@ -88,3 +88,22 @@ def page_bounds(page: int, size: int) -> tuple[int, int]:
     if page * size > 100_000:
         raise ValueError("the window ends at row 100,000")
     return (page - 1) * size, size
+
+
+def parse_size(text: str) -> int:
+    """Bytes of 123, 500K, 500M or 2G, in either case."""
+    t = text.strip().upper()
+    shift = {"K": 10, "M": 20, "G": 30}.get(t[-1:], 0)
+    number = (t[:-1] if shift else t).strip()
+    if not (number.isascii() and number.isdigit()):
+        raise ValueError(f"{text!r} isn't a size such as 500M or 2G")
+    return int(number) << shift
+
+
+def parse_age(text: str) -> int:
+    """Hours of 30d or 12h."""
+    t = text.strip().lower()
+    hours = {"d": 24, "h": 1}.get(t[-1:])
+    if hours is None or not (t[:-1].isascii() and t[:-1].isdigit()):
+        raise ValueError(f"{text!r} isn't an age such as 30d or 12h")
+    return int(t[:-1]) * hours

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import binary_names, classify, package_name, simple_name, split_coordinate, utf8_cut
+from ..functions.text import binary_names, classify, package_name, page_bounds, simple_name, split_coordinate, utf8_cut
 from ..session import Session
 from ..sources.java_slice import slice_methods
 
@@ -135,18 +135,67 @@ def search_source(lines: DataFrame, text: str) -> DataFrame:
     return lines.where(F.contains("text", F.lit(text))).select("path", "line", "text")
 
 
+def matches_artifact(pin: str) -> Column:
+    """Whether a shard (coordinate, filename) is named by its coordinate, group:artifact, artifact or file."""
+    part = F.split(F.coalesce("coordinate", F.lit("")), ":")
+    named = (F.col("coordinate") == pin) | (F.substring_index("coordinate", ":", 2) == pin) | (F.get(part, F.lit(1)) == pin) | (F.col("filename") == pin)
+    return F.coalesce(named, F.lit(False))
+
+
+def source_choice(s: Session, name: str, pinned: str | None = None) -> DataFrame:
+    """(fqn, shard_id, source_jar, owners, how, note): the shard to read a class' source from.
+
+    Of the binary names that ``name`` may mean the first that any shard holds counts; a name without dots that is none of them means the first class, by
+    full name, that is simply called so. All these are ranked and resolved in one aggregate. Of the class' shards the pinned one is read (none or several that fit are an error), else the only one whose coordinate the build
+    resolved, else the first. Where several shards hold the class, the note names them and says why this one is read."""
+    names = binary_names(name)
+    rank = F.array_position(F.array(*map(F.lit, names)), F.col("fqn"))
+    wanted = F.col("fqn").isin(names)
+    if "." not in name:
+        wanted, rank = wanted | (F.col("simple_name") == name), F.when(F.col("fqn").isin(names), rank).otherwise(len(names) + 1)
+    shards = s["shards"].select("shard_id", "coordinate", "filename")
+    found = s.with_jar(s.classes.where(wanted).select("fqn", "shard_id", rank.alias("rank")).distinct()).join(shards, "shard_id", "left")
+    resolved = s["artifacts"].select("coordinate", F.lit(True).alias("resolved")).distinct()
+    found = found.join(resolved, "coordinate", "left").withColumns({"resolved": F.coalesce("resolved", F.lit(False)), "fits": matches_artifact(pinned) if pinned else F.lit(False)})
+    first = F.min(F.struct("shard_id", "source_jar"))
+    of = lambda c: F.min(F.when(c, F.struct("shard_id", "source_jar")))
+    count = lambda c: F.count(F.when(c, 1))
+    each = found.groupBy("rank", "fqn").agg(
+        first.alias("first"), of(F.col("resolved")).alias("built"), of(F.col("fits")).alias("pin"), count(F.col("resolved")).alias("n_built"), count(F.col("fits")).alias("n_pin"),
+        F.count(F.lit(1)).alias("owners"), F.array_sort(F.collect_set("source_jar")).alias("jars"),
+    )
+    best = each.agg(F.min_by(F.struct(*each.columns), F.struct("rank", "fqn")).alias("b")).where("b is not null").select("b.*")
+    if pinned:
+        told = best.select("n_pin", "owners").first()
+        if told and told["n_pin"] != 1:
+            raise ValueError(f"{pinned!r} names {told['n_pin'] or 'none'} of the {told['owners']} archives that hold the class")
+    how = F.when(F.lit(bool(pinned)), "pinned").when(F.col("owners") == 1, "").when(F.col("n_built") == 1, "resolved").otherwise("first")
+    served = F.when(F.lit(bool(pinned)), F.col("pin")).when(F.col("n_built") == 1, F.col("built")).otherwise(F.col("first"))
+    why = F.when(how == "pinned", "as pinned").when(how == "resolved", "which the build resolves").otherwise("the first in order")
+    note = F.when(F.col("owners") > 1, F.concat("fqn", F.lit(" is in "), F.col("owners").cast("string"), F.lit(" archives ("), F.array_join("jars", ", "), F.lit("); read from "), F.col("served.source_jar"), F.lit(", "), why)).otherwise("")
+    return best.withColumn("served", served).select("fqn", "served.shard_id", "served.source_jar", "owners", how.alias("how"), note.alias("note"))
+
+
 def source_owner(s: Session, fqn: str, pinned: str | None = None) -> DataFrame:
-    """The shard to read a class' source from. Of the binary names that ``fqn`` may mean the first that any
-    shard holds counts; of its shards the pinned one, else one whose coordinate the build
-    resolved, else the first; with the number of shards that have that class."""
-    names = binary_names(fqn)
-    order = F.array_position(F.array(*map(F.lit, names)), F.col("fqn"))
-    found = s.with_jar(s.classes.where(F.col("fqn").isin(names)).select("fqn", "shard_id"))
-    resolved = s["artifacts"].select(F.col("coordinate").alias("source_jar"), F.lit(1).alias("resolved")).distinct()
-    choice = F.struct((F.col("source_jar") != (pinned or "")).alias("other"), F.col("resolved").isNull().alias("unresolved"), "shard_id", "source_jar")
-    of_name = found.join(resolved, "source_jar", "left").groupBy("fqn").agg(F.min(choice).alias("c"), F.countDistinct("shard_id").alias("owners"))
-    best = of_name.agg(F.min_by(F.struct("fqn", "c", "owners"), order).alias("b")).where("b is not null")
-    return best.select("b.fqn", "b.c.shard_id", "b.c.source_jar", "b.owners")
+    """(fqn, shard_id, source_jar, owners) of ``source_choice``."""
+    return source_choice(s, fqn, pinned).select("fqn", "shard_id", "source_jar", "owners")
+
+
+def search_source_of(s: Session, sources: DataFrame, name: str, text: str, page: int = 1, size: int = 20, pinned: str | None = None) -> DataFrame:
+    """(entry, line, text, has_more, note): a page of the lines that hold ``text`` in the sources (shard_id, entry, text, note) of the archive that ``source_choice`` reads a class from, by entry and line.
+
+    Only one row more than the page is read on; the note is the choice's, with the number of files that were passed over by reason."""
+    if "\n" in text:
+        raise ValueError("the text must be within a line")
+    offset, limit = page_bounds(page, size)
+    chosen = source_choice(s, name, pinned).select("shard_id", F.col("note").alias("choice"))
+    mine = sources.join(chosen, "shard_id")
+    passed = mine.where("text is null").groupBy("note").agg(F.count(F.lit(1)).alias("n")).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.col("n").cast("string"), F.lit(" files passed over: "), F.coalesce("note", F.lit("no text"))))), "; ").alias("passed"))
+    lines = mine.where(F.contains("text", F.lit(text))).select("choice", "entry", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+    some = lines.where(F.contains("text", F.lit(text))).orderBy("entry", "line").offset(offset).limit(limit + 1)
+    numbered = some.select("*", F.row_number().over(Window.orderBy("entry", "line")).alias("k"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))  # a page and one row
+    note = F.concat_ws("; ", *[F.when(F.col(c) != "", F.col(c)) for c in ("choice", "passed")])
+    return numbered.join(F.broadcast(passed), how="cross").where(F.col("k") <= limit).select("entry", (F.col("line") + 1).alias("line"), "text", (F.col("n") > limit).alias("has_more"), note.alias("note"))
 
 
 def get_source(s: Session, sources: DataFrame, fqn: str, method: str | None = None, pinned: str | None = None) -> DataFrame:
@@ -168,4 +217,4 @@ def get_source(s: Session, sources: DataFrame, fqn: str, method: str | None = No
     return found.mapInPandas(cut, found.schema)
 
 
-__all__ = ["dependency_targets", "why_dependency_of", "provenance", "get_source", "class_origins", "package_origins", "artifact_origins", "why_dependency", "precise", "source_lines", "source_usages", "search_source", "source_owner", "package_name", "simple_name", "split_coordinate"]
+__all__ = ["dependency_targets", "why_dependency_of", "provenance", "get_source", "class_origins", "package_origins", "artifact_origins", "why_dependency", "precise", "source_lines", "source_usages", "search_source", "search_source_of", "source_choice", "source_owner", "package_name", "simple_name", "split_coordinate"]

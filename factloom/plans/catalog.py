@@ -190,6 +190,21 @@ _TREE_ROWS = """SELECT replace(region, ' ', '_') AS region, x.coordinate, coales
  UNION ALL SELECT r_name, s.coordinate, concat('nation:', replace(n_name, ' ', '_'), ':1'), 2, concat('nation:', replace(n_name, ' ', '_'), ':1 > ', s.coordinate) FROM shards s JOIN supplier p ON p.s_suppkey = s.s_suppkey JOIN nation ON n_nationkey = p.s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE s.coordinate IS NOT NULL) x"""
 
 
+def _jar_sources(s):
+    """Sources of archives with more lines and some files that weren't read."""
+    n = F.length("entry")
+    text = F.concat(F.lit("// generated\n"), "text", F.lit("\nint other; // int\n"))
+    return s["sources"].select("shard_id", "entry", F.when(n % 9 != 0, text).alias("text"), F.when(n % 9 == 0, F.when(n % 2 == 0, "binary").otherwise("too large")).alias("note"))
+
+
+_P1 = "(SELECT min(fqn) FROM classes WHERE string_split(fqn, '.')[-1] = 'P15')"
+_OWNERS = f"""o AS (SELECT c.fqn, c.shard_id, coalesce(m.coordinate, m.filename) AS jar, m.coordinate IN (SELECT coordinate FROM artifacts) AS built FROM classes c JOIN shards m ON m.shard_id = c.shard_id WHERE c.fqn = {_P1}),
+ k AS (SELECT *, count(*) OVER () AS owners, count_if(built) OVER () AS n FROM o), a AS (SELECT string_agg(DISTINCT jar, ', ' ORDER BY jar) AS jars FROM o),
+ choice AS (SELECT fqn, shard_id, jar AS source_jar, owners, CASE WHEN owners = 1 THEN '' WHEN n = 1 THEN 'resolved' ELSE 'first' END AS how,
+ CASE WHEN owners > 1 THEN concat(fqn, ' is in ', owners, ' archives (', (SELECT jars FROM a), '); read from ', jar, CASE WHEN n = 1 THEN ', which the build resolves' ELSE ', the first in order' END) ELSE '' END AS note
+ FROM k WHERE n <> 1 OR built ORDER BY shard_id LIMIT 1)"""
+
+
 def _sources(s):
     """The files under names that sources have, some in folders that are passed over."""
     d = F.length("text")
@@ -263,6 +278,12 @@ QUERIES = {
     "source_owner": (lambda s: provenance.source_owner(s, _name(s, 15)), _with(_OWNER)),
     "get_source": (lambda s: provenance.get_source(s, s["sources"], _name(s, 15)), _with(_SOURCE.format("x.text"))),
     "get_source_method": (lambda s: provenance.get_source(s, s["sources"], _name(s, 15), "get"), _with(_SOURCE.format("concat('int get() { return ', length(o.fqn), '; }')"))),
+    "get_source_simple_name": (lambda s: provenance.source_choice(s, "P15"), _with(f", {_OWNERS} SELECT * FROM choice")),
+    "search_source_jar": (lambda s: provenance.search_source_of(s, _jar_sources(s), "P15", "int", page=2, size=7), _with(f""", {_OWNERS},
+ j AS (SELECT entry, CASE WHEN length(entry) % 9 <> 0 THEN string_split(concat('// generated', chr(10), text, chr(10), 'int other; // int', chr(10)), chr(10)) END AS t FROM sources WHERE shard_id = (SELECT shard_id FROM choice)),
+ h AS (SELECT entry, i::INTEGER AS line, t[i] AS text FROM j, unnest(range(1, len(t) + 1)) u(i) WHERE contains(t[i], 'int')),
+ n AS (SELECT string_agg(concat(k, ' files passed over: ', why), '; ' ORDER BY concat(k, ' files passed over: ', why)) AS passed FROM (SELECT count(*) AS k, CASE WHEN length(entry) % 2 = 0 THEN 'binary' ELSE 'too large' END AS why FROM j WHERE t IS NULL GROUP BY 2))
+ SELECT *, (SELECT count(*) > 14 FROM h) AS has_more, (SELECT concat_ws('; ', nullif(note, ''), passed) FROM choice, n) AS note FROM (SELECT * FROM h ORDER BY entry, line LIMIT 7 OFFSET 7)""")),
     "status": (lambda s: indexing.status(s["shards"], s["classes"], s["shards"].where("s_suppkey % 3 <> 1")), _with(f"SELECT count(DISTINCT shard_id) AS shards, count(DISTINCT CASE WHEN coordinate <> '' THEN shard_id END) AS with_coordinate, (SELECT count(*) FROM classes) AS classes, {_PRINT} AS fingerprint, count(DISTINCT CASE WHEN s_suppkey % 3 <> 1 THEN shard_id END) AS wanted, count(DISTINCT CASE WHEN s_suppkey % 3 <> 1 THEN shard_id END) AS indexed, {_PRINT} = (SELECT {_PRINT} FROM shards WHERE s_suppkey % 3 <> 1) AS current FROM shards")),
     "session_plan": (lambda s: indexing.plan_session(s["shards"].where("s_suppkey % 10 <> 1"), s["shards"].where("s_suppkey % 10 <> 2")), _with("SELECT *, CASE WHEN added + removed = 0 THEN 'reuse' WHEN before > 0 AND added + removed <= 0.25 * after THEN 'delta' ELSE 'rebuild' END AS action FROM (SELECT count_if(s_suppkey % 10 <> 1) AS before, count_if(s_suppkey % 10 <> 2) AS after, count_if(s_suppkey % 10 = 1) AS added, count_if(s_suppkey % 10 = 2) AS removed FROM shards)")),
     "kept_session_delta": (lambda s: _versions(s, "s_suppkey % 10 <> 1", "s_suppkey % 10 <> 2"), _versions_sql("s_suppkey % 10 <> 2", "delta", 1)),

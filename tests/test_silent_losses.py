@@ -49,3 +49,36 @@ def test_coverage_says_what_it_does_not_name(spark):
     wanted = spark.createDataFrame([(f"{k}.jar",) for k in range(5)] + [("0.jar",)], "filename string")
     s = made(spark, shards=spark.createDataFrame([("3.jar",)], "filename string"))
     assert envelope.coverage(wanted, s, named=2) == {"jars_total": 5, "jars_indexed": 1, "jars_missing": ["0.jar", "1.jar"], "jars_missing_unnamed": 2}
+
+
+def test_a_page_and_its_total_take_one_job(spark):
+    df = spark.range(57).selectExpr("id", "if(id % 2 = 0, null, id) odd")
+    out = envelope.respond({"q": 1}, df, ["id"], page=3, size=20, covered={"jars_total": 1})
+    assert (out["total"], out["has_more"], len(out["results"]), out["results"][0], out["coverage"]) == (57, False, 17, {"id": 40}, {"jars_total": 1})
+    assert envelope.respond({}, df.limit(0), ["id"])["total"] == 0
+    assert envelope.answered({"q": 2}, lambda: df, ["id"], page=0) == {"query": {"q": 2}, "error": "bad_request", "message": "page starts at 1 and page_size is 1 to 1000"}
+    assert envelope.answered({}, lambda: df, ["no such"])["error"] == "internal"
+
+
+def test_sizes_and_ages():
+    from factloom.functions.text import parse_age, parse_size
+
+    assert [parse_size(t) for t in ("123", " 5k", "500M ", "2 G")] == [123, 5 << 10, 500 << 20, 2 << 30]
+    assert [parse_age(t) for t in ("30d", " 12H ")] == [720, 12]
+    for parse, bad in ((parse_size, ("", "x", "-1", "1T", "1.5G", "²")), (parse_age, ("", "30", "d", "-1d", "1w"))):
+        for text in bad:
+            with pytest.raises(ValueError):
+                parse(text)
+
+
+def test_a_pin_must_name_one_archive(spark):
+    classes = spark.createDataFrame([(s, "a.B", "class", None, 1, False, None) for s in ("s1", "s2", "s3")] + [("s1", "z.B", "class", None, 1, False, None)], RELATIONS["classes"])
+    shards = spark.createDataFrame([("s1", "g:a:1", "a.jar"), ("s2", "g:a:2", "a2.jar"), ("s3", None, "c.jar")], "shard_id string, coordinate string, filename string")
+    s = made(spark, classes=classes, shards=shards, artifacts=spark.createDataFrame([("g:a:1",), ("g:a:2",)], "coordinate string"))
+    pick = lambda name, pin=None: [(r["fqn"], r["shard_id"], r["how"], bool(r["note"])) for r in provenance.source_choice(s, name, pin).collect()]
+    assert pick("a.B") == [("a.B", "s1", "first", True)]  # the build resolves two of them
+    assert pick("B") == [("a.B", "s1", "first", True)] and pick("z.B") == [("z.B", "s1", "", False)] and pick("Q") == []
+    assert pick("B", "c.jar") == [("a.B", "s3", "pinned", True)] and pick("B", "g:a:2") == [("a.B", "s2", "pinned", True)]
+    for pin in ("a", "g:a", "nothing"):
+        with pytest.raises(ValueError, match="archives that hold the class"):
+            pick("B", pin)
