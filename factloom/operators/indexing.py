@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import folder_names, remove, scratch_path
 from ..sources import archives
 from . import store
 
@@ -25,6 +26,8 @@ class Report:
     new: int = 0
     reused: int = 0
     missing: list[str] = field(default_factory=list)
+    #: Archives that couldn't be read and aren't among the missing, which are the first by name.
+    unnamed: int = 0
     error: str | None = None
 
 
@@ -46,18 +49,57 @@ def known_shards(spark: SparkSession, path: str, *relations: str) -> DataFrame:
         return spark.createDataFrame([], "shard_id string")
 
 
+LISTING = "path string, size long, mtime long, digest string"
+
+
+def kept_listing(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """(path, size, mtime, digest) of the files that the store at ``path`` was last indexed with, and the number of that listing."""
+    folder = f"{path}.listing"
+    whole = [n for n in folder_names(spark, folder) if "_SUCCESS" in folder_names(spark, f"{folder}/{n}")]
+    if not whole:
+        return spark.createDataFrame([], LISTING), 0
+    return spark.read.schema(LISTING).parquet(f"{folder}/{whole[-1]}"), int(whole[-1])
+
+
+def changes(spark: SparkSession, spec: str, path: str) -> DataFrame:
+    """(path, size, mtime, digest, state) of the archives of ``spec`` by the kept listing, without reading any: known, changed or new. The digest is that of known ones."""
+    old = kept_listing(spark, path)[0]
+    joined = store.cached_digests(archives.archive_listing(spark, *parts(spec)), old).join(old.select("path", F.lit(True).alias("was")), "path", "left")
+    state = F.when(F.col("cached").isNotNull(), "known").when(F.col("was").isNotNull(), "changed").otherwise("new")
+    return joined.select("path", "size", "mtime", F.col("cached").alias("digest"), state.alias("state"))
+
+
 def index(spark: SparkSession, spec: str, path: str) -> Report:
-    """Adds the archives of ``spec`` to the fact store at ``path``. Shards that it holds are kept as they are and
-    not parsed again; archives that can't be opened are named in the report each time."""
-    names = parts(spec)
+    """Adds the archives of ``spec`` to the fact store at ``path``.
+
+    The listing is joined to the kept one before any content is read: only files that are new, or of another size or time, are hashed, and only
+    contents that the store doesn't hold are parsed. The new listing is written once and serves all that follows; with nothing changed no archive is opened. Archives that can't be
+    read are named in the report each time."""
+    old, number = kept_listing(spark, path)
+    scratch = scratch_path(spark, "index")
+    changes(spark, spec, path).write.parquet(f"{scratch}/changes")
+    now = spark.read.parquet(f"{scratch}/changes")
+    columns = ["path", "size", "mtime", "digest"]
+    hashed = archives.with_digests(archives.spread(now.where("digest is null"), "path"))
+    rest = old.join(now.select("path"), "path", "left_anti").select(columns)  # of other projects
+    target = f"{path}.listing/{number + 1:09d}"
+    now.where("digest is not null").select(columns).union(hashed).union(rest).write.mode("overwrite").parquet(target)
+    listed = spark.read.schema(LISTING).parquet(target).join(now.select("path"), "path", "left_semi")
+    for name in folder_names(spark, f"{path}.listing"):
+        if int(name) <= number:
+            remove(spark, f"{path}.listing/{name}")
+    unique = archives.first_paths(listed)
     seen = known_shards(spark, path, "shards", "failed")
-    before = known_shards(spark, path, "shards").count()
-    archives.write_store(archives.read_archives(spark, *names, known=seen), path)
-    wanted = archives.archive_files(spark, *names).select("shard_id").distinct()
-    after = known_shards(spark, path, "shards")
-    new, here = after.count() - before, wanted.join(after, "shard_id", "left_semi").count()
-    failed = spark.read.parquet(path).where("relation = 'failed'").join(wanted, "shard_id", "left_semi").select("filename").distinct()
-    return Report(wanted.count(), new, here - new, [r.filename for r in failed.orderBy("filename").limit(MAX_NAMED).collect()])
+    unique.join(seen.withColumn("seen", F.lit(True)), "shard_id", "left").withColumn("seen", F.col("seen").isNotNull()).write.parquet(f"{scratch}/wanted")
+    wanted = spark.read.parquet(f"{scratch}/wanted")
+    fresh = wanted.where("not seen")
+    if not fresh.isEmpty():
+        archives.write_store(archives.facts_of(fresh), path)
+    held = known_shards(spark, path, "shards").withColumn("held", F.lit(1))
+    counts = wanted.join(held, "shard_id", "left").agg(F.count(F.lit(1)).alias("total"), F.count("held").alias("held"), F.count(F.when(~F.col("seen"), F.col("held"))).alias("new")).first()
+    failed = wanted.join(held, "shard_id", "left_anti").select(F.regexp_extract("path", "[^/]*$", 0).alias("filename"))
+    failed = failed.union(listed.where("digest is null").select(F.regexp_extract("path", "[^/]*$", 0))).distinct()
+    return Report(counts["total"], counts["new"], counts["held"] - counts["new"], [r.filename for r in failed.orderBy("filename").limit(MAX_NAMED).collect()], unnamed=max(0, failed.count() - MAX_NAMED))
 
 
 def index_many(spark: SparkSession, projects: dict[str, str], path: str) -> dict[str, Report]:
@@ -123,4 +165,4 @@ def status(shards: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFram
 
 def report_dict(r: Report) -> dict[str, Any]:
     """A report without its empty parts."""
-    return {k: v for k, v in vars(r).items() if v not in (None, [], "")}
+    return {k: v for k, v in vars(r).items() if v not in (None, [], "") and (k, v) != ("unnamed", 0)}

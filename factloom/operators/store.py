@@ -20,13 +20,18 @@ def missing(wanted: DataFrame, manifest: DataFrame) -> DataFrame:
     return wanted.join(manifest, ["id", "size"], "left_anti")
 
 
-def digest_plan(listing: DataFrame, cache: DataFrame) -> DataFrame:
-    """Files (path, size, mtime, content) with their digests: from the cache (path, size, mtime, digest)
-    where size and time of change are the same, else computed. A time that isn't known is never the same."""
+def cached_digests(listing: DataFrame, cache: DataFrame) -> DataFrame:
+    """``listing`` (path, size, mtime, ...) with ``cached``: the digest that the cache (path, size, mtime, digest) has for a file of the same
+    size and time of change, else null. A time that isn't known is never the same."""
     c = cache.select("path", F.col("size").alias("cached_size"), F.col("mtime").alias("cached_mtime"), F.col("digest").alias("cached"))
-    hit = F.coalesce((F.col("cached_size") == F.col("size")) & (F.col("cached_mtime") == F.col("mtime")), F.lit(False)) & F.col("cached").isNotNull()
-    joined = listing.join(c, "path", "left")
-    return joined.select("path", "size", F.when(hit, F.col("cached")).otherwise(F.sha2("content", 256)).alias("digest"), (~hit).alias("hashed"))
+    hit = F.coalesce((F.col("cached_size") == F.col("size")) & (F.col("cached_mtime") == F.col("mtime")), F.lit(False))
+    return listing.join(c, "path", "left").withColumn("cached", F.when(hit, F.col("cached"))).drop("cached_size", "cached_mtime")
+
+
+def digest_plan(listing: DataFrame, cache: DataFrame) -> DataFrame:
+    """Files (path, size, mtime, content) with their digests: from the cache where it has them, else computed."""
+    known = F.col("cached").isNotNull()
+    return cached_digests(listing, cache).select("path", "size", F.when(known, F.col("cached")).otherwise(F.sha2("content", 256)).alias("digest"), (~known).alias("hashed"))
 
 
 def first_of(files: DataFrame) -> DataFrame:

@@ -1,13 +1,14 @@
 """Archives of compiled classes as fact relations.
 
-``binaryFile`` lists and reads the archives; equal contents are dropped by digest
-before anything is parsed; one pass over the rest emits rows of all relations,
+``binaryFile`` lists the archives; equal contents are dropped by digest
+before anything is parsed; one pass over the rest, file by file, emits rows of all relations,
 tagged, from which each relation is a filter. A class that can't be read is a warning,
 an archive that can't be opened is a row of ``failed``.
 """
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import re
@@ -15,6 +16,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ FACTORIES = "META-INF/spring.factories"
 METADATA = ("META-INF/spring-configuration-metadata.json", "META-INF/additional-spring-configuration-metadata.json")
 SERVICES = "META-INF/services/"
 SOURCE_SUFFIXES = (".java", ".kt", ".scala", ".groovy")
+#: Bytes that are read at once for a digest.
+CHUNK = 1 << 20
 #: Bytes of a source file that is read, at most.
 MAX_SOURCE_BYTES = 5 << 20
 
@@ -112,12 +116,12 @@ def config_rows(text: str) -> Iterator[tuple[str, dict]]:
             }
 
 
-def archive_rows(content: bytes) -> Iterator[tuple[str, dict]]:
-    """(relation, row) of everything in an archive; entries in order of their names, versioned ones left out."""
+def archive_rows(content) -> Iterator[tuple[str, dict]]:
+    """(relation, row) of everything in an archive, given as bytes or an open file; entries in order of their names, versioned ones left out."""
     coordinate = None
     spi: set[tuple] = set()
     config: dict[str, dict] = {}
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
+    with zipfile.ZipFile(io.BytesIO(content) if isinstance(content, bytes) else content) as z:
         for name in sorted({n for n in z.namelist() if not n.startswith("META-INF/versions/")}):
             try:
                 if name.endswith(".class"):
@@ -146,35 +150,77 @@ def archive_rows(content: bytes) -> Iterator[tuple[str, dict]]:
 
 
 def archive_files(spark: SparkSession, *paths: str) -> DataFrame:
-    """(path, length, content, shard_id) of the archives in files, folders and globs; a shard's id is the digest of its content."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jar").option("recursiveFileLookup", "true").load(list(paths))
-    return files.select("path", "length", "content", F.sha2("content", 256).alias("shard_id"))
+    """(path, length, content, modificationTime) of the archives in files, folders and globs."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.jar").option("recursiveFileLookup", "true").load(list(paths))
 
 
-def read_archives(spark: SparkSession, *paths: str, known: DataFrame | None = None) -> DataFrame:
-    """One tagged row (shard_id, filename, size_bytes, relation, row as JSON) per fact of the archives under ``paths``
-    but for those of ``known`` shards (shard_id)."""
-    hashed = archive_files(spark, *paths)
-    if known is not None:
-        hashed = hashed.join(known, "shard_id", "left_anti")
-    # equal contents: the first path's is read. Digests alone are shuffled; the paths go to the driver, which lists these files in any case
-    first = [r.path for r in hashed.groupBy("shard_id").agg(F.min("path").alias("path")).select("path").collect()]
-    unique = archive_files(spark, *first) if first else hashed.limit(0)
+def archive_listing(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, size, mtime) of the archives; what is in them isn't read."""
+    return archive_files(spark, *paths).select("path", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"))
+
+
+def opened(path: str):
+    """A file of any of Arrow's file systems, for reads at any place."""
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    return system.open_input_file(name)
+
+
+def with_digests(listing: DataFrame) -> DataFrame:
+    """(path, size, mtime, digest): each file's SHA-256, read piece by piece. A file that can't be read has a digest of null."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = []
+            for path in b["path"]:
+                digest = hashlib.sha256()
+                try:
+                    with opened(path) as f:
+                        while piece := f.read(CHUNK):
+                            digest.update(piece)
+                    found.append(digest.hexdigest())
+                except OSError:
+                    found.append(None)
+            yield b.assign(digest=found)[["path", "size", "mtime", "digest"]]
+
+    return listing.select("path", "size", "mtime").mapInPandas(each, "path string, size long, mtime long, digest string")
+
+
+def spread(files: DataFrame, key: str) -> DataFrame:
+    """Rows that stand for files dealt over as many tasks as a shuffle has: they are too small for adaptive execution to leave them apart."""
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def facts_of(files: DataFrame) -> DataFrame:
+    """One tagged row (shard_id, filename, size_bytes, relation, row as JSON) per fact of archives (shard_id, path, size), which are opened one at a time and read entry by entry."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for shard, path, length, content in zip(b["shard_id"], b["path"], b["length"], b["content"], strict=True):
+            for shard, path, size in zip(b["shard_id"], b["path"], b["size"], strict=True):
                 name, out = path.rsplit("/", 1)[-1], []
                 try:
-                    rows = list(archive_rows(content))
+                    with opened(path) as f:
+                        rows = list(archive_rows(f))
                     # the shard's own row tells how many there are, so that a reader knows when it has them all
-                    out = [(shard, name, length, relation, compact({**row, "facts": len(rows)} if relation == "shards" else row)) for relation, row in rows]
-                except (zipfile.BadZipFile, EOFError, OSError) as e:
-                    out = [(shard, name, length, "failed", compact({"error": str(e)}))]
+                    out = [(shard, name, size, relation, compact({**row, "facts": len(rows)} if relation == "shards" else row)) for relation, row in rows]
+                except (zipfile.BadZipFile, EOFError, OSError, pa.ArrowInvalid) as e:  # Arrow's for a place before the start
+                    out = [(shard, name, size, "failed", compact({"error": str(e)}))]
                 for at in range(0, len(out), 20_000):
                     yield pd.DataFrame(out[at : at + 20_000], columns=["shard_id", "filename", "size_bytes", "relation", "row"])
 
-    return unique.select("shard_id", "path", "length", "content").mapInPandas(each, "shard_id string, filename string, size_bytes long, relation string, row string")
+    return spread(files.select("shard_id", "path", "size"), "shard_id").mapInPandas(each, "shard_id string, filename string, size_bytes long, relation string, row string")
+
+
+def first_paths(digested: DataFrame) -> DataFrame:
+    """(shard_id, path, size): of equal contents the first path's file."""
+    return digested.where("digest is not null").groupBy(F.col("digest").alias("shard_id")).agg(F.min(F.struct("path", "size")).alias("f")).select("shard_id", "f.path", "f.size")
+
+
+def read_archives(spark: SparkSession, *paths: str, known: DataFrame | None = None) -> DataFrame:
+    """``facts_of`` the archives under ``paths`` but for those of ``known`` shards (shard_id); equal contents count once."""
+    unique = first_paths(with_digests(spread(archive_listing(spark, *paths), "path")))
+    return facts_of(unique if known is None else unique.join(known, "shard_id", "left_anti"))
 
 
 def read_sources(spark: SparkSession, *paths: str) -> DataFrame:

@@ -169,6 +169,33 @@ def test_indexing_reuses_what_it_knows(spark, jars, tmp_path):
     assert [plan(range(8), range(8)), plan(range(8), range(9)), plan(range(8), range(9), 8), plan(range(8), range(4)), plan([], range(3)), plan([], [])] == ["reuse", "delta", "rebuild", "rebuild", "rebuild", "reuse"]
 
 
+def test_unchanged_files_are_not_read(spark, jars, tmp_path):
+    import os
+    import shutil
+
+    from factloom.operators import indexing
+
+    folder, path = tmp_path / "in", str(tmp_path / "facts")
+    folder.mkdir()
+    for name in ("api.jar", "impl.jar", "broken.jar"):
+        shutil.copy2(jars / name, folder / name)
+    assert indexing.index(spark, str(folder), path).new == 2
+    before = {r["path"]: r["digest"] for r in indexing.kept_listing(spark, path)[0].collect()}
+    shard = folder / "impl.jar"
+    times, size = os.stat(shard), shard.stat().st_size
+    shard.write_bytes(b"x" * size)  # of the same size and time: nobody may look into it
+    os.utime(shard, ns=(times.st_atime_ns, times.st_mtime_ns))
+    assert {r["state"] for r in indexing.changes(spark, str(folder), path).collect()} == {"known"}
+    again = indexing.index(spark, str(folder), path)
+    assert (again.total, again.new, again.reused, again.missing) == (3, 0, 2, ["broken.jar"])
+    assert {r["path"]: r["digest"] for r in indexing.kept_listing(spark, path)[0].collect()} == before
+    os.utime(shard, ns=(times.st_atime_ns, times.st_mtime_ns + 10**9))
+    shutil.copy2(jars / "deep.jar", folder / "more.jar")
+    assert sorted(r["state"] for r in indexing.changes(spark, str(folder), path).collect()) == ["changed", "known", "known", "new"]
+    last = indexing.index(spark, str(folder), path)
+    assert (last.total, last.new, last.reused, last.missing) == (4, 1, 1, ["broken.jar", "impl.jar"])
+
+
 def test_sources_are_read_and_cut(spark, jars, facts, tmp_path):
     from factloom.operators import provenance
 
