@@ -194,8 +194,8 @@ def search_source_of(s: Session, sources: DataFrame, name: str, text: str, page:
     lines = mine.where(F.contains("text", F.lit(text))).select("choice", "entry", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
     some = lines.where(F.contains("text", F.lit(text))).orderBy("entry", "line").offset(offset).limit(limit + 1)
     numbered = some.select("*", F.row_number().over(Window.orderBy("entry", "line")).alias("k"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))  # a page and one row
-    note = F.concat_ws("; ", *[F.when(F.col(c) != "", F.col(c)) for c in ("choice", "passed")])
-    return numbered.join(F.broadcast(passed), how="cross").where(F.col("k") <= limit).select("entry", (F.col("line") + 1).alias("line"), "text", (F.col("n") > limit).alias("has_more"), note.alias("note"))
+    note = F.concat_ws("; ", F.when(F.col("choice") != "", F.col("choice")), F.nullif(passed.scalar(), F.lit("")))
+    return numbered.where(F.col("k") <= limit).select("entry", (F.col("line") + 1).alias("line"), "text", (F.col("n") > limit).alias("has_more"), note.alias("note"))
 
 
 def get_source(s: Session, sources: DataFrame, fqn: str, method: str | None = None, pinned: str | None = None) -> DataFrame:
