@@ -193,43 +193,6 @@ def test_regression_holds_on_cleanly_parted_classes():
     assert (p[:500] < 0.1).all() and (p[500:] > 0.9).all()
 
 
-def brute_clauses(text, stems):
-    """The patterns and weights of a text's clauses, by splitting it."""
-    found = []
-    for clause in re.split(r"[.!?;:\n]", text.lower()):
-        words = re.findall(r"[^\W\d_]+", clause)
-        kinds = {toxicity.CLASSES.get(w) for w in words}
-        hits = [max(x) for w in words if (x := [v for s, v in stems.items() if w == s.strip() or s[-1] != " " and w.startswith(s)])]
-        threat = {"threat", "target"} <= kinds
-        if hits or threat:
-            kind = "reported" if "report" in kinds else "negated" if "negation" in kinds else "threat" if threat else "aimed" if "target" in kinds else "plain"
-            found.append((kind, round(sum(hits) + toxicity.THREAT_WEIGHT * (kind == "threat"), 6)))
-    return found
-
-
-def test_grammar_by_brute_force(monkeypatch):
-    stems = {"idio": 4.0, "idiot ": 5.0, "kill ": 3.5, "moro": 2.5}
-    a = toxicity.lexical(stems)
-    f = lambda t: [(k, round(w, 6)) for k, w in toxicity.clauses(t, a)]
-    assert f("an Idiot. x") == [("plain", 5.0)] and f("you idiotic") == [("aimed", 4.0)] and f("idiots, you are") == [("aimed", 4.0)]
-    assert f("not an idiot") == [("negated", 5.0)] and f("she said: x") == [] and f("she said the idiot") == [("reported", 5.0)]
-    assert f("she said. the idiot") == [("plain", 5.0)] and f("I will kill you") == f("you, I kill") == [("threat", 7.5)] and f("I hurt them not") == [("negated", 0.0)]
-    assert f("xidiot") == f(None) == f("") == f("... !") == [] and f("I stab it") == []
-    rng = random.Random(3)
-    words = ["idiot", "idiots", "moron", "xmoron", "kill", "hurt", "you", "them", "not", "never", "said", "the", "of", "a1b", "ünï"]
-    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", ", ", "-", ". ", "!", ";", "\n", " 3 "]) for _ in range(rng.randint(0, 60))) for _ in range(300)]
-    for piece in (toxicity.PIECE, 7, 1):  # a clause may lie across pieces
-        monkeypatch.setattr(toxicity, "PIECE", piece)
-        for t in texts:
-            assert f(t) == brute_clauses(t, stems), t
-
-
-def test_grammar_decides_what_a_text_scores():
-    model = toxicity.Model({"idio": 4.0}, toxicity.PRIOR.copy())
-    assert min(map(model.score, ("you idiot", "an idiot.", "I will kill you"))) >= 0.5
-    assert max(map(model.score, ("she said you idiot", "you are not an idiot", "I kill it", "you, me", "", None))) < 0.5
-
-
 def test_embeddings_match_sql(spark):
     rng = np.random.default_rng(3)
     rows = []
