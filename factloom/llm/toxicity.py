@@ -213,14 +213,12 @@ def lexical(stems: dict[str, float]) -> ahocorasick.Automaton:
     return a
 
 
-#: Everything but letters becomes a space, or a mark between spaces.
-NOT_WORD = re.compile(r"[\W\d_]+")
+#: Everything but letters becomes a space, or a mark between spaces. Single spaces, the most of it, stay as they are.
+NOT_WORD = re.compile(r"[\W\d_]{2,}|[^\w ]|[\d_]")
 
 
 def _spaced(m: re.Match) -> str:
     between = m[0]
-    if between == " ":
-        return between
     if CLAUSE_ENDS.search(between):
         return f" {END} "
     return f" {COLON} " if ":" in between else f" {COMMA} " if COMMAS.search(between) else " "
