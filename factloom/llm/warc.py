@@ -7,7 +7,8 @@ into chunk rows that carry the length and SHA-1 so far. No step holds a whole
 record's payload besides the page's own row as the table delivers it.
 
 Which record keeps its payload is decided on digests alone: the largest id of
-each digest, a minimum-size aggregate, joined back to the pages. Writers name
+each digest, a minimum-size aggregate, joined back to the pages' ids and digests. A task sends the
+chunks of a payload on once, whatever records hold it, so copies cross the shuffle without their bytes; a revisit is a row without bytes from the start. Writers name
 files by attempt and the returned list of files is itself written, so a task that runs
 twice leaves an unlisted file and no double records.
 """
@@ -20,7 +21,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -34,6 +35,8 @@ CHUNK = 1 << 18
 FILE_BYTES = 1 << 30
 #: Payloads of at least so many bytes are stored once.
 MIN_REVISIT = 0
+#: Digests whose chunks a task has sent on that it remembers, so that it needn't send those of copies.
+SENT = 1 << 16
 #: Fixed values of the format: a date for all records, and the profile of a record that stands for an equal payload.
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -43,8 +46,14 @@ def b32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def record_uri(page_id) -> str:
-    return f"<urn:page:{'null' if page_id is None else page_id}>"
+def record_uri(page_id: str | None) -> str:
+    """The id with everything but letters, digits and ``_.-~`` escaped; a null id has no last part."""
+    return "<urn:page>" if page_id is None else f"<urn:page:{quote(page_id, safe='')}>"
+
+
+def page_of(uri: str) -> str | None:
+    found = re.search(r"<urn:page(?::([^>]*))?>", uri)[1]
+    return None if found is None else unquote(found)
 
 
 def safe_uri(url: str | None) -> str:
@@ -52,7 +61,7 @@ def safe_uri(url: str | None) -> str:
     return "about:blank" if url is None else quote(url, safe="".join(map(chr, range(0x21, 0x7F))))
 
 
-def record_head(page_id, url, kind: str, refers_to, n: int, digest: str) -> tuple[bytes, bytes]:
+def record_head(page_id: str | None, url: str | None, kind: str, refers_to: str | None, n: int, digest: str) -> tuple[bytes, bytes]:
     """The WARC header, and the HTTP header that begins the block."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode()
     body = n if kind == "response" else 0
@@ -108,16 +117,37 @@ def write(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", url_col:
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     keyed = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("sha", F.sha1("payload"))
     keyed = keyed.withColumn("n", F.octet_length("payload").cast("long"))
-    first = scratch.write(keyed.groupBy("sha", "n").agg(F.max("id").alias("first")), "first")
-    # a row's number only tells records that repeat an id apart; all chunks of a record come from one task
+    # a row's number only tells records that repeat an id apart
+    heads = scratch.write(keyed.select(F.monotonically_increasing_id().alias("record"), "id", "url", "sha", "n"), "heads")
     end = F.greatest(F.lit(0), F.expr(f"cast((n - 1) div {CHUNK} as int)"))
-    numbered = keyed.select(F.monotonically_increasing_id().alias("record"), "*", end.alias("end")).select("*", F.explode(F.sequence(F.lit(0), F.col("end"))).alias("chunk"))
-    chunks = numbered.select("id", "url", "n", "sha", "record", "end", "chunk", F.substring("payload", F.col("chunk") * CHUNK + 1, F.lit(CHUNK)).alias("data"))
-    kind = F.when((F.col("n") < min_revisit) | F.col("id").eqNullSafe(F.col("first")), "response").otherwise("revisit")
-    judged = chunks.join(first, ["sha", "n"]).withColumn("kind", kind).where((F.col("kind") == "response") | (F.col("chunk") == 0))
-    last = F.when(F.col("kind") == "response", F.col("end")).otherwise(0)
-    rows = judged.select("id", "url", "kind", "first", "n", "sha", "record", last.alias("last"), "chunk", F.when(F.col("kind") == "response", F.col("data")).alias("data"))
-    rows = rows.sortWithinPartitions("sha", "n", "record", "chunk").drop("record")
+    first = scratch.write(heads.where(F.col("n") >= min_revisit).groupBy("sha", "n").agg(F.max("id").alias("first")), "first")
+    numbered = keyed.select("sha", "n", "payload", F.explode(F.sequence(F.lit(0), end)).alias("chunk"))
+    chunks = numbered.select("sha", "n", "chunk", F.substring("payload", F.col("chunk") * CHUNK + 1, F.lit(CHUNK)).alias("data"))
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The chunks of payloads that this task hasn't sent; those of a row follow one another."""
+        sent: set[str] = set()
+        wanted = True
+        for b in batches:
+            mask = []
+            for sha, chunk in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if chunk == 0:
+                    wanted = sha not in sent
+                    if len(sent) >= SENT:
+                        sent.clear()
+                    sent.add(sha)
+                mask.append(wanted)
+            yield b.filter(pa.array(mask, pa.bool_()))
+
+    contents = chunks.mapInArrow(once, chunks.schema).repartition("sha", "n").groupBy("sha", "n", "chunk").agg(F.first("data").alias("data"))
+    ids = [F.col("id").cast("string").alias("id"), "url"]
+    # responses are found by id too, so the records of a popular payload don't meet in one task
+    own = heads.alias("h").join(first.alias("f"), (F.col("h.sha") == F.col("f.sha")) & (F.col("h.n") == F.col("f.n")) & F.col("h.id").eqNullSafe(F.col("f.first"))).select("h.*")
+    responses = heads.where(F.col("n") < min_revisit).union(own).select(*ids, F.lit("response").alias("kind"), F.lit(None).cast("string").alias("first"), "n", "sha", "record", end.alias("last"))
+    whole = responses.join(contents, ["sha", "n"], "left").sortWithinPartitions("sha", "n", "record", "chunk")
+    copies = heads.join(first, ["sha", "n"]).where(~F.col("id").eqNullSafe(F.col("first")))
+    copies = copies.select(*ids, F.lit("revisit").alias("kind"), F.col("first").cast("string").alias("first"), "n", "sha", F.lit(0).alias("last"), F.lit(0).alias("chunk"), F.lit(None).cast("binary").alias("data"))
+    rows = whole.select(*copies.columns).union(copies)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -127,6 +157,8 @@ def write(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", url_col:
             col = {n: b.column(n) for n in b.schema.names}
             for i in range(b.num_rows):
                 kind, chunk, last = col["kind"][i].as_py(), col["chunk"][i].as_py(), col["last"][i].as_py()
+                if chunk is None:
+                    raise ValueError("a payload changed while the archives were written")
                 digest = bytes.fromhex(col["sha"][i].as_py())
                 if chunk == 0:
                     w.head(col["id"][i].as_py(), col["url"][i].as_py(), kind, col["first"][i].as_py(), col["n"][i].as_py(), b32(digest))
@@ -195,12 +227,12 @@ def records(path: str) -> Iterator[tuple]:
     r = Reader(path)
     while (head := r.until(b"\r\n\r\n")) is not None:
         f = fields(head)
-        page = re.search(r"urn:page:([^>]*)", f["warc-record-id"])[1]
+        page = page_of(f["warc-record-id"])
         kind = f["warc-type"]
         http = r.until(b"\r\n\r\n")
         n = int(fields(http)["content-length"])
         if kind == "revisit":
-            yield page, kind, re.search(r"urn:page:([^>]*)", f["warc-refers-to"])[1], 0, None, n, f["warc-payload-digest"].removeprefix("sha1:"), True
+            yield page, kind, page_of(f["warc-refers-to"]), 0, None, n, f["warc-payload-digest"].removeprefix("sha1:"), True
         else:
             body = int(f["content-length"]) - len(http) - 4
             sha, so_far = hashlib.sha1(), 0
@@ -247,11 +279,12 @@ def archive(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """Writes ``pages`` and reads the archives back: (id, payload_bytes, payload_digest, record_type, refers_to).
 
     A null page is an empty payload, a null url about:blank. A null id is smaller than
-    all others. Rows that repeat the largest id of a payload are responses too.
+    all others. Rows that repeat the largest id of a payload are responses too. Ids of any type that survives
+    a cast to text and back are given back as they are, whatever characters they hold.
     """
     files = write(pages, Scratch(pages.sparkSession, "warc"), id_col)
     kind = pages.schema[id_col].dataType
-    ident = lambda c: F.when(F.col(c) != "null", F.col(c)).cast(kind)
+    ident = lambda c: F.col(c).cast(kind)
     return read(files, with_data=False, last_only=True).select(
         ident("id").alias(id_col), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), ident("refers_to").alias("refers_to")
     )
