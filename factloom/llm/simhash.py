@@ -165,7 +165,7 @@ def best_split(points: np.ndarray, radius: int, rng, tries: int = 8):
     return best
 
 
-def _unite(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+def unite(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Merges the classes of a[i] and b[i]; a class is named by its least member."""
     while True:
         x, y = labels[a], labels[b]
@@ -195,7 +195,7 @@ def join_shard(points: np.ndarray, home: np.ndarray, radius: int = RADIUS, whole
                 part = h[at : at + rows]
                 i, j = np.nonzero(np.bitwise_count(points[part][:, None] ^ points[every][None, :]) <= radius)
                 if len(i) > len(part) * whole:
-                    _unite(labels, part[i], every[j])
+                    unite(labels, part[i], every[j])
             continue
         both = np.concatenate([h, g])
         at_home = np.arange(len(both)) < len(h)

@@ -65,3 +65,42 @@ def test_stage_leaves_no_near_copies(spark):
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     want = sorted({rows[c][0] for c in brute([t for _, t in rows])})
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == want
+
+
+def test_rare_elements_come_first_whatever_a_sample_holds(spark):
+    """Pairs to compare don't grow with the square of a passage that some texts share: it isn't in any prefix."""
+    import numpy as np
+
+    passage = " ".join(f"p{k}" for k in range(40))
+    texts = [f"{passage} " + " ".join(f"x{i}y{k}" for k in range(60)) for i in range(200)] + [f"z{i} {k}" for i in range(9000) for k in range(2)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    counts = shingles.element_counts(docs)
+    shared = shingles.elements(passage)
+    assert not any(np.isin(shared, shingles.prefix(shingles.elements(t), counts)).any() for t in texts[:200])
+
+
+def test_blocks_and_rounds_change_no_class(spark):
+    rng = random.Random(3)
+    base = [rng.choice("abcdefghij") + str(k) for k in range(60)]
+    texts = []
+    for _ in range(60):  # near copies of one text that differ too much from most others
+        w = list(base)
+        for _ in range(rng.randint(1, 2)):
+            w[rng.randrange(60)] = f"n{rng.randrange(9)}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = brute(texts)
+    for few_rows, block in ((0, 8192), (0, 7), (8, 16), (1000, 8192)):
+        got = {r.id: r.component for r in shingles.near_classes(docs, few_rows=few_rows, block=block).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_pairs_of_a_group_span_its_components():
+    import numpy as np
+    import pyarrow as pa
+
+    n = 300
+    full = shingles.elements(" ".join(f"w{k}" for k in range(100)))
+    table = pa.table({"node": np.arange(n), "size": np.full(n, len(full)), "pos": np.zeros(n, np.int64), "root": np.arange(n), "home": np.ones(n, bool), "i": np.full(n, -1), "j": np.full(n, -1), "digest": pa.array([shingles.digest(full)] * n, pa.list_(pa.int64()))})
+    assert shingles.may_be_near(table).num_rows == n * (n - 1) // 2
+    assert n - 1 <= shingles.may_be_near(table, spanning=True).num_rows < 3 * n
