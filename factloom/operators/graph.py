@@ -13,7 +13,7 @@ def find_implementations(s: Session, fqn: str, direct: bool = False) -> DataFram
     if direct:
         found = s.type_edges.where(F.col("parent") == fqn).select(F.col("child").alias("fqn")).distinct()
     else:
-        found = s.type_labels.below(fqn).where(F.col("fqn") != fqn)
+        found = s.types_below(fqn).where(F.col("fqn") != fqn)
     return s.with_jar(s.classes.select("fqn", "kind", "shard_id").join(found, "fqn", "left_semi"))
 
 
@@ -23,7 +23,7 @@ def find_by_annotation(s: Session, fqn: str, direct: bool = False) -> DataFrame:
     if direct:
         marks = marks.where(F.col("annotation_fqn") == fqn)
     else:
-        marks = marks.join(s.annotation_labels.below(fqn).withColumnRenamed("fqn", "annotation_fqn"), "annotation_fqn", "left_semi")
+        marks = marks.join(s.annotations_below(fqn).withColumnRenamed("fqn", "annotation_fqn"), "annotation_fqn", "left_semi")
     classes = s["classes"].select("shard_id", F.col("fqn").alias("class_fqn"), "kind")
     return s.with_jar(marks.join(classes, ["shard_id", "class_fqn"]).select("class_fqn", "kind", F.col("annotation_fqn").alias("matched_annotation"), "attributes", "shard_id"))
 

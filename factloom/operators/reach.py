@@ -21,6 +21,8 @@ from ..shared import scratch_path
 
 #: Groups of siblings, whose sums come before those of single ones; intervals that are put into a plan one by one.
 GROUPS, LITERALS = 256, 200
+#: Levels that a walk goes down before labels are made instead.
+WALK_LEVELS = 48
 #: Numbers that one task of a sweep looks at, about.
 SPAN = 1 << 16
 
@@ -64,6 +66,22 @@ def _forest(nodes: DataFrame, tables: _Tables) -> DataFrame:
     return tables.write(nodes.join(cut, "node", "left").select("node", F.when(F.col("cut").isNull(), F.col("up")).alias("up")))
 
 
+def walk(edges: DataFrame, seed: str, levels: int = WALK_LEVELS) -> DataFrame | None:
+    """(fqn) of the seed and everything below it over (child, parent), level by level; None if ``levels`` don't reach
+    the end. It costs a join of the edges for each level, and no labels."""
+    spark = edges.sparkSession
+    tables = _Tables(spark)
+    e = tables.write(edges.where("child is not null and parent is not null and child <> parent").select("child", "parent"))
+    seen = level = tables.write(spark.createDataFrame([(seed,)], "fqn string"))
+    for _ in range(levels):
+        met = e.join(level.select(F.col("fqn").alias("parent")), "parent", "left_semi").select(F.col("child").alias("fqn")).distinct()
+        level = tables.write(met.join(seen, "fqn", "left_anti"))
+        if level.isEmpty():
+            return seen
+        seen = seen.union(level)
+    return None
+
+
 @dataclass
 class Labels:
     #: (node, pre, post) and (pre, lo, hi): intervals that the node of that number inherits.

@@ -57,6 +57,21 @@ class Session:
         """What is below a type, made when it is first asked for."""
         return reach.label(self.type_edges)
 
+    def types_below(self, fqn: str) -> DataFrame:
+        return self._below("type", fqn)
+
+    def annotations_below(self, fqn: str) -> DataFrame:
+        return self._below("annotation", fqn)
+
+    def _below(self, kind: str, fqn: str) -> DataFrame:
+        """(fqn) of the name and what is below it: by labels that are there, else by a walk, which costs less than to make them,
+        else, where it is deep, by labels made now."""
+        if f"{kind}_labels" not in self.__dict__:
+            walked = reach.walk(getattr(self, f"{kind}_edges"), fqn)
+            if walked is not None:
+                return walked
+        return getattr(self, f"{kind}_labels").below(fqn)
+
     @cached_property
     def annotation_labels(self) -> reach.Labels:
         return reach.label(self.annotation_edges)
