@@ -12,6 +12,8 @@ Tables of several segments add up: an index over more shards is the union of the
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,3 +90,17 @@ class SymbolIndex:
         if held:
             rows = rows.where(F.contains("folded", F.lit(term.translate(str.maketrans(UPPER, LOWER)))))
         return rows.select("kind", "name", "owner", "detail", "shard_id"), held
+
+
+class Later:
+    """An index that is written when a search first asks for it."""
+
+    def __init__(self, make: Callable[[], SymbolIndex]):
+        self._make = make
+
+    @cached_property
+    def made(self) -> SymbolIndex:
+        return self._make()
+
+    def candidates(self, term: str) -> tuple[DataFrame, bool]:
+        return self.made.candidates(term)

@@ -86,26 +86,42 @@ HOT = ("part_names", "classes", "class_interfaces", "methods", "annotations", "b
 _SESSIONS: dict[tuple[str, str], Session] = {}
 
 
+class Facts(dict):
+    """The tables and facts of one data directory. Each is read, projected and, where searches share it, written when it is
+    first asked for, so a query over few tables costs what these cost."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self.spark, self.sf_dir, self.root = spark, sf_dir, scratch_path(spark, "facts")
+
+    def __contains__(self, name) -> bool:
+        return name in BASE or name in FACTS or name == "owned_methods"
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name in BASE:
+            made = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        elif name == "owned_methods":
+            made = self._written(Session({n: self[n] for n in ("classes", "methods")}).methods, name)
+        else:
+            sql = FACTS[name]
+            made = self.spark.sql(sql, **{t: self[t] for t in (*BASE, *FACTS) if f"{{{t}}}" in sql})
+            if name in HOT:
+                made = self._written(made, name)
+        self[name] = made
+        return made
+
+    def _written(self, df: DataFrame, name: str) -> DataFrame:
+        if name in SORTED:
+            df = df.repartitionByRange(SORTED[name]).sortWithinPartitions(SORTED[name])
+        df.write.parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+
 def load(spark: SparkSession, sf_dir: str) -> Session:
-    """The session of one data directory, built once for each application; only what queries use is read."""
+    """The session of one data directory, one for each application; facts and the search index are made when a query first uses them."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _SESSIONS:
-        root = scratch_path(spark, "facts")
-
-        def written(df: DataFrame, name: str) -> DataFrame:
-            if name in SORTED:
-                df = df.repartitionByRange(SORTED[name]).sortWithinPartitions(SORTED[name])
-            df.write.parquet(f"{root}/{name}")
-            return spark.read.schema(df.schema).parquet(f"{root}/{name}")
-
-        made = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in BASE}
-        for name, sql in FACTS.items():
-            used = {t: df for t, df in made.items() if f"{{{t}}}" in sql}
-            made[name] = spark.sql(sql, **used)
-            if name in HOT:
-                made[name] = written(made[name], name)
-        session = Session(made)
-        made["owned_methods"] = written(session.methods, "owned_methods")
-        index = symbol_index.SymbolIndex(*symbol_index.write(Session(made).symbols, lambda name: f"{root}/index/{name}"))
+        made = Facts(spark, sf_dir)
+        index = symbol_index.Later(lambda: symbol_index.SymbolIndex(*symbol_index.write(Session(made).symbols, lambda name: f"{made.root}/index/{name}")))
         _SESSIONS[key] = Session(made, index)
     return _SESSIONS[key]
