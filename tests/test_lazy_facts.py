@@ -22,3 +22,9 @@ def test_a_walk_gives_what_labels_give(spark):
     for seed in ("a", "d", "x", "nowhere"):
         assert sorted(r.fqn for r in reach.walk(edges, seed).collect()) == sorted(r.fqn for r in labels.below(seed).collect())
     assert reach.walk(edges, "a", levels=2) is None
+
+
+def test_first_visit_makes_names_alone(spark, monkeypatch):
+    monkeypatch.setattr(facts, "_SESSIONS", {})
+    assert catalog.queries()["first_visit"](spark, SF).count()
+    assert set(facts.load(spark, SF).tables) == {"part", "part_names"}
