@@ -26,6 +26,10 @@ from . import store, symbol_index
 from .indexing import plan_session
 
 
+#: Shards that an update adds are sent to all tasks up to this number, so that no relation is shuffled to be cut by them.
+MAX_SENT = 1 << 20
+
+
 class Conflict(RuntimeError):
     """Another writer committed the version first."""
 
@@ -106,8 +110,9 @@ class SessionStore:
         segment = uuid.uuid4().hex[:16]
         old = self.manifest(before) if delta else self.spark.createDataFrame([], "shard_id string, segment string")
         added = wanted.join(old, "shard_id", "left_anti")
-        if not added.isEmpty() or not delta:
-            self._write_segment(tables, added, segment)
+        n = added.count()
+        if n or not delta:
+            self._write_segment(tables, F.broadcast(added) if n <= MAX_SENT else added, segment)
         kept = old.join(wanted, "shard_id", "left_semi").select("shard_id", "segment")
         kept.union(added.select("shard_id", F.lit(segment))).write.parquet(f"{self.path}/manifests/{segment}")
         next_ = Version((before.number if before else 0) + 1, "delta" if delta else "rebuild", store.fingerprint(wanted).first()["fingerprint"], before.chain + 1 if delta else 0, segment)

@@ -80,8 +80,29 @@ def sql_facts(*names: str) -> str:
     return ", ".join(f"{n} AS ({sql.format(**here)})" for n, sql in FACTS.items() if not names or n in names)
 
 
-#: Facts that searches share; a session writes them once, sorted by the column that lookups name, so that scans read few row groups.
-SORTED = {"classes": "fqn", "methods": "class_fqn", "class_interfaces": "interface_fqn", "annotations": "annotation_fqn", "config": "name", "beans": "config_fqn", "conditions": "class_fqn"}
+#: Facts whose rows Spark makes distinct on both sides of the last join, whose key is among the columns, instead of after it: the same
+#: rows, but what is shuffled are events and classes and not each class of each event.
+DISTINCT_FIRST = {
+    "annotations": """SELECT c.shard_id, 'class' AS target_kind, e.fqn AS class_fqn, cast(NULL as string) AS method_name, cast(NULL as string) AS method_descriptor, e.annotation_fqn, e.attributes
+        FROM (SELECT DISTINCT n.fqn, concat('org.anno.', event_type) AS annotation_fqn, props AS attributes FROM {events} JOIN {part_names} n ON n.p_partkey = user_id) e
+        JOIN (SELECT DISTINCT shard_id, fqn FROM {classes}) c ON c.fqn = e.fqn
+        UNION ALL
+        SELECT c.shard_id, 'class', c.fqn, cast(NULL as string), cast(NULL as string), u.up, cast(NULL as string)
+        FROM (SELECT DISTINCT shard_id, fqn FROM {classes} WHERE kind = 'annotation') c
+        JOIN (SELECT DISTINCT n.fqn, u.fqn AS up FROM {part_names} n JOIN {part_names} u ON u.p_partkey = cast(floor(n.p_partkey / 2) as bigint) AND u.p_partkey <> n.p_partkey) u ON u.fqn = c.fqn""",
+}
+
+#: Facts that searches share; a session writes them once, sorted by the column that lookups name, so that scans read few row groups. The columns
+#: after it tell rows apart: a name that millions of rows share, or none, is cut into as many ranges as its rows need.
+SORTED = {
+    "classes": ("fqn", "shard_id"),
+    "methods": ("class_fqn", "shard_id", "name"),
+    "class_interfaces": ("interface_fqn", "class_fqn", "shard_id"),
+    "annotations": ("annotation_fqn", "class_fqn", "shard_id"),
+    "config": ("name", "shard_id", "source_fqn"),
+    "beans": ("config_fqn", "bean_id"),
+    "conditions": ("class_fqn", "bean_id", "ref_value"),
+}
 HOT = ("part_names", "classes", "class_interfaces", "methods", "annotations", "beans", "conditions", "strings", "spi", "config", "shards")
 _SESSIONS: dict[tuple[str, str], Session] = {}
 
@@ -103,7 +124,7 @@ class Facts(dict):
         elif name == "owned_methods":
             made = self._written(Session({n: self[n] for n in ("classes", "methods")}).methods, name)
         else:
-            sql = FACTS[name]
+            sql = DISTINCT_FIRST.get(name, FACTS[name])
             made = self.spark.sql(sql, **{t: self[t] for t in (*BASE, *FACTS) if f"{{{t}}}" in sql})
             if name in HOT:
                 made = self._written(made, name)
@@ -112,7 +133,7 @@ class Facts(dict):
 
     def _written(self, df: DataFrame, name: str) -> DataFrame:
         if name in SORTED:
-            df = df.repartitionByRange(SORTED[name]).sortWithinPartitions(SORTED[name])
+            df = df.repartitionByRange(*SORTED[name]).sortWithinPartitions(*SORTED[name])
         df.write.parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 

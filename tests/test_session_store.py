@@ -107,6 +107,22 @@ def test_shards_without_facts_are_left_out(spark, facts, tmp_path):
     assert sum(kept.update(facts, ids(spark, [*SHARDS[:3], "no such shard"])).live.values()) == 3
 
 
+def test_added_shards_are_sent_to_the_tasks_up_to_a_number(spark, facts, tmp_path, monkeypatch):
+    sent = []
+    for most, path in ((8, "a"), (7, "b")):
+        monkeypatch.setattr(session_store, "MAX_SENT", most)
+        kept = session_store.SessionStore(spark, str(tmp_path / path), indexed=False)
+
+        def watched(tables, added, segment, write=kept._write_segment):
+            sent.append("strategy=broadcast" in added._jdf.queryExecution().analyzed().toString())
+            write(tables, added, segment)
+
+        monkeypatch.setattr(kept, "_write_segment", watched)
+        kept.update(facts, ids(spark, SHARDS[:8]))
+        assert rows(kept.session(), "classes") == rows(plain(facts, spark, SHARDS[:8]), "classes")
+    assert sent == [True, False]
+
+
 def test_the_index_finds_what_a_scan_finds(spark, facts, tmp_path, monkeypatch):
     monkeypatch.setattr(symbol_index, "BLOCK_ROWS", 7)
     monkeypatch.setattr(symbol_index, "RANGE_ROWS", 200)
