@@ -31,15 +31,17 @@ SEPARATOR = "\0"
 def symbol_rows(symbols: DataFrame) -> DataFrame:
     """(range, block, kind, name, owner, detail, shard_id, folded), in order of names, to be written by range."""
     n = max(1, -(-symbols.count() // RANGE_ROWS))
+    dealt = symbols.repartitionByRange(n, "name", "kind", "shard_id").sortWithinPartitions("name", "kind", "shard_id", "owner", "detail")
     folded = F.concat_ws(SEPARATOR, *[F.coalesce(ascii_fold(F.col(c)), F.lit("")) for c in ("name", "owner", "detail")])
-    dealt = symbols.withColumn("folded", folded).repartitionByRange(n, "name", "kind", "shard_id").sortWithinPartitions("name", "kind", "shard_id", "owner", "detail")
-    return dealt.withColumns({"range": F.spark_partition_id(), "block": F.floor(F.monotonically_increasing_id() / BLOCK_ROWS)})
+    return dealt.withColumns({"folded": folded, "range": F.spark_partition_id(), "block": F.floor(F.monotonically_increasing_id() / BLOCK_ROWS)})
 
 
 def postings(rows: DataFrame) -> DataFrame:
-    """(bucket, gram, range, block) once for each gram of a block, to be written by bucket. ``rows`` are written symbol rows."""
-    every = F.regexp_extract_all("folded", F.lit(rf"(?s)(?=([^\x00]{{{GRAM}}}))"), F.lit(1))
-    grams = rows.select("range", "block", F.explode(F.array_distinct(every)).alias("gram")).distinct()
+    """(bucket, gram, range, block) once for each gram of a block, to be written by bucket. ``rows`` are written symbol rows.
+    Names, owners and details come back many times in a block, so grams are taken from each of its fields once."""
+    fields = rows.select("range", "block", F.explode(F.array_distinct(F.split("folded", SEPARATOR))).alias("field")).where(F.length("field") >= GRAM).distinct()
+    every = F.regexp_extract_all("field", F.lit(rf"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
+    grams = fields.select("range", "block", F.explode(F.array_distinct(every)).alias("gram")).distinct()
     return grams.withColumn("bucket", bucket_of(F.col("gram"))).repartitionByRange("bucket", "gram", "range", "block").sortWithinPartitions("bucket", "gram", "range", "block")
 
 

@@ -1,6 +1,7 @@
 """Sessions in versions: any sequence of updates gives what a rebuild gives, failures leave the version before; the kept index finds what a scan finds."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -138,3 +139,20 @@ def test_the_index_finds_what_a_scan_finds(spark, facts, tmp_path, monkeypatch):
     ranges = {r["range"] for r in narrow.blocks("p3.kelp%")}
     assert 0 < len(ranges) < tables[0].select("range").distinct().count()  # the files of other ranges aren't read
     assert "PartitionFilters: [range" in narrow.candidates("p3.kelp%")[0]._jdf.queryExecution().toString()
+
+
+def test_what_comes_back_in_a_block_is_cut_into_grams_once(spark):
+    """Texts are folded after they are dealt to ranges, and the fields of a block are made distinct before grams are taken; the grams are those of whole texts."""
+    symbols = spark.createDataFrame([("class", n, o, d, f"s{k}") for k in range(9) for n, o, d in (("Ab\n.Cde", None, "x|y*"), ("\U0001f600ab\U0001f600", "", "漢字éZ"), ("q", "ab", "(I)Lx;"))], "kind string, name string, owner string, detail string, shard_id string")
+    rows_ = symbol_index.symbol_rows(symbols)
+    plan = rows_._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate" in plan and "translate" not in plan[plan.index("RepartitionByExpression") :]
+    kept = rows_.collect()
+    table = spark.createDataFrame(kept, rows_.schema)
+    whole = F.explode(F.regexp_extract_all("folded", F.lit(r"(?s)(?=([^\x00]{3}))"), F.lit(1))).alias("gram")
+    want = {tuple(r) for r in table.select("range", "block", whole).collect()}
+    posted = symbol_index.postings(table)
+    found = [(r["range"], r["block"], r["gram"]) for r in posted.collect()]
+    assert len(found) == len(want) and set(found) == want and any("\U0001f600" in g for _, _, g in found)
+    plan = posted._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"regexp_extract_all[\s\S]*Aggregate \[range#\d+, block#\d+L?, field", plan)
